@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, html_text, importance, language_id, near_dup, pii, quality_rules, token_file, warc
@@ -57,4 +59,59 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_html_extraction, op3_bpe, op4_warc, op5_token_ids, op6_pii, op7_decontamination, op8_language_id, op9_quality_rules, op10_quality_classifier)}
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _op7_sql() -> str:
+    """Windows as text in place of hashes; the rest as in :mod:`decontaminate`."""
+    d = decontaminate
+    units = ", ".join(f"'{u}'" for u in d.UNITS)
+    mark = lambda x: f"regexp_replace({x}, '{d.INNER_CAPITAL}', '\\1' || chr(1) || '\\2', 'g')"
+    marked = mark(mark("coalesce(text, '')"))
+    raw = f"regexp_extract_all({marked}, '\\x01?\\p{{L}}[\\p{{L}}\\p{{M}}]*|\\p{{N}}+(?:[.,]\\p{{N}}+)*')"
+    form = f"list_transform(raw, lambda x, i: CASE WHEN x[1] = chr(1) THEN '<name>' WHEN regexp_matches(x, '^\\p{{N}}') THEN '<num>' WHEN lower(x) IN ({units}) AND i > 1 AND regexp_matches(raw[i - 1], '^\\p{{N}}') THEN '<unit>' ELSE lower(x) END)"
+    slot = "x IN ('<num>', '<name>', '<unit>')"
+    return f"""WITH b0 AS (SELECT item_id, raw, {form} AS form, least({d.WIDTH}, len(raw)) AS width FROM (SELECT DISTINCT item_id, {raw} AS raw FROM benchmark WHERE item_id IS NOT NULL) WHERE len(raw) >= {d.SHORTEST}),
+b1 AS (SELECT item_id, width, at_, raw[at_ + 1:at_ + width] AS raw, form[at_ + 1:at_ + width] AS form FROM (SELECT *, unnest(range(len(raw) - width + 1)) AS at_ FROM b0)),
+b2 AS (SELECT *, array_to_string(form, ' ') AS win, len(list_filter(form, lambda x: {slot})) AS slots FROM b1),
+b3 AS (SELECT * FROM b2 WHERE width - slots >= width * {d.LITERAL}),
+b AS (SELECT *, (SELECT count(DISTINCT at_) FROM b3 y WHERE y.item_id = b3.item_id) AS n_windows FROM b3),
+d0 AS (SELECT doc_id, raw, {form} AS form FROM (SELECT doc_id, {raw} AS raw FROM documents)),
+d1 AS (SELECT doc_id, width, doc_at, raw[doc_at + 1:doc_at + width] AS own, array_to_string(form[doc_at + 1:doc_at + width], ' ') AS win FROM (SELECT doc_id, raw, form, width, unnest(range(len(raw) - width + 1)) AS doc_at FROM d0, (SELECT DISTINCT width FROM b) WHERE len(raw) >= width)),
+m AS (SELECT doc_id, item_id, at_, doc_at, doc_at - at_ AS shift, n_windows, slots, b.raw AS theirs, b.form, own FROM d1 JOIN b ON d1.win = b.win AND d1.width = b.width),
+h AS (SELECT doc_id, item_id, count(DISTINCT at_) AS n_matched, count(DISTINCT at_) / any_value(n_windows) AS share FROM m GROUP BY ALL),
+s AS (SELECT doc_id, item_id, shift, lower(theirs[k]) AS v, count(DISTINCT lower(own[k])) AS n FROM (SELECT *, unnest(range(1, len(form) + 1)) AS k FROM m WHERE slots > 0) WHERE form[k] IN ('<num>', '<name>', '<unit>') GROUP BY ALL),
+a AS (SELECT doc_id, item_id, avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END) AS agreeing FROM s GROUP BY ALL)
+SELECT h.doc_id, h.item_id, n_matched, share, coalesce(agreeing, 1.0)::DOUBLE AS consistent FROM h LEFT JOIN a ON h.doc_id IS NOT DISTINCT FROM a.doc_id AND h.item_id = a.item_id WHERE share >= {d.LEAST_SHARE} AND coalesce(agreeing, 1.0) >= {d.LEAST_CONSISTENT}"""
+
+
+def _op9_sql() -> str:
+    """The log-bucket sketches as counts per bucket, quantiles as running counts."""
+    q = quality_rules
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    measures = {"symbol_share": "n_symbols / greatest(n_words, 1)", "word_length": "word_chars / greatest(n_words, 1)", "repeat_share": "n_repeat_words / greatest(n_words, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)"}
+    long = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS measure, {v} AS v FROM w" for k, v in measures.items())
+    least = " ".join(f"WHEN '{k}' THEN {v}" for k, v in q.MEASURES.items())
+    value = f"CASE WHEN b = 0 THEN 0.0 ELSE {q.TINY} * pow({q.GAMMA}, b - 1.5) END"
+    levels = " UNION ALL ".join(f"SELECT {k} AS level, {l} AS lang, {s} AS source, measure, b FROM l" for k, l, s in ((0, "lang", "source"), (1, "lang", "NULL"), (2, "NULL", "NULL")))
+    pick = f"CASE WHEN g0.total >= {q.LEAST_GROUP} THEN g0.fence WHEN g1.total >= {q.LEAST_GROUP} THEN g1.fence ELSE g2.fence END"
+    return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+p AS (SELECT *, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: translate(x, {spaces}, '') <> '') AS lines FROM d),
+wi AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM p WHERE len(words) >= 3)),
+du AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM wi) WHERE c > 1),
+rw AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM du, (VALUES (0), (1), (2)) o(k) GROUP BY doc_id),
+w AS (SELECT p.doc_id, lang, source, len(words)::BIGINT AS n_words, length(translate(t, {spaces}, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '{q.SYMBOLS}', '')))::BIGINT AS n_symbols, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rw.n, 0)::BIGINT AS n_repeat_words FROM p LEFT JOIN rw ON p.doc_id = rw.doc_id),
+l AS (SELECT *, CASE WHEN v < {q.TINY} THEN 0 ELSE ceil(ln(v / {q.TINY}) / {math.log(q.GAMMA)!r})::INT + 1 END AS b FROM ({long})),
+c AS (SELECT level, lang, source, measure, b, count(*) AS n FROM ({levels}) GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY b) AS seen, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM c),
+f AS (SELECT level, lang, source, measure, any_value(total) AS total, {", ".join(f"min(b) FILTER (seen >= ceil(total * {x})) AS b{k}" for k, x in (("25", 0.25), ("50", 0.5), ("75", 0.75)))} FROM r GROUP BY ALL),
+g AS (SELECT level, lang, source, measure, total, {value.replace("b ", "b50 ").replace("b)", "b50)")} + greatest({q.REACH} * ({value.replace("b ", "b75 ")} - {value.replace("b ", "b25 ")}), CASE measure {least} END) AS fence FROM f),
+o AS (SELECT l.doc_id, bool_and(l.v <= {pick}) AS inside FROM l JOIN g g0 ON g0.level = 0 AND g0.measure = l.measure AND g0.lang IS NOT DISTINCT FROM l.lang AND g0.source IS NOT DISTINCT FROM l.source JOIN g g1 ON g1.level = 1 AND g1.measure = l.measure AND g1.lang IS NOT DISTINCT FROM l.lang JOIN g g2 ON g2.level = 2 AND g2.measure = l.measure GROUP BY l.doc_id)
+SELECT w.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEAT_PERCENT} * n_words) AS base_failed, NOT (n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEAT_PERCENT} * n_words) AND inside AS kept FROM w JOIN o ON w.doc_id = o.doc_id"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": f"""WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS x, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE octet_length(x) >= {warc.LEAST_SHARED} GROUP BY payload_digest)
+SELECT page_id, url, octet_length(x) AS payload_bytes, p.payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest""",
+    "op7_decontamination": _op7_sql(),
+    "op9_quality_rules": _op9_sql(),
+}
