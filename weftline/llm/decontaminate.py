@@ -18,8 +18,8 @@ from ._shared import sized_broadcast, stash
 WIDTH, SHORTEST = 8, 5
 #: Literal tokens that a benchmark window has at least, as a share of its tokens.
 LITERAL = 0.5
-#: Share of an item's windows that a document must hold along one alignment, and share of the
-#: item's slot values that must meet one value each.
+#: Share of an item's windows that a document must hold, and share of the item's slot values that
+#: must meet one value each along an alignment.
 LEAST_SHARE, LEAST_CONSISTENT = 0.3, 0.8
 
 #: Words that count as units when a number stands before them.
@@ -28,15 +28,18 @@ UNITS = (
     "ml l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours day days week weeks month months year years "
     "cent cents dollar dollars euro euros percent degree degrees mph kmh hz khz mhz kb mb gb tb watt watts volt volts"
 ).split()
-#: A capital letter within a sentence: after a lower-case letter, digit, comma, semicolon or colon and a space.
-INNER_CAPITAL = r"([\p{Ll}\p{N},;:] )(\p{Lu})"
+#: A capitalised word within a sentence: after a lower-case letter, digit, comma, semicolon or colon and
+#: a space; words in capitals alone are no names.
+INNER_CAPITAL = r"([\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll})"
 NAME_MARK = "\u0001"
 TOKEN = NAME_MARK + r"?\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*"
 
 
 def tokens(text: Column) -> Column:
     """Words and numbers of a text; names bear a mark. None for null."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), INNER_CAPITAL, f"$1{NAME_MARK}$2")
+    marked = F.coalesce(text, F.lit(""))
+    for _ in range(2):  # a match takes the letter before it, which the end of a short name may be
+        marked = F.regexp_replace(marked, INNER_CAPITAL, f"$1{NAME_MARK}$2")
     return F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0))
 
 
@@ -89,7 +92,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     matches in windows with placeholders alone, whose documents are read once more.
 
     Null texts and null items match nothing; a null doc_id is a document of its own name; repeated
-    rows count once; an item that occurs twice in a text is judged along each alignment. Empty tables
+    rows count once; slots of an item that occurs twice in a text are judged per occurrence. Empty tables
     give an empty result.
     """
     bench = stash(benchmark_windows(benchmark.select("item_id", "text").where("item_id is not null").distinct()), "benchmark-windows")
@@ -107,17 +110,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = rows if found is None else found.unionByName(rows)
     found = stash(found.withColumn("shift", F.col("doc_at") - F.col("at")), "benchmark-matches")
     totals = bench.select("item_id", "n_windows").distinct()
-    aligned = found.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("at").alias("n_matched"))
-    aligned = aligned.join(totals, "item_id").withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= LEAST_SHARE)
-    aligned = aligned.join(slot_agreement(text, bench, found), [aligned[k].eqNullSafe(F.col(f"__{k}")) for k in ("doc_id", "item_id", "shift")], "left").drop("__doc_id", "__item_id", "__shift")
-    aligned = aligned.withColumn("consistent", F.coalesce("agreeing", F.lit(1.0))).where(F.col("consistent") >= LEAST_CONSISTENT)
-    best = F.max(F.struct("share", "consistent", "n_matched")).alias("x")
-    return aligned.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.n_matched", "x.share", "x.consistent")
+    held = found.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("n_matched"))
+    held = held.join(totals, "item_id").withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= LEAST_SHARE)
+    agreed = slot_agreement(text, bench, found)
+    held = held.join(agreed, held["doc_id"].eqNullSafe(agreed["__doc_id"]) & (held["item_id"] == agreed["__item_id"]), "left")
+    held = held.withColumn("consistent", F.coalesce("agreeing", F.lit(1.0))).where(F.col("consistent") >= LEAST_CONSISTENT)
+    return held.select("doc_id", "item_id", "n_matched", "share", "consistent")
 
 
 def slot_agreement(text: DataFrame, bench: DataFrame, found: DataFrame) -> DataFrame:
-    """agreeing per (__doc_id, __item_id, __shift): the share of the item's slot values that always
-    met the same value of the document."""
+    """agreeing per (__doc_id, __item_id): the share of the item's slot values, of each alignment, that
+    always met the same value of the document."""
     with_slots = found.where("slots > 0").select("doc_id", "item_id", "at", "doc_at", "width", "shift").distinct()
     named = with_slots.select("doc_id").distinct().withColumnRenamed("doc_id", "__named")
     rows = text.join(sized_broadcast(named), F.col("doc_id").eqNullSafe(F.col("__named"))).select("__named", tokens(F.col("text")).alias("doc_raw"))
@@ -128,8 +131,7 @@ def slot_agreement(text: DataFrame, bench: DataFrame, found: DataFrame) -> DataF
     pairs = F.filter(F.arrays_zip(F.col("is_slot").alias("slot"), F.col("raw").alias("theirs"), own.alias("ours")), lambda x: x["slot"])
     rows = rows.select("doc_id", "item_id", "shift", F.explode(pairs).alias("p"))
     values = rows.groupBy("doc_id", "item_id", "shift", F.lower("p.theirs").alias("v")).agg(F.countDistinct(F.lower("p.ours")).alias("n"))
-    out = values.groupBy("doc_id", "item_id", "shift").agg(F.avg((F.col("n") == 1).cast("double")).alias("agreeing"))
-    return out.withColumnsRenamed({"doc_id": "__doc_id", "item_id": "__item_id", "shift": "__shift"})
+    return values.groupBy(F.col("doc_id").alias("__doc_id"), F.col("item_id").alias("__item_id")).agg(F.avg((F.col("n") == 1).cast("double")).alias("agreeing"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
