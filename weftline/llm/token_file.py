@@ -11,9 +11,9 @@ bytes. Blocks bound the memory of writers and readers.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import filesystem, fresh_dir, stash
+from ._shared import drop_stash, filesystem, fresh_dir, stash
 from .bpe import SPLIT_ONLY, WHITE
 
 #: Fixed value: first bytes of a file.
 MAGIC = b"WEFTTOK1"
-#: Entries of the cache from a piece of text to its ids, and distinct pieces that are counted at once.
-CACHE = 400_000
+#: Entries of either half of a worker's cache from a piece of text to its ids, pieces that are
+#: encoded by one call, and characters of text that are cut into pieces at once.
+CACHE, CALL, CUT_CHARS = 700_000, 5_000, 2_000_000
+#: ASCII punctuation at the end of a piece: behind a letter or digit, and two of it.
+CLOSING = re.compile(r"(?<=[^\W_])([!-/:-@\[-`{-~]+)(?=\s)")
+DOUBLE = re.compile(r"[!-/:-@\[-`{-~]{2}\s")
 #: Ids in a block, about.
 BLOCK_IDS = 1_000_000
 #: Rows of text per file, about, and the fewest files.
@@ -67,7 +71,11 @@ class Encoder:
     """The tokenizers library behind a bounded cache of the ids of pieces between white space.
 
     No pre-token of a white-space splitting vocabulary spans white space, so a text's ids are those
-    of its pieces; texts that name a special token go to the library whole.
+    of its pieces; a text that names a special token is one piece. The cache has a young and an old
+    half: a full young half becomes the old one, whose entries are taken back when they are needed, so
+    frequent pieces stay. It lives as long as the worker and serves all its tasks. If the vocabulary
+    gives closing punctuation ids of its own, and no case its own, which is tried when it is loaded,
+    pieces are parted from that punctuation and put into lower case, so there are fewer of them.
     """
 
     def __init__(self, path: str):
@@ -80,33 +88,75 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        added = self.library.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        self.mark = next(((t.content, i) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.white = regex.compile(WHITE)
-        self.cache: dict[str, bytes] = {}
-
-    def split(self, text: str) -> list[str]:
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        whole = lambda x: self.library.encode(x, add_special_tokens=False).ids
+        tails = [*(chr(c) for c in range(33, 127) if not chr(c).isalnum()), "!?.", "%%%", "'."]
+        self.parts = all(whole(f"ab1{t} c") == whole(f"ab1 {t} c") and whole(f"ab{t} c") == whole(f"ab {t} c") for t in tails)
+        self.lower = whole("aBÉ Ab") == whole("abé ab")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def split(self, text: str | None) -> list[str]:
         """The pieces of a text; a text with a special token is one piece."""
+        if not text:
+            return []
         if "<" in text and any(s in text for s in self.special):
             return [text]
         if any(c in text for c in SPLIT_ONLY):
             return [x for x in self.white.split(text) if x]
+        if self.parts:
+            text = CLOSING.sub(r" \1", text) if DOUBLE.search(text) else text.replace(". ", " . ").replace(", ", " , ")
+        if self.lower and "Σ" not in text:
+            low = text.lower()
+            if not ("<" in low and any(s in low for s in self.special)):
+                text = low
         return text.split()
 
     def learn(self, pieces: list[str]) -> None:
-        """Puts the ids (uint32, little-endian) of new pieces into the cache."""
-        for x, e in zip(pieces, self.library.encode_batch(pieces, add_special_tokens=False), strict=True):
-            self.cache[x] = np.asarray(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text."""
-        pieces, cache = self.split(text), self.cache
-        if new := [x for x in dict.fromkeys(pieces) if x not in cache]:
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = list(dict.fromkeys(pieces))
+        """Puts the ids of new pieces into the young half.
+
+        Pieces without special tokens go to the library as one text with a special token between
+        them, at which the ids are cut again.
+        """
+        plain = [x for x in pieces if self.mark and not ("<" in x and any(s in x for s in self.special))]
+        for x in set(pieces).difference(plain):
+            self.young[x] = np.asarray(self.library.encode(x, add_special_tokens=False).ids, self.kind).tobytes()
+        for a in range(0, len(plain), CALL):
+            some = plain[a : a + CALL]
+            ids = np.asarray(self.library.encode_batch_fast([self.mark[0].join(some)], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.flatnonzero(ids == self.mark[1]) * self.kind.itemsize
+            raw, at, width = ids.tobytes(), 0, self.kind.itemsize
+            for x, to in zip(some, [*cuts.tolist(), len(raw)], strict=True):
+                self.young[x] = raw[at:to]
+                at = to + width
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of whole texts, in order."""
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size < CUT_CHARS):
+                size += len(texts[to] or "")
+                to += 1
+            cut = [self.split(x) for x in texts[at:to]]
+            young, old = self.young, self.old
+            new = []
+            for x in set().union(*cut).difference(young):
+                if (ids := old.get(x)) is None:
+                    new.append(x)
+                else:
+                    young[x] = ids
             self.learn(new)
-        return np.frombuffer(b"".join([cache[x] for x in pieces]), "<u4")
+            for pieces in cut:
+                yield np.frombuffer(b"".join(map(young.__getitem__, pieces)), self.kind)
+            if len(young) > CACHE:
+                self.young, self.old = {}, young
+            at = to
 
 
 _encoders: dict[str, Encoder] = {}
@@ -119,47 +169,65 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def id_counts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(id, n): how often each id occurs in all texts, the end id once per row.
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids of every row: the ids of its whole text as compressed uint16 or uint32.
 
-    Every task counts the distinct pieces of its texts, encodes each once, and sends at most one row
-    per id of the vocabulary.
+    No shuffle; null text is empty. Encoding costs more than all else, so it is done once and written.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        total = np.zeros(max(enc.size, end_id + 1), np.int64)
-        seen: Counter[str] = Counter()
+        import zstandard as z
+
+        enc, packer = encoder(path), z.ZstdCompressor(level=1)
+        for batch in batches:
+            ids = [packer.compress(x.tobytes()) for x in enc.encode_all(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary"), "token-ids")
+
+
+def unfold(parts: list[bytes], kind: np.dtype) -> Iterator[np.ndarray]:
+    """The ids that :func:`encode` packed."""
+    import zstandard as z
+
+    engine = z.ZstdDecompressor()
+    for x in parts:
+        yield np.frombuffer(engine.decompress(x), kind)
+
 
-        def settle() -> None:
-            found = enc.library.encode_batch(list(seen), add_special_tokens=False)
-            lengths = [len(e.ids) for e in found]
-            ids = np.fromiter((i for e in found for i in e.ids), np.int64, sum(lengths))
-            np.add.at(total, ids, np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), lengths))
-            seen.clear()
+def rank_table(encoded: DataFrame, size: int, kind: np.dtype, end_id: int) -> np.ndarray:
+    """Ids by falling frequency in all documents, then rising id; ids that no text has follow.
 
+    The end id counts once per row. A task adds up its own counts and sends at most one row per id of
+    the vocabulary; the table has the vocabulary's size, so it is collected and sent with the tasks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total[end_id] += 1
-                seen.update(enc.split(text or ""))
-                if len(seen) > CACHE:
-                    settle()
-        settle()
+            total[end_id] += batch.num_rows
+            for part in _joined(unfold(batch.column(0).to_pylist(), kind)):
+                total += np.bincount(part, minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
-    return docs.select("text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def rank_table(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
-    """Ids by falling frequency, then rising id; ids that no text has follow. Its size is that of the
-    vocabulary, so it is collected and sent with the tasks."""
-    counts = id_counts(docs, path, end_id).toPandas()
-    total = np.zeros(max(encoder(path).size, end_id + 1), np.int64)
+    counts = encoded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(size, np.int64)
     total[counts["id"].to_numpy()] = counts["n"].to_numpy()
     return np.argsort(-total, kind="stable").astype("<u4")
 
 
+def _joined(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    held: list[np.ndarray] = []
+    for x in parts:
+        held.append(x)
+        if len(held) >= 200 or len(x) >= BLOCK_IDS:
+            yield np.concatenate(held)
+            held = []
+    if held:
+        yield np.concatenate(held)
+
+
 def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, files: int | None = None) -> DataFrame:
     """Writes the ids of all texts in rising doc_id order; returns the manifest (part, seq, file,
     n_docs, n_tokens), in whose order the files continue one another.
@@ -168,13 +236,16 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, file
     than its range; rows without doc_id come first, repeated rows stay. A file bears the name of its
     attempt, so repeated tasks leave no half file among those that the manifest names.
     """
-    table = rank_table(docs, path, end_id)
-    rank = np.empty(len(table), "<u4")
-    rank[table] = np.arange(len(table), dtype="<u4")
-    files = files or max(LEAST_FILES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // FILE_ROWS)
+    enc = encoder(path)
+    size, kind = max(enc.size, end_id + 1), enc.kind
+    encoded = encode(docs, path)
+    table = rank_table(encoded, size, kind, end_id)
+    rank = np.empty(size, "<u4")
+    rank[table] = np.arange(size, dtype="<u4")
+    files = files or max(LEAST_FILES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), encoded.count() // FILE_ROWS)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, n_docs, n_tokens, part = encoder(path), None, 0, 0, 0
+        out, n_docs, n_tokens, held, part = None, 0, 0, 0, 0
         ids: list[np.ndarray] = []
         doc_ids: list[int] = []
         end = np.array([rank[end_id]], "<u4")
@@ -187,16 +258,15 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, file
             ids.clear()
             doc_ids.clear()
 
-        held = 0
         for batch in batches:
-            for doc_id, text, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):  # noqa: B007
+            for doc_id, own, part in zip(batch.column(0).to_pylist(), unfold(batch.column(1).to_pylist(), kind), batch.column(2).to_pylist(), strict=True):  # noqa: B007
                 if out is None:
                     fs, root = filesystem(folder)
                     fs.create_dir(root, recursive=True)
                     name = f"tokens-{part:06d}-{uuid.uuid4().hex}.bin"
-                    out = fs.open_output_stream(f"{root}/{name}")
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
                     out.write(MAGIC + len(table).to_bytes(8, "little") + table.tobytes())
-                ids.append(np.concatenate([rank[enc.encode(text or "")], end]))
+                ids.append(np.concatenate([rank[own], end]))
                 doc_ids.append(NO_ID if doc_id is None else doc_id)
                 n_docs, n_tokens, held = n_docs + 1, n_tokens + len(ids[-1]), held + len(ids[-1])
                 if held >= BLOCK_IDS:
@@ -208,9 +278,11 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, file
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((part, pa.int32()), (0, pa.int32()), (name, pa.string()), (n_docs, pa.int64()), (n_tokens, pa.int64()))], ["part", "seq", "file", "n_docs", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first())
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
-    return stash(rows.mapInArrow(write, MANIFEST), "token-manifest")
+    rows = encoded.repartitionByRange(files, F.col("doc_id").asc_nulls_first())
+    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").withColumn("part", F.spark_partition_id())
+    manifest = stash(rows.mapInArrow(write, MANIFEST), "token-manifest")
+    drop_stash(encoded)
+    return manifest
 
 
 def read_blocks(stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -242,7 +314,7 @@ def read_token_files(manifest: DataFrame, folder: str, ids: bool = True) -> Data
         fs, root = filesystem(folder)
         for batch in batches:
             for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with fs.open_input_stream(f"{root}/{file}") as stream:
+                with fs.open_input_stream(f"{root}/{file}", compression=None) as stream:
                     for doc_ids, sizes, values in read_blocks(stream):
                         to = np.cumsum(sizes)
                         raw = memoryview(np.ascontiguousarray(values, "<u4")).cast("B")
