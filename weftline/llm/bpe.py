@@ -38,6 +38,7 @@ class WordBpe:
     def __init__(self, path: str):
         import regex
 
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -54,9 +55,18 @@ class WordBpe:
         self.words: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, str, str]] = {}
 
-    def merge(self, word: str) -> tuple[int, ...]:
-        """Ids of one pre-token."""
-        symbols = [self.letters[b] for b in word.encode()]
+    def cut_by_library(self, piece: str) -> list[str]:
+        """Pre-tokens, in byte letters, of a piece with characters that this Python's Unicode tables do
+        not know: which of them are letters is for the library's newer tables to say."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))]
+
+    def merge(self, word: str, lettered: bool = False) -> tuple[int, ...]:
+        """Ids of one pre-token, which may be in byte letters already."""
+        symbols = list(word) if lettered else [self.letters[b] for b in word.encode()]
         symbols[-1] += self.end
         ids = [self.vocab[s] for s in symbols if s in self.vocab]
         n = len(ids)
@@ -88,6 +98,8 @@ class WordBpe:
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """Ids of a text without white space and special tokens."""
         out: list[int] = []
+        if not piece.isprintable():
+            return tuple(i for x in self.cut_by_library(piece) for i in self.merge(x, lettered=True))
         for word in self.token.findall(self.normal(piece)):
             ids = self.words.get(word)
             if ids is None:
