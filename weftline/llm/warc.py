@@ -121,7 +121,7 @@ class Writer:
 
         self.name = f"part-{uuid.uuid4().hex}.warc.zst"
         self.fs.create_dir(self.folder, recursive=True)
-        self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}")
+        self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}", compression=None)
         words = build_dictionary(self.held)
         self.out.write(DICTIONARY_MAGIC.to_bytes(4, "little") + len(words).to_bytes(4, "little") + words)
         self.packer = z.ZstdCompressor(level=LEVEL, write_checksum=True, **({"dict_data": z.ZstdCompressionDict(words)} if words else {}))
@@ -210,7 +210,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
         size = 0
         for batch in batches:
             for file in batch.column(0).to_pylist():
-                with fs.open_input_stream(f"{root}/{file}") as stream:
+                with fs.open_input_stream(f"{root}/{file}", compression=None) as stream:
                     for record in read_records(stream):
                         x, block = parse(record)
                         digest, length = x["WARC-Payload-Digest"].removeprefix("sha256:"), int(x["WARC-Payload-Length"])
