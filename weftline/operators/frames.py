@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 
 def _keys(order: str | Column | Sequence[str | Column]) -> list[Column]:
@@ -20,22 +21,24 @@ def _keys(order: str | Column | Sequence[str | Column]) -> list[Column]:
 
 
 def with_position(df: DataFrame, order: str | Column | Sequence[str | Column], name: str = "pos") -> DataFrame:
-    """Adds the 0-based place of each row in a total order.
+    """Adds the 0-based place of each row in a total ascending order (nulls first).
 
-    Rows are counted per bucket of the leading key's hash-free range: the approximate percentiles of
-    the first key cut it into buckets, the buckets' counts are summed over (a row per bucket), and a
-    window numbers the rows within each bucket. The result does not depend on where the cuts fall.
+    Approximate percentiles of the first key cut the rows into buckets, the buckets' counts are summed
+    over (one row per bucket), and a window numbers the rows within each bucket, so no task holds more
+    than a bucket. Where the cuts fall makes no difference to the result.
     """
     keys = _keys(order)
-    first = keys[0]
-    kind = df.select(first.alias("k")).schema[0].dataType.typeName()
-    if kind in ("byte", "short", "integer", "long", "float", "double", "timestamp", "timestamp_ntz", "date"):
-        number = first if kind in ("byte", "short", "integer", "long", "float", "double") else F.unix_micros(first.cast("timestamp"))
-        n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        cuts = df.agg(F.percentile_approx(number.cast("double"), [k / n for k in range(1, n)], 10_000)).first()[0]
-        bucket = reduce(lambda a, c: a + F.when(number.cast("double") > c, 1).otherwise(0), sorted(set(cuts or [])), F.lit(0))
-    else:
-        bucket = F.lit(0) if df.rdd.getNumPartitions() == 0 else F.coalesce(F.ascii(F.substring(first, 1, 1)), F.lit(-1))
+    kind = df.select(keys[0].alias("k")).schema[0].dataType
+    if isinstance(kind, NumericType):
+        number = keys[0].cast("double")
+    elif isinstance(kind, (TimestampType, TimestampNTZType, DateType)):
+        number = F.unix_micros(keys[0].cast("timestamp")).cast("double")
+    else:  # the first bytes of a text, as a number of the same order
+        head = F.rpad(F.substring(F.encode(keys[0].cast("string"), "UTF-8"), 1, 6), 6, F.lit(b"\x00"))
+        number = F.conv(F.hex(head), 16, 10).cast("double")
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = df.agg(F.percentile_approx(number, [k / n for k in range(1, n)], 10_000)).first()[0]
+    bucket = reduce(lambda a, c: a + F.when(number > c, 1).otherwise(0), sorted(set(cuts or [])), F.lit(0))
     rows = df.withColumn("__bucket", bucket)
     counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = counts.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__before"))
