@@ -156,3 +156,29 @@ def test_errors_and_retries(spark):
 def test_bad_specs(jobs):
     with pytest.raises(P.SpecError):
         P.read_jobs({"jobs": jobs}, ["in"])
+
+
+def test_command_line(tmp_path, spark, sf_dir, capsys):
+    import json
+
+    from weftline.__main__ import load, main, merge
+
+    spec = {"sources": {"n": {"path": "${env.WEFT_DIR | " + sf_dir + "}/nation.parquet"}}, "jobs": [{"id": "f", "input": "n", "do": "filter", "where": {"input": "${n_regionkey}", "operator": "eq", "value": "${input.region as integer}"}}]}
+    (tmp_path / "a.json").write_text(json.dumps(spec))
+    (tmp_path / "b.json").write_text('{"seed": 4}')
+    assert load([str(tmp_path / "a.json"), str(tmp_path / "b.json")], {"WEFT_DIR": "/x"}) == spec | {"seed": 4, "sources": {"n": {"path": "/x/nation.parquet"}}}
+    assert merge({"a": {"b": 1, "c": 2}}, {"a": {"c": 3}, "d": 4}) == {"a": {"b": 1, "c": 3}, "d": 4}
+    (tmp_path / "c.json").write_text('{"x": "${env.WEFT_NONE}"}')
+    with pytest.raises(P.SpecError):
+        load([str(tmp_path / "c.json")], {})
+    assert main(["validate", str(tmp_path / "a.json")]) == 0 and "inputs: region" in capsys.readouterr().out
+
+
+def test_models_keep_nulls(spark):
+    from weftline.functions import models
+
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "id int, t string")
+    got = df.select("id", models.infer("text-to-text", "upper", F.col("t")).alias("u"), models.infer("text-embedding", "hashing", F.col("t"), batch=1).alias("e"), models.infer("text-classification", "length", F.col("t")).alias("c")).collect()
+    assert [r["u"] for r in got] == ["A B", None, ""] and got[1]["e"] is None and len(got[0]["e"]) == 64 and got[2]["e"] == [0.0] * 64 and got[0]["c"]["label"] == "short"
+    with pytest.raises(ValueError):
+        models.infer("text-to-speech", "none", F.col("t"))

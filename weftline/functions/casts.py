@@ -123,3 +123,11 @@ def parse_size(c: Column) -> Column:
 def parse_decimal(c: Column) -> Column:
     """Number of ``3k``, ``1.5M``, ``2G``: factors of 1000; null without a suffix."""
     return _suffixed(c, DECIMALS, r"((?i:k|m|g))$", bare=False)
+
+
+def data_uri(c: Column) -> Column:
+    """struct(content_type, content) of a ``data:`` URI, base64 or percent-encoded; null else."""
+    head = r"^data:([^;,]*)((?:;[^;,]*)*),(?s:(.*))$"
+    kind, options, body = (F.regexp_extract(c, head, k) for k in (1, 2, 3))
+    content = F.when(F.contains(options, F.lit(";base64")), F.try_to_binary(body, F.lit("base64"))).otherwise(F.encode(F.try_url_decode(body), "UTF-8"))
+    return F.when(F.rlike(c, F.lit(head)), F.struct(F.when(kind == "", F.lit("text/plain")).otherwise(kind).alias("content_type"), content.alias("content")))

@@ -252,3 +252,11 @@ def parse_size(t):
 def json_decode(t):
     df = t("events").withColumn("decoded", F.try_parse_json("props"))
     return df.select("event_id", F.try_variant_get("decoded", "$.k", "bigint").alias("k"), F.startswith(F.schema_of_variant("decoded"), F.lit("OBJECT")).alias("is_object"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL WHEN event_id % 3 = 1 THEN 'text/plain' ELSE 'application/json' END AS content_type, CASE WHEN event_id % 3 = 2 THEN NULL WHEN event_id % 3 = 1 THEN event_type || ' x' ELSE props END AS content FROM events")
+def data_uri_parse(t):
+    k = F.col("event_id") % 3
+    uri = F.when(k == 0, F.concat(F.lit("data:application/json;base64,"), F.base64(F.encode("props", "UTF-8")))).when(k == 1, F.concat(F.lit("data:,"), F.col("event_type"), F.lit("%20x"))).otherwise(F.col("event_type"))
+    out = t("events").select("event_id", casts.data_uri(uri).alias("u"))
+    return out.select("event_id", "u.content_type", F.decode("u.content", "UTF-8").alias("content"))

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import models
 from ..functions import text as T
 from ..operators import align
 from ..streaming import steps
@@ -97,3 +98,13 @@ def session_windows(t):
     rows = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = steps.sessions(rows, "ts", "6 hours", "1 day", ["user_id"])
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query()
+def model_embedding(t):
+    return t("benchmark").select("item_id", models.infer("text-embedding", "hashing", F.col("text")).alias("embedding"))
+
+
+@query("SELECT doc_id, CASE WHEN len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) >= 100 THEN 'long' ELSE 'short' END AS label FROM documents")
+def model_classification(t):
+    return t("documents").select("doc_id", models.infer("text-classification", "length", F.col("text"))["label"].alias("label"))
