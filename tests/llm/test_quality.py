@@ -93,7 +93,7 @@ def test_log_weights_equal_the_models(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["the cat sat", "the dog", "### !!! ###", "the cat"])], "doc_id long, text string")
     labels = spark.createDataFrame([(0, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     ratios = importance.log_ratios(docs, importance.labelled_rows(labels))
-    raw, target = np.zeros(importance.BUCKETS) + 0.5, np.zeros(importance.BUCKETS) + 0.5
+    raw, target = np.zeros(importance.BUCKETS) + 0.5, np.zeros(importance.BUCKETS)
     for i, t in enumerate(["the cat sat", "the dog", "### !!! ###", "the cat"]):
         for f in importance.features(t):
             raw[f] += 1

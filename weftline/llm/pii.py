@@ -127,15 +127,16 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, share) of terms whose share of the entity's information reaches ``GENERALISE``.
 
     share = log2(N n_te / (n_t n_e)) / log2(N / n_e), where N counts documents, n_e and n_te the
-    different contexts of the entity and those with the term, n_t the documents that hold the term
+    different contexts of the entity and those with the term (of different texts, so that a passage
+    that a text repeats is no evidence), n_t the documents that hold the term
     anywhere. n_t is counted over all texts, for terms in at least ``LEAST_CONTEXTS`` contexts of one
     entity only; these are broadcast if their number is small, else joined by shuffle.
     """
-    rows = found.select(F.explode("near").alias("x")).select("x.entity", "x.context", "x.term")
-    per_context = rows.distinct()
-    n_te = per_context.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= LEAST_CONTEXTS)
+    rows = found.select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.entity", "x.context", "x.term")
+    apart = F.least(F.countDistinct("context"), F.countDistinct("text_hash"))
+    n_te = rows.groupBy("entity", "term").agg(apart.alias("n_te")).where(F.col("n_te") >= LEAST_CONTEXTS)
     n_te = stash(n_te, "pii-pairs")
-    n_e = per_context.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    n_e = rows.groupBy("entity").agg(apart.alias("n_e"))
     terms = stash(n_te.select("term").distinct(), "pii-terms")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
     n_t = words.join(sized_broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
