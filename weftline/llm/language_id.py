@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import sized_broadcast
+
 #: Longest context in bytes.
 ORDER = 3
 #: Bound of the sample that the trees are fitted on: documents per language, and their longest text.
@@ -34,13 +36,18 @@ UNDETERMINED = "und"
 
 def training_sample(docs: DataFrame) -> DataFrame:
     """(lang, text) of at most ``SAMPLE_DOCS`` documents per language, those of the smallest hash of
-    their doc_id and text. Null lang or text, and texts over ``SAMPLE_CHARS``, are left out. The rank
-    limit is applied before the shuffle as well, so a language with most rows stays a small group.
+    their doc_id and text. Null lang or text, and texts over ``SAMPLE_CHARS``, are left out.
+
+    Rows are counted per language first, and only hashes below a bound that lets about
+    ``4 * SAMPLE_DOCS`` of them pass are ranked, so the group of a language stays small at any size.
     """
+    counts = docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("__n")).withColumnRenamed("lang", "__lang")
     found = docs.where("lang is not null and text is not null").where(F.length("text").between(1, SAMPLE_CHARS))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    light = found.select("doc_id", "lang", "text").withColumn("__rank", F.row_number().over(order))
-    return light.where(F.col("__rank") <= SAMPLE_DOCS).select("lang", "text")
+    found = found.select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("__hash"))
+    found = found.join(sized_broadcast(counts), F.col("lang") == F.col("__lang"))
+    found = found.where(F.pmod("__hash", F.lit(1 << 30)) < F.lit(4.0 * SAMPLE_DOCS * (1 << 30)) / F.col("__n"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("__hash", F.lit(1 << 30)), "__hash", "doc_id")
+    return found.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= SAMPLE_DOCS).select("lang", "text")
 
 
 def count_contexts(texts: list[str]) -> dict[bytes, np.ndarray]:

@@ -130,13 +130,15 @@ def judge(measured: DataFrame) -> DataFrame:
     """
     found = fences(measured)
     per = [found.where(F.col("level") == k).groupBy("lang", "source").agg(F.first("total").alias(f"__n{k}"), *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"__{m}{k}") for m in MEASURES]) for k in range(3)]
+    whole = per[2].first()  # one row, for all documents
     keys = measured.select(F.col("lang").alias("__l"), F.col("source").alias("__s")).distinct()
-    one, two, three = per[0], per[1].drop("source").withColumnRenamed("lang", "__lang1"), per[2].drop("lang", "source").withColumn("__all", F.lit(2))
-    limits = keys.join(one, F.col("__l").eqNullSafe(F.col("lang")) & F.col("__s").eqNullSafe(F.col("source"))).drop("lang", "source")
-    limits = limits.join(two, F.col("__l").eqNullSafe(F.col("__lang1"))).drop("__lang1").withColumn("__all", F.lit(2)).join(three, "__all", "left")
+    language = per[1].drop("source").withColumnRenamed("lang", "__lang1")
+    limits = keys.join(per[0], F.col("__l").eqNullSafe(F.col("lang")) & F.col("__s").eqNullSafe(F.col("source"))).drop("lang", "source")
+    limits = limits.join(language, F.col("__l").eqNullSafe(F.col("__lang1"))).drop("__lang1")
 
     def pick(m: str) -> Column:
-        return F.when(F.col("__n0") >= LEAST_GROUP, F.col(f"__{m}0")).when(F.col("__n1") >= LEAST_GROUP, F.col(f"__{m}1")).otherwise(F.col(f"__{m}2"))
+        last = F.lit(whole[f"__{m}2"] if whole else None).cast("double")
+        return F.when(F.col("__n0") >= LEAST_GROUP, F.col(f"__{m}0")).when(F.col("__n1") >= LEAST_GROUP, F.col(f"__{m}1")).otherwise(last)
 
     limits = limits.select("__l", "__s", *[pick(m).alias(f"__fence_{m}") for m in MEASURES])
     out = measured.join(limits, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left")
