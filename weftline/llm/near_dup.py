@@ -8,9 +8,10 @@ of the links.
 
 How it stays small: equal texts are folded into their first document before anything else. A bucket
 (band, value) never emits its pairs. First every member is compared with the bucket's smallest
-document; after the components of those links are known, only buckets that still hold several
-components are looked at, and there the members outside of the largest component are compared with
-all members, in blocks, by their samples; what agrees well enough is verified like any candidate.
+document. After the components of those links are known, only buckets that still hold several
+components are looked at: the members outside of a bucket's largest component are compared with all
+its members in blocks, where a whole block is scored against a query by numpy and only links leave
+the task. So every pair of a bucket is either compared or known to be connected.
 """
 
 from __future__ import annotations
@@ -31,17 +32,15 @@ BANDS, ROWS = 16, 4
 HASHES = BANDS * ROWS
 #: Slots of the sketch of document frequencies, its blocks, and the frequency from which a shingle
 #: counts as common; rarer ones have full weight.
-SLOTS, BLOCKS, COMMON = 1 << 18, 64, 0.01
+SLOTS, BLOCKS, COMMON = 1 << 18, 64, 0.1
 #: Steps of the logarithm of a weight, and how many of them are told apart.
 STEP, LEVELS = 0.125, 64
 #: Random (r, c, beta) triples that a shingle and hash choose from.
 TRIPLES = 1 << 16
 #: Shingles that are sampled at once.
 PART = 1024
-#: Share of equal samples from which a pair inside a bucket is verified.
-AGREEMENT = 0.6
-#: Members of a bucket that are compared as one block.
-BLOCK_ROWS = 2_000
+#: Members, and queries, of a bucket that are compared as one block.
+BLOCK_ROWS = 500
 SEED = 20_031
 
 
@@ -160,30 +159,26 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signatures(docs: DataFrame, slots: np.ndarray) -> DataFrame:
-    """doc_id, digest (of the words in order; null without words), bands (array<long>), sample (bytes).
-
-    No shuffle. ``sample`` holds one byte of every sample, to compare members of a bucket.
-    """
+    """doc_id, digest (of the words in order; null without words), bands (array<long>). No shuffle."""
     table = docs.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(table.value)
         salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            digests, bands, samples = [], [], []
+            digests, bands = [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 if not words:
-                    digests.append(None), bands.append(None), samples.append(None)
+                    digests.append(None), bands.append(None)
                     continue
                 found = sampler.sample(*np.unique(window_hashes(word_hashes(words), SHINGLE), return_counts=True))
                 key = window_hashes_by_row(found.reshape(BANDS, ROWS).astype(np.uint64)) + salt
                 digests.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 bands.append((key * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
-                samples.append((found * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(samples, pa.binary())], ["doc_id", "digest", "bands", "sample"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>, sample binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>")
 
 
 def window_hashes_by_row(rows: np.ndarray) -> np.ndarray:
@@ -195,17 +190,24 @@ def window_hashes_by_row(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(__own, text) of the named documents: a broadcast filter if they are few, a shuffle join else.
+
+    Of rows that share a doc_id, the smallest text counts.
+    """
+    named = stash(ids.select(F.col(ids.columns[0]).alias("__id")).distinct(), "candidate-ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("__own"), "text").join(sized_broadcast(named), F.col("__own") == F.col("__id"), "left_semi")
+    return stash(texts.groupBy("__own").agg(F.min("text").alias("text")), "candidate-texts")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, slots: np.ndarray) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts are similar enough.
 
-    Only texts of documents in a pair are moved: those are broadcast-filtered if they are few, else
-    found by a shuffle join. Each is joined to its pairs; a document in very many pairs is one row on
-    its side, and Spark splits the partitions of the other side.
+    Only texts of documents in a pair are moved. Each is joined to its pairs; a document in very many
+    pairs is one row on its side, and Spark splits the partitions of the other side.
     """
     pairs = stash(pairs, "candidate-pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("__own"), "text").join(sized_broadcast(stash(named, "candidate-ids")), F.col("__own") == F.col("__id"), "left_semi")
-    texts = stash(texts.groupBy("__own").agg(F.min("text").alias("text")), "candidate-texts")
+    texts = texts_of(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), docs)
     both = pairs.join(texts.select(F.col("__own").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("__own").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     table = docs.sparkSession.sparkContext.broadcast(slots)
@@ -226,6 +228,30 @@ def verify(pairs: DataFrame, docs: DataFrame, slots: np.ndarray) -> DataFrame:
     return out
 
 
+class Block:
+    """Texts of a block, to be scored against one text at a time."""
+
+    def __init__(self, texts: list[str | None], slots: np.ndarray):
+        nothing = np.zeros(1, np.uint64), np.ones(1, int)
+        sets = [x if len((x := shingles(t))[0]) else nothing for t in texts]
+        self.slots = slots
+        self.weights = np.concatenate([weights_of(levels_of(*x, slots)) for x in sets]) if sets else np.zeros(0)
+        self.words, self.places = np.unique(np.concatenate([x[0] for x in sets]) if sets else np.zeros(0, np.uint64), return_inverse=True)
+        self.starts = np.cumsum([0] + [len(x[0]) for x in sets[:-1]]) if sets else np.zeros(0, int)
+        self.totals = np.add.reduceat(self.weights, self.starts) if sets else np.zeros(0)
+
+    def scores(self, text: str | None) -> np.ndarray:
+        """Weighted Jaccard similarity of a text with each text of the block."""
+        hashes, counts = shingles(text)
+        own = weights_of(levels_of(hashes, counts, self.slots))
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        known = self.words[at] == hashes
+        table = np.zeros(len(self.words))
+        table[at[known]] = own[known]
+        shared = np.add.reduceat(np.minimum(self.weights, table[self.places]), self.starts)
+        return shared / (self.totals + own.sum() - shared)
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(doc_id, component): the smallest doc_id that each node is connected with by links (a, b).
 
@@ -255,37 +281,43 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return members.join(hub, "bucket").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
 
 
-def residual_pairs(members: DataFrame, found: DataFrame, samples: DataFrame) -> DataFrame:
-    """(a, b) of members of one bucket in different components whose samples agree well enough.
+def residual_links(members: DataFrame, found: DataFrame, docs: DataFrame, slots: np.ndarray) -> DataFrame:
+    """Links (a, b) between different components inside one bucket.
 
-    The members outside of a bucket's largest component are the queries. They are sent to every
-    block of ``BLOCK_ROWS`` members of their bucket; a block compares them by numpy and emits only what
-    agrees, so no bucket gathers in one task and no pair of one component is looked at again.
+    The members outside of a bucket's largest component are the queries. Members and queries of a
+    bucket are cut into blocks of about ``BLOCK_ROWS`` and every block of queries meets every block of
+    members, so no bucket gathers in one task; a pair that shares several buckets is compared in each,
+    but leaves a task only as a link.
     """
     rows = members.join(found, "doc_id")
     sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct(F.col("n"), F.col("component"))).alias("top"), F.sum("n").alias("size")).where("parts > 1")
-    mixed = mixed.select("bucket", F.col("top.component").alias("main"), F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "bucket").join(samples.select("doc_id", "sample"), "doc_id")
-    rows = stash(rows.select("bucket", "doc_id", "component", "sample", "main", "blocks"), "mixed-buckets")
-    everyone = rows.select("bucket", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "doc_id", "component", "sample")
-    block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q_block")
-    queries = rows.where("component <> main").select(F.col("bucket").alias("q_bucket"), block, F.col("doc_id").alias("q_id"), F.col("component").alias("q_component"), F.col("sample").alias("q_sample"))
+    top = F.max(F.struct("n", "component")).alias("top")
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), top, F.sum("n").alias("size")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    mixed = mixed.select("bucket", F.col("top.component").alias("main"), blocks(F.col("size")).alias("blocks"), blocks(F.col("size") - F.col("top.n")).alias("q_blocks"))
+    rows = stash(rows.join(mixed, "bucket"), "mixed-buckets")
+    rows = rows.join(texts_of(rows.select("doc_id"), docs), F.col("doc_id") == F.col("__own"))
+    of = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    everyone = rows.select("bucket", of("blocks", 1).alias("block"), each("q_blocks").alias("with_block"), "doc_id", "component", "text")
+    queries = rows.where("component <> main").select(F.col("bucket").alias("q_bucket"), each("blocks").alias("q_block"), of("q_blocks", 2).alias("q_with"), F.col("doc_id").alias("q_id"), F.col("component").alias("q_component"), F.col("text").alias("q_text"))
+    table = docs.sparkSession.sparkContext.broadcast(slots)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out_a, out_b = [], []
         if len(left) and len(right):
-            pick = lambda t, *names: (t[names[0]].to_numpy(), t[names[1]].to_numpy(), np.frombuffer(b"".join(t[names[2]].to_pylist()), np.uint8).reshape(-1, HASHES))
-            ids, own, x = pick(left, "doc_id", "component", "sample")
-            their_ids, theirs, y = pick(right, "q_id", "q_component", "q_sample")
-            for k in range(len(their_ids)):
-                hit = ((x == y[k]).mean(1) >= AGREEMENT) & (own != theirs[k])
-                out_a += ids[hit].tolist()
-                out_b += [int(their_ids[k])] * int(hit.sum())
+            ids, own = left["doc_id"].to_numpy(), left["component"].to_numpy()
+            theirs = right["q_component"].to_numpy()
+            if len(set(own.tolist()) | set(theirs.tolist())) > 1:
+                block = Block(left["text"].to_pylist(), table.value)
+                for k, (i, text) in enumerate(zip(right["q_id"].to_pylist(), right["q_text"].to_pylist(), strict=True)):
+                    hit = (own != theirs[k]) & (block.scores(text) >= SIMILARITY) if (own != theirs[k]).any() else []
+                    out_a += ids[hit].tolist() if len(hit) else []
+                    out_b += [i] * int(np.sum(hit))
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    pairs = everyone.groupBy("bucket", "block").cogroup(queries.groupBy("q_bucket", "q_block")).applyInArrow(compare, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = everyone.groupBy("bucket", "block", "with_block").cogroup(queries.groupBy("q_bucket", "q_block", "q_with")).applyInArrow(compare, "a long, b long")
+    return stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -308,8 +340,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     links = verify(star_pairs(members), docs, slots)
     nodes = members.select("doc_id").distinct()
     found = stash(components(nodes, links), "near-dup-components")
-    more = residual_pairs(members, found, firsts)
-    links = links.unionByName(verify(more, docs, slots))
+    links = links.unionByName(residual_links(members, found, docs, slots))
     found = stash(components(nodes, links), "near-dup-components")
     to_first = copies.withColumnRenamed("digest", "__digest")
     out = signed.select("doc_id", "digest").join(to_first, F.col("digest") == F.col("__digest"), "left")
