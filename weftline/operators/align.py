@@ -30,19 +30,42 @@ def normal_words(text: str) -> list[str]:
     return WORD.findall(unicodedata.normalize("NFKC", text or "").casefold())
 
 
-def _distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+class Pattern:
+    """A text to be compared with many: edit distance by bit-parallel columns, one step per letter."""
+
+    def __init__(self, text: str):
+        self.size, self.masks = len(text), {}
+        for i, c in enumerate(text):
+            self.masks[c] = self.masks.get(c, 0) | 1 << i
+
+    def distance(self, other: str) -> int:
+        """Edits between the text and another."""
+        if not self.size:
+            return len(other)
+        full, last = (1 << self.size) - 1, 1 << (self.size - 1)
+        plus, minus, total = full, 0, self.size
+        for c in other:
+            same = self.masks.get(c, 0)
+            column = same | minus
+            row = (((same & plus) + plus) ^ plus) | same
+            up, down = minus | ~(row | plus), plus & row
+            total += 1 if up & last else -1 if down & last else 0
+            up, down = (up << 1) | 1, down << 1
+            plus, minus = (down | ~(column | up)) & full, up & column & full
+        return total
+
+    def likeness(self, other: str, least: float = 0.0) -> float:
+        """1 - edit distance over the longer length; below ``least`` perhaps only a bound of it."""
+        longest = max(self.size, len(other))
+        if not longest:
+            return 1.0
+        bound = 1 - abs(self.size - len(other)) / longest
+        return bound if bound < least else 1 - self.distance(other) / longest
 
 
 def likeness(a: str, b: str) -> float:
     """1 - edit distance over the longer length."""
-    longest = max(len(a), len(b))
-    return 1.0 if not longest else 1 - _distance(a, b) / longest
+    return Pattern(a).likeness(b)
 
 
 def align(segments: Sequence[tuple[str, float, float]], reference: Sequence[str], threshold: float = 0.6, multiplier: float = 3.0, least_window: int = 20) -> list[tuple[float, float, str, bool]]:
@@ -59,11 +82,11 @@ def align(segments: Sequence[tuple[str, float, float]], reference: Sequence[str]
     for text, start, end in segments:
         own = normal_words(text)
         n, best, span = len(own), threshold, None
-        joined = " ".join(own)
+        pattern = Pattern(" ".join(own))
         for a in range(at, min(len(words), at + max(least_window, int(n * multiplier)))):
             for size in range(max(1, n - 2), n + 3):
                 if a + size <= len(words):
-                    found = likeness(joined, " ".join(w for _, w in words[a : a + size]))
+                    found = pattern.likeness(" ".join([w for _, w in words[a : a + size]]), best)
                     if found > best or (span is None and found >= best):
                         best, span = found, (a, a + size)
         if span is None:

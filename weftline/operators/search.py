@@ -35,22 +35,29 @@ def index_stats(documents: DataFrame, fields: Sequence[str], id_column: str = "i
     return rows.groupBy("term").agg(F.countDistinct(id_column).alias("documents"), F.count("*").alias("occurrences"))
 
 
-def padded(text: Column) -> Column:
-    """A text as its terms between single spaces, for phrase matches."""
-    return F.concat(F.lit(" "), F.array_join(terms(text), " "), F.lit(" "))
-
-
 def phrase_hits(documents: DataFrame, queries: DataFrame, field: str, id_column: str = "id") -> DataFrame:
     """query_id, id, tf, length of documents that hold the query's terms as a phrase.
 
-    Queries are the stated, small side (broadcast); documents are tokenised once and not shuffled.
+    Windows of a document's terms are hashed once per length that a query has, and hash-joined with
+    the queries, so the work does not grow with their number; overlapping occurrences all count.
     """
-    side = queries.select("query_id", padded(F.col("query")).alias("__q")).where(F.trim("__q") != "")
-    body = documents.select(id_column, padded(F.col(field)).alias("__text")).withColumn("length", F.size(F.split(F.trim("__text"), " ")))
-    hits = body.join(F.broadcast(side), F.contains("__text", F.col("__q")))
-    # neighbouring occurrences share a space: double the spaces before counting
-    counted = F.size(F.split(F.replace("__text", F.lit(" "), F.lit("  ")), F.concat(F.lit("\\Q "), F.replace(F.trim("__q"), F.lit(" "), F.lit("  ")), F.lit(" \\E")))) - 1
-    return hits.select("query_id", id_column, counted.alias("tf"), "length")
+    side = queries.select("query_id", terms(F.col("query")).alias("__terms")).where(F.size("__terms") > 0)
+    side = side.select("query_id", F.size("__terms").alias("__width"), F.xxhash64(F.transform("__terms", lambda x: F.xxhash64(x))).alias("__hash"))
+    body = documents.select(id_column, F.transform(terms(F.col(field)), lambda x: F.xxhash64(x)).alias("__h"))
+    out = None
+    for (width,) in sorted(map(tuple, side.select("__width").distinct().collect())):
+        starts = F.slice("__h", F.lit(1), F.greatest(F.size("__h") - (width - 1), F.lit(0)))
+        rows = body.select(id_column, F.size("__h").alias("length"), F.explode(_windows(starts, width)).alias("__hash"))
+        rows = rows.join(side.where(F.col("__width") == width).select("query_id", "__hash"), "__hash")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        out = body.select(id_column, F.size("__h").alias("length")).crossJoin(queries.select("query_id")).where("false")
+    return out.groupBy("query_id", id_column, "length").agg(F.count("*").alias("tf")).select("query_id", id_column, "tf", "length")
+
+
+def _windows(starts: Column, width: int) -> Column:
+    """Hashes of all windows of ``width`` terms, from the terms' hashes in ``__h``."""
+    return F.transform(starts, lambda _, i: F.xxhash64(F.slice("__h", i + 1, F.lit(width))))
 
 
 def bm25(documents: DataFrame, queries: DataFrame, field: str, limit: int = 10, id_column: str = "id") -> DataFrame:

@@ -11,9 +11,9 @@ from ._registry import query
 TERMS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
 DOC_TERMS = TERMS.format("text")
 #: Queries: two neighbouring words of each benchmark item.
-PHRASES = f"(SELECT item_id AS query_id, array_to_string(list_slice({DOC_TERMS}, 3, 4), ' ') AS query FROM benchmark)"
-BODY = f"(SELECT doc_id, ' ' || array_to_string({DOC_TERMS}, ' ') || ' ' AS body, len({DOC_TERMS}) AS length FROM documents)"
-HITS = f"(SELECT query_id, doc_id, len(string_split(replace(body, ' ', '  '), ' ' || replace(query, ' ', '  ') || ' ')) - 1 AS tf, length FROM {BODY} b JOIN {PHRASES} p ON contains(body, ' ' || query || ' '))"
+PHRASES = f"(SELECT item_id AS query_id, list_slice({DOC_TERMS}, 3, 4) AS q FROM benchmark)"
+BODY = f"(SELECT doc_id, {DOC_TERMS} AS t, ' ' || array_to_string({DOC_TERMS}, ' ') || ' ' AS body FROM documents)"
+HITS = f"(SELECT query_id, doc_id, len(list_filter(range(1, len(t) - len(q) + 2), lambda i: t[i:i + len(q) - 1] = q)) AS tf, len(t) AS length FROM {BODY} b JOIN {PHRASES} p ON len(q) > 0 AND contains(body, ' ' || array_to_string(q, ' ') || ' '))"
 
 
 def phrases(t):
