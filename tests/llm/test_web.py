@@ -30,6 +30,16 @@ def test_pages_without_marked_articles():
     assert html_text.extract(plain).split("\n\n") == [(PROSE * 2).strip()] * 2
 
 
+def test_wrapped_pages():
+    two = f"<p>{PROSE * 2}</p>" * 2
+    page = f"<body><div class=wrap><div class=top><a href=a>a</a> <a href=b>b</a></div><div class=content><h1>T</h1>{two}<ul><li>x y<li>z</ul>{two}</div><div class=more><a href=c>c c c</a><a href=d>d d d d</a></div></div>"
+    assert html_text.extract(page).split("\n\n") == ["T", *[(PROSE * 2).strip()] * 2, "x y", "z", *[(PROSE * 2).strip()] * 2]
+    parts = f"<body><div class=wrap><div class=part>{two}</div><div class=part>{two}</div><div><a href=c>c c c</a></div></div>"
+    assert len(html_text.extract(parts).split("\n\n")) == 4
+    quoted = f"<body><div class=wrap><div class=story><p>{PROSE}</p><blockquote>{two}{two}</blockquote><p>{PROSE}</p></div><div class=top><a href=a>a</a></div></div>"
+    assert len(html_text.extract(quoted).split("\n\n")) == 6
+
+
 @pytest.mark.parametrize("source, want", [(None, ""), ("", ""), ("just text", "just text"), ("<p>a<p>b", "a\n\nb"), ("<p>unclosed <b>bold", "unclosed bold"), ("a < b & c", "a < b & c"), ("<script>x</script>", ""), ("</p></div>x", "x"), ("<", ""), ("<p", "")])
 def test_odd_sources(source, want):
     assert html_text.extract(source) == want

@@ -52,6 +52,9 @@ SKIP_WORDS = frozenset(
 #: Words that turn a marking into a description of the layout, and those of an article's own parts.
 LAYOUT_WORDS = frozenset("with has no without".split())
 ARTICLE_WORDS = frozenset("article entry post story content".split())
+#: Elements that an article is made of, and characters from which another one beside it is a part of it.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure".split())
+LEAST_PART = 100
 #: Elements that SKIP_WORDS never removes.
 KEEP = frozenset("html body main article h1".split())
 
@@ -190,17 +193,26 @@ def select(root: Node) -> list[Node]:
         node = node.parent
         if node.name != "html":
             threshold = min(threshold, node.density)
-    # a list or quotation inside the article may hold the largest sum: go up while what is around
-    # it is prose as dense as the page's path, and stop below body
+    if inside := [x for x in named if _within(best, x) or _within(x, best)]:
+        return [max(inside, key=lambda x: x.chars)]
+    # the largest sum may lie in a list or quotation of the article: go up while prose stands beside it
     node = best
-    while node.parent is not None and node.parent.name not in ("body", "html") and node.parent.density >= threshold:
+    while node.parent is not None and node.parent.name not in ("body", "html") and any(x.name in PROSE and _plain(x) for x in _others(node)):
         node = node.parent
-    if inside := [x for x in named if _within(node, x) or _within(x, node)]:
-        node = max(inside, key=lambda x: x.chars)
     if node.name in ("html", "body"):
-        kept = [x for x in node.kids if isinstance(x, Node) and not x.skipped and (x.density >= threshold or x.name in BLOCK)]
-        return kept if kept and not any(isinstance(x, str) and x.strip() for x in node.kids) else [node]
-    return [node]
+        return [node]
+    beside = [x for x in _others(node) if _plain(x) and (x.name in PROSE or x.chars >= LEAST_PART and x.density >= max(threshold, node.density / 2))]
+    return [x for x in node.parent.kids if x is node or x in beside]
+
+
+def _others(node: Node) -> list[Node]:
+    """Elements beside a node that are measured and hold text."""
+    return [x for x in node.parent.kids if isinstance(x, Node) and x is not node and not x.skipped and x.chars]
+
+
+def _plain(node: Node) -> bool:
+    """Whether less than half of a node's text is links."""
+    return node.link_chars * 2 < node.chars
 
 
 def _within(node: Node, outer: Node) -> bool:
