@@ -11,17 +11,37 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Entries of a cache; a full one is emptied.
-CACHE = 400_000
+#: Entries of the young half of a cache; a full one becomes the old half, from which entries that are
+#: needed are taken back.
+CACHE = 250_000
 #: White space of the normalizer, and control characters that str.split also cuts at.
 WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 SPLIT_ONLY = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: ASCII punctuation at the end of a piece: behind a letter or digit, and two of it.
+CLOSING = re.compile(r"(?<=[^\W_])([!-/:-@\[-`{-~]+)(?=\s)")
+DOUBLE = re.compile(r"[!-/:-@\[-`{-~]{2}\s")
+#: Tails that are tried to see whether a vocabulary parts closing punctuation from words.
+TAILS = (*(chr(c) for c in range(33, 127) if not chr(c).isalnum()), "!?.", "%%%", "'.")
+
+
+def part_closing(text: str) -> str:
+    """The text with a space before punctuation that closes a word."""
+    return CLOSING.sub(r" \1", text) if DOUBLE.search(text) else text.replace(". ", " . ").replace(", ", " , ")
+
+
+def lower_plain(text: str, special) -> str:
+    """The text in lower case, unless that depends on neighbours or makes a special token."""
+    if "Σ" in text:
+        return text
+    low = text.lower()
+    return text if "<" in low and any(s in low for s in special) else low
 
 
 def byte_letters() -> list[str]:
@@ -53,7 +73,12 @@ class WordBpe:
         self.white = regex.compile(WHITE)
         self.letters = byte_letters()
         self.words: dict[str, tuple[int, ...]] = {}
+        self.old_words: dict[str, tuple[int, ...]] = {}
+        whole = lambda x: [i for p in x.split() for i in self.encode_piece(p)]
+        self.apart = all(whole(f"ab1{t} c") == whole(f"ab1 {t} c") and whole(f"ab{t} c") == whole(f"ab {t} c") for t in TAILS)
+        self.lower = whole("aBÉ Ab") == whole("abé ab")
         self.pieces: dict[str, tuple[int, str, str]] = {}
+        self.old_pieces: dict[str, tuple[int, str, str]] = {}
 
     def cut_by_library(self, piece: str) -> list[str]:
         """Pre-tokens, in byte letters, of a piece with characters that this Python's Unicode tables do
@@ -104,16 +129,18 @@ class WordBpe:
             ids = self.words.get(word)
             if ids is None:
                 if len(self.words) >= CACHE:
-                    self.words.clear()
-                ids = self.words[word] = self.merge(word)
+                    self.words, self.old_words = {}, self.words
+                ids = self.words[word] = self.old_words.get(word) or self.merge(word)
             out += ids
         return tuple(out)
 
     def split(self, text: str) -> list[str]:
-        """Pieces between white space."""
+        """Pieces between white space; parted from closing punctuation and in lower case, if that gives
+        the same ids, so that there are fewer different ones."""
         if any(c in text for c in SPLIT_ONLY):
             return [x for x in self.white.split(text) if x]
-        return text.split()
+        text = part_closing(text) if self.apart else text
+        return (lower_plain(text, self.special) if self.lower else text).split()
 
     def parts(self, text: str) -> Iterator[tuple[str, int | None]]:
         """The text between special tokens, with None, and the special tokens with their id."""
@@ -129,9 +156,12 @@ class WordBpe:
         found = self.pieces.get(piece)
         if found is None:
             if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            ids = self.encode_piece(piece)
-            found = self.pieces[piece] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+                self.pieces, self.old_pieces = {}, self.pieces
+            found = self.old_pieces.get(piece)
+            if found is None:
+                ids = self.encode_piece(piece)
+                found = len(ids), " ".join(map(str, ids)), self.decode(ids)
+            self.pieces[piece] = found
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -152,11 +182,12 @@ class WordBpe:
     def digest(self, text: str) -> tuple[int, str, str]:
         """n_tokens, ids in decimal and decoded text, joined from the pieces."""
         found: list[tuple[int, str, str]] = []
-        known, get = self.known, self.pieces.get
+        known = self.known
         for part, special in self.parts(text):
             if special is not None:
                 found.append((1, str(special), self.strings[special]))
             else:
+                get = self.pieces.get
                 found += [get(x) or known(x) for x in self.split(part)]
         found = [x for x in found if x[0]]
         return sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])

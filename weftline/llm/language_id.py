@@ -28,7 +28,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
 #: Bits a byte beyond which no learned language explains a text (8: equal shares).
 MOST_BITS = 7.0
 #: Bytes that are scored at once.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
@@ -97,7 +97,7 @@ class Trees:
     """The trees of all languages as tables.
 
     ``letter`` numbers the bytes that occur (0: the others), ``node`` gives the longest context that
-    any language has for the numbers of the last ``ORDER`` bytes, ``bits[node, byte, lang]`` the cost.
+    any language has for the numbers of the last ``ORDER`` bytes, ``bits[node, letter, lang]`` the cost.
     """
 
     langs: list[str]
@@ -128,7 +128,7 @@ class Trees:
         code = letters[:-ORDER].astype(np.int32)
         for k in range(1, ORDER):
             code = code * width + letters[k : len(letters) - ORDER + k]
-        bits = self.bits[self.node[code], data[ORDER:]]
+        bits = self.bits[self.node[code], letters[ORDER:]]
         total = np.zeros((len(bits) + 1, bits.shape[1]))
         for a in range(0, len(bits), 1 << 18):  # running sums of float32 in float64
             total[a + 1 : a + (1 << 18) + 1] = total[a] + np.cumsum(bits[a : a + (1 << 18)], 0, dtype=np.float64)
@@ -162,14 +162,16 @@ def assemble(costs: dict[str, dict[bytes, np.ndarray]]) -> Trees:
     letter[used] = np.arange(1, len(used) + 1)
     width = len(used) + 1
     place = {c: i for i, c in enumerate(contexts)}
-    bits = np.empty((max(len(contexts), 1), 256, len(langs)), np.float32)
+    unseen = next((b for b in range(256) if not letter[b]), 0)  # all bytes that never occur cost the same
+    shown = [unseen, *used]
+    bits = np.empty((max(len(contexts), 1), width, len(langs)), np.float32)
     for k, lang in enumerate(langs):
         own = costs[lang]
         for c, i in place.items():
             x = c
             while x not in own:
                 x = x[1:]
-            bits[i, :, k] = own[x]
+            bits[i, :, k] = own[x][shown]
     node = np.zeros((width,) * ORDER, np.int32)
     for c, i in place.items():  # shorter contexts first, so longer ones overwrite their part
         node[(..., *(int(letter[b]) for b in c))] = i

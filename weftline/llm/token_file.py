@@ -11,7 +11,6 @@ bytes. Blocks bound the memory of writers and readers.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,16 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import drop_stash, filesystem, fresh_dir, stash
-from .bpe import SPLIT_ONLY, WHITE
+from .bpe import SPLIT_ONLY, TAILS, WHITE, lower_plain, part_closing
 
 #: Fixed value: first bytes of a file.
 MAGIC = b"WEFTTOK1"
 #: Entries of either half of a worker's cache from a piece of text to its ids, pieces that are
 #: encoded by one call, and characters of text that are cut into pieces at once.
 CACHE, CALL, CUT_CHARS = 700_000, 5_000, 2_000_000
-#: ASCII punctuation at the end of a piece: behind a letter or digit, and two of it.
-CLOSING = re.compile(r"(?<=[^\W_])([!-/:-@\[-`{-~]+)(?=\s)")
-DOUBLE = re.compile(r"[!-/:-@\[-`{-~]{2}\s")
 #: Ids in a block, about.
 BLOCK_IDS = 1_000_000
 #: Rows of text per file, about, and the fewest files.
@@ -95,8 +91,7 @@ class Encoder:
         self.white = regex.compile(WHITE)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         whole = lambda x: self.library.encode(x, add_special_tokens=False).ids
-        tails = [*(chr(c) for c in range(33, 127) if not chr(c).isalnum()), "!?.", "%%%", "'."]
-        self.parts = all(whole(f"ab1{t} c") == whole(f"ab1 {t} c") and whole(f"ab{t} c") == whole(f"ab {t} c") for t in tails)
+        self.parts = all(whole(f"ab1{t} c") == whole(f"ab1 {t} c") and whole(f"ab{t} c") == whole(f"ab {t} c") for t in TAILS)
         self.lower = whole("aBÉ Ab") == whole("abé ab")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -109,13 +104,8 @@ class Encoder:
             return [text]
         if any(c in text for c in SPLIT_ONLY):
             return [x for x in self.white.split(text) if x]
-        if self.parts:
-            text = CLOSING.sub(r" \1", text) if DOUBLE.search(text) else text.replace(". ", " . ").replace(", ", " , ")
-        if self.lower and "Σ" not in text:
-            low = text.lower()
-            if not ("<" in low and any(s in low for s in self.special)):
-                text = low
-        return text.split()
+        text = part_closing(text) if self.parts else text
+        return (lower_plain(text, self.special) if self.lower else text).split()
 
     def learn(self, pieces: list[str]) -> None:
         """Puts the ids of new pieces into the young half.
