@@ -25,7 +25,7 @@ def plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
     if isinstance(value, float):
-        return round(value, 6) + 0.0
+        return value + 0.0
     if hasattr(value, "item"):
         return plain(value.item())
     return str(value) if not isinstance(value, (int, bool, str, bytes)) else value
