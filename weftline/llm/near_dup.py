@@ -266,8 +266,9 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         new = labels.join(near, labels["doc_id"] == near["a"], "left").select("doc_id", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = labels.select(F.col("doc_id").alias("__at"), F.col("label").alias("__to"))
         new = new.join(jump, new["label"] == jump["__at"], "left").select("doc_id", "was", F.least("label", F.coalesce("__to", "label")).alias("label"))
-        new = stash(new, "labels")
+        new, last = stash(new, "labels"), labels
         labels = new.drop("was")
+        drop_stash(last)
         if new.where("was <> label").isEmpty():
             break
     out = nodes.join(labels.withColumnRenamed("doc_id", "__node"), F.col("doc_id") == F.col("__node"), "left")

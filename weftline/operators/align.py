@@ -77,16 +77,21 @@ def align(segments: Sequence[tuple[str, float, float]], reference: Sequence[str]
     in the time between, those at the end one at a speaking rate.
     """
     words = [(w, n) for s in reference for w, n in zip(WORD.findall(s), normal_words(s), strict=False)]
+    forms = [n for _, n in words]
     out: list[tuple[float, float, str, bool]] = []
     at, clock = 0, 0.0
     for text, start, end in segments:
         own = normal_words(text)
         n, best, span = len(own), threshold, None
         pattern = Pattern(" ".join(own))
-        for a in range(at, min(len(words), at + max(least_window, int(n * multiplier)))):
+        window = range(at, min(len(words), at + max(least_window, int(n * multiplier))))
+        same = next((a for a in window if n and forms[a : a + n] == own), None)  # the best there can be
+        if same is not None:
+            best, span, window = 1.0, (same, same + n), ()
+        for a in window:
             for size in range(max(1, n - 2), n + 3):
                 if a + size <= len(words):
-                    found = pattern.likeness(" ".join([w for _, w in words[a : a + size]]), best)
+                    found = pattern.likeness(" ".join(forms[a : a + size]), best)
                     if found > best or (span is None and found >= best):
                         best, span = found, (a, a + size)
         if span is None:

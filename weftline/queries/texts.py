@@ -50,18 +50,18 @@ def html_links(t):
     return t("pages").select("page_id", F.posexplode(T.html_select(F.col("html"), "nav a[href]", "attribute", "href")).alias("pos", "href"))
 
 
-@query("SELECT page_id, trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&quot;', '\"')) AS title FROM pages WHERE regexp_extract(html, '<title>([^<]*)</title>', 1) NOT LIKE '%&am' AND regexp_extract(html, '<title>([^<]*)</title>', 1) NOT LIKE '%&a' AND regexp_extract(html, '<title>([^<]*)</title>', 1) NOT LIKE '%&' AND regexp_extract(html, '<title>([^<]*)</title>', 1) NOT LIKE '%&amp'")
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')) AS title FROM pages")
 def html_title(t):
-    raw = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return t("pages").where(~F.rlike(raw, F.lit("&(a|am|amp)?$"))).select("page_id", F.get(T.html_select(F.col("html"), "title"), F.lit(0)).alias("title"))
+    return t("pages").select("page_id", F.get(T.html_select(F.col("html"), "title"), F.lit(0)).alias("title"))
 
 
 @query()
 def transcript_align(t):
-    d = t("documents").where("n_chars < 1500")
-    words = F.slice(F.split("text", r"\s+"), 1, 60)
-    part = lambda a, n, at: F.struct(F.array_join(F.slice(words, a, n), " ").alias("text"), F.lit(at).alias("start_time"), F.lit(at + 4.0).alias("end_time"))
-    return align.align_transcripts(d.select("doc_id", F.array(part(1, 8, 0.0), part(13, 8, 6.0)).alias("segments"), F.array_join(words, " ").alias("reference")), "doc_id")
+    """Whole texts as references; of every 24 words, 8 were heard."""
+    words = F.split("text", r"\s+")
+    starts = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 24).cast("int"))
+    heard = F.transform(starts, lambda k: F.struct(F.array_join(F.slice(words, k * 24 + 1, F.lit(8)), " ").alias("text"), (k * 12.0).alias("start_time"), (k * 12.0 + 4).alias("end_time")))
+    return align.align_transcripts(t("documents").select("doc_id", heard.alias("segments"), F.col("text").alias("reference")), "doc_id")
 
 
 def _folder():
