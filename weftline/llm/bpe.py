@@ -15,12 +15,13 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Entries of the young half of a cache; a full one becomes the old half, from which entries that are
 #: needed are taken back.
-CACHE = 250_000
+CACHE = 150_000
 #: White space of the normalizer, and control characters that str.split also cuts at.
 WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 SPLIT_ONLY = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -203,7 +204,11 @@ def load(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
+#: Documents whose results are held at once.
+ROWS = 200
+
+
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, token_ids (array<int>), decoded (string) for every row.
 
     Null text is empty: 0 tokens, no ids, empty decoded text. Whole texts of any length are encoded
@@ -213,11 +218,13 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            found = [bpe.encode(x or "") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, found), pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(map(bpe.decode, found), pa.string())],
-                ["doc_id", "n_tokens", "token_ids", "decoded"],
-            )
+            for a in range(0, batch.num_rows, ROWS):
+                some = batch.slice(a, ROWS)
+                found = [bpe.digest(x or "") for x in some.column(1).to_pylist()]
+                ids = [np.fromstring(x[1], np.int32, sep=" ") if x[0] else np.zeros(0, np.int32) for x in found]
+                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x[0] for x in found], pa.int64()), lists, pa.array([x[2] for x in found], pa.string())], ["doc_id", "n_tokens", "token_ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, token_ids array<int>, decoded string")
 
@@ -231,9 +238,12 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            found = [bpe.digest(x or "") for x in batch.column(1).to_pylist()]
+            found = []
+            for text in batch.column(1).to_pylist():
+                n, ids, decoded = bpe.digest(text or "")
+                found.append((n, sha(ids), sha(decoded)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([sha(x[1]) for x in found]), pa.array([sha(x[2]) for x in found])],
+                [batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

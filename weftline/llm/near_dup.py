@@ -16,6 +16,7 @@ the task. So every pair of a bucket is either compared or known to be connected.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -65,10 +66,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(SLOTS, np.int64), 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            n += len(texts)
-            found = [slot(shingles(t)[0]) for t in texts]
-            if found:
+            n += batch.num_rows
+            for a in range(0, batch.num_rows, 500):
+                found = [slot(shingles(t)[0]) for t in batch.column(0).slice(a, 500).to_pylist()]
                 total += np.bincount(np.concatenate(found), minlength=SLOTS)
         parts = total.astype("<u4").reshape(BLOCKS, width)
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([n] + [0] * (BLOCKS - 1), pa.int64()), pa.array([x.tobytes() for x in parts])], ["block", "docs", "counts"])
@@ -112,6 +112,7 @@ def weights_of(levels: np.ndarray) -> np.ndarray:
     return np.exp((levels - 8) * STEP)
 
 
+@functools.cache
 def sample_table() -> np.ndarray:
     """For every weight level and random triple, the order of ln a in the upper 32 bits.
 
@@ -123,7 +124,11 @@ def sample_table() -> np.ndarray:
     log_w = (np.arange(LEVELS) - 8)[:, None] * STEP
     log_a = np.log(c) - r * (np.floor(log_w / r + beta) - beta) - r
     low, high = log_a.min(), log_a.max()
-    return (((log_a - low) / (high - low) * (2**32 - 1)).astype(np.uint64) << np.uint64(32)).reshape(-1)
+    log_a -= low
+    log_a *= (2**32 - 1) / (high - low)
+    out = log_a.astype(np.uint64).reshape(-1)
+    out <<= np.uint64(32)
+    return out
 
 
 def multipliers() -> np.ndarray:
