@@ -161,6 +161,11 @@ def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     return hit.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("terms"))
 
 
+def _spans(terms: DataFrame) -> int:
+    """Number of spans in all rows: what decides whether the rows are few enough to broadcast."""
+    return terms.agg(F.sum(F.size("terms"))).first()[0] or 0
+
+
 def _with_terms(df: DataFrame, terms: DataFrame, text_hash: str) -> DataFrame:
     terms = terms.select(F.col("doc_id").alias("__pii_doc"), F.col("text_hash").alias("__pii_text"), F.col("terms").alias("__pii_terms"))
     return df.join(terms, F.col("doc_id").eqNullSafe(F.col("__pii_doc")) & (F.col(text_hash) == F.col("__pii_text")), "left").drop("__pii_doc", "__pii_text")
@@ -174,7 +179,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """
     found = stash(scan(docs), "pii-found")
     terms = stash(term_spans(docs.select("text"), found), "pii-term-spans")
-    out = _with_terms(found.drop("near"), sized_broadcast(terms), "text_hash")
+    out = _with_terms(found.drop("near"), sized_broadcast(terms, _spans(terms)), "text_hash")
     extra = F.concat_ws(",", F.transform(F.array_sort(F.transform("__pii_terms", lambda x: F.struct(x["kind"], x["start"], x["end"]))), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("__pii_terms").isNotNull(), extra))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
@@ -205,7 +210,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     found = stash(scan(docs), "pii-found")
     terms = stash(term_spans(docs.select("text"), found), "pii-term-spans")
-    rows = _with_terms(docs.withColumn("__pii_hash", F.xxhash64("text")), sized_broadcast(terms), "__pii_hash")
+    rows = _with_terms(docs.withColumn("__pii_hash", F.xxhash64("text")), sized_broadcast(terms, _spans(terms)), "__pii_hash")
     at, width = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
