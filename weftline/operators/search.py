@@ -68,7 +68,7 @@ def bm25(documents: DataFrame, queries: DataFrame, field: str, limit: int = 10,
     hits = phrase_hits(documents, queries, field, id_column)
     stats = documents.agg(F.count("*").alias("total"), F.avg(F.size(terms(F.col(field)))).alias("avgdl"))
     n = hits.groupBy("query_id").agg(F.count("*").alias("n"))
-    rows = hits.join(F.broadcast(n), "query_id").crossJoin(F.broadcast(stats))
+    rows = hits.join(n, "query_id").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.greatest(F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
     rows = rows.withColumn("score", score)
