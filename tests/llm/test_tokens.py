@@ -44,6 +44,7 @@ def test_encoders_equal_the_library_on_any_text(texts):
 
 def test_small_caches_give_the_same_ids(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe, "WORDS", 2)
     monkeypatch.setattr(token_file, "CACHE", 3)
     texts = ["one two three four five", "six seven one two", None, "three one eight nine ten"]
     own, enc = bpe.WordBpe(PATH), token_file.Encoder(PATH)

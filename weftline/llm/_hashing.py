@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 
 #: Words whose hashes a worker remembers; a full store is emptied.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -19,9 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Entries of the young half of a cache; a full one becomes the old half, from which entries that are
-#: needed are taken back.
-CACHE = 150_000
+from ._shared import give_back
+
+#: Pieces and words in the young half of their caches; a full one becomes the old half, from which
+#: entries that are needed are taken back.
+CACHE, WORDS = 100_000, 30_000
 #: White space of the normalizer, and control characters that str.split also cuts at.
 WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 SPLIT_ONLY = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -129,7 +131,7 @@ class WordBpe:
         for word in self.token.findall(self.normal(piece)):
             ids = self.words.get(word)
             if ids is None:
-                if len(self.words) >= CACHE:
+                if len(self.words) >= WORDS:
                     self.words, self.old_words = {}, self.words
                 ids = self.words[word] = self.old_words.get(word) or self.merge(word)
             out += ids
@@ -225,6 +227,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x[0] for x in found], pa.int64()), lists, pa.array([x[2] for x in found], pa.string())], ["doc_id", "n_tokens", "token_ids", "decoded"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, token_ids array<int>, decoded string")
 
@@ -246,5 +249,6 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
                 [batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import sized_broadcast
+from ._shared import give_back, sized_broadcast
 
 #: Longest context in bytes.
 ORDER = 3
@@ -218,6 +218,7 @@ def predict_languages(docs: DataFrame, trees: Trees) -> DataFrame:
         for batch in batches:
             langs, score, bits = model.value.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], [*batch.schema.names, "lang_pred", "score", "bits_per_byte"])
+        give_back()
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import window_hashes, word_hashes, words_of
-from ._shared import drop_stash, sized_broadcast, stash
+from ._shared import drop_stash, give_back, sized_broadcast, stash
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -70,6 +70,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             for a in range(0, batch.num_rows, 500):
                 found = [slot(shingles(t)[0]) for t in batch.column(0).slice(a, 500).to_pylist()]
                 total += np.bincount(np.concatenate(found), minlength=SLOTS)
+        give_back()
         parts = total.astype("<u4").reshape(BLOCKS, width)
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([n] + [0] * (BLOCKS - 1), pa.int64()), pa.array([x.tobytes() for x in parts])], ["block", "docs", "counts"])
 
@@ -182,6 +183,7 @@ def signatures(docs: DataFrame, slots: np.ndarray) -> DataFrame:
                 digests.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 bands.append((key * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>")
 
@@ -227,6 +229,7 @@ def verify(pairs: DataFrame, docs: DataFrame, slots: np.ndarray) -> DataFrame:
                 if similarity(shingles(x), last[1], table.value) >= SIMILARITY:
                     kept.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in kept], pa.int64()), pa.array([b[k] for k in kept], pa.int64())], ["a", "b"])
+        give_back()
 
     out = stash(both.mapInArrow(run, "a long, b long"), "links")
     drop_stash(texts)
