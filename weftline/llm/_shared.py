@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of 64-bit keys that may be broadcast (16 MB); larger sides are joined by shuffle.
 BROADCAST_KEYS = 2_000_000
+#: Rows of text that go to a Python worker at once.
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def in_arrow(df: DataFrame, f, kinds) -> DataFrame:
+    """``df.mapInArrow`` in batches of at most :data:`BATCH_ROWS` rows, so that long texts stay small
+    batches. The limit is the session's; a smaller one is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(f, kinds)
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A folder name under :func:`shared_dir` that nothing else uses."""
     return f"{shared_dir(spark)}/weftline/{label}-{uuid.uuid4().hex}"

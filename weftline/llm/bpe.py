@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import give_back
+from ._shared import give_back, in_arrow
 
 #: Pieces and words in the young half of their caches; a full one becomes the old half, from which
 #: entries that are needed are taken back.
@@ -229,7 +229,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x[0] for x in found], pa.int64()), lists, pa.array([x[2] for x in found], pa.string())], ["doc_id", "n_tokens", "token_ids", "decoded"])
         give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, token_ids array<int>, decoded string")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, token_ids array<int>, decoded string")
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -251,4 +251,4 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
             )
         give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

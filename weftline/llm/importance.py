@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import mix, word_hashes, words_of
-from ._shared import stash
+from ._shared import in_arrow, stash
 
 #: Hash buckets of words and word pairs, and the blocks in which their counts are added up.
 BUCKETS, BLOCKS = 1 << 16, 64
@@ -77,7 +77,7 @@ def log_ratios(docs: DataFrame, labelled: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], ["block", "counts"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(labelled.where("target")), F.col("doc_id") == F.col("__labelled"), "left")
-    found = rows.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(count, "block int, counts binary")
+    found = in_arrow(rows.select("text", F.coalesce("target", F.lit(False)).alias("target")), count, "block int, counts binary")
     found = found.groupBy("block").applyInArrow(add, "block int, counts binary").collect()
     raw, target = np.zeros((2, BLOCKS, width))
     for row in found:
@@ -100,7 +100,7 @@ def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(n)], ["doc_id", "log_weight", "n_features"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, log_weight double, n_features long")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, log_weight double, n_features long")
 
 
 def gumbel(doc_id: Column) -> Column:

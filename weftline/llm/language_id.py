@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import give_back, sized_broadcast
+from ._shared import give_back, in_arrow, sized_broadcast
 
 #: Longest context in bytes.
 ORDER = 3
@@ -223,7 +223,7 @@ def predict_languages(docs: DataFrame, trees: Trees) -> DataFrame:
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     kinds = StructType([f for f in docs.schema]).add("lang_pred", StringType()).add("score", DoubleType()).add("bits_per_byte", DoubleType())
-    return docs.mapInArrow(run, kinds)
+    return in_arrow(docs, run, kinds)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

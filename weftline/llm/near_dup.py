@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import window_hashes, word_hashes, words_of
-from ._shared import drop_stash, give_back, sized_broadcast, stash
+from ._shared import drop_stash, give_back, in_arrow, sized_broadcast, stash
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -84,7 +84,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     kinds = "block int, docs long, counts binary"
     out, n = np.zeros((BLOCKS, width), np.int64), 0
-    for row in docs.select("text").mapInArrow(count, kinds).groupBy("block").applyInArrow(add, kinds).collect():
+    for row in in_arrow(docs.select("text"), count, kinds).groupBy("block").applyInArrow(add, kinds).collect():
         out[row["block"]] = np.frombuffer(row["counts"], np.int64)
         n += row["docs"]
     return out.reshape(-1), n
@@ -185,7 +185,7 @@ def signatures(docs: DataFrame, slots: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, digest binary, bands array<long>")
 
 
 def window_hashes_by_row(rows: np.ndarray) -> np.ndarray:
@@ -231,7 +231,7 @@ def verify(pairs: DataFrame, docs: DataFrame, slots: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in kept], pa.int64()), pa.array([b[k] for k in kept], pa.int64())], ["a", "b"])
         give_back()
 
-    out = stash(both.mapInArrow(run, "a long, b long"), "links")
+    out = stash(in_arrow(both, run, "a long, b long"), "links")
     drop_stash(texts)
     return out
 

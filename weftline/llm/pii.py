@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import sized_broadcast, stash
+from ._shared import in_arrow, sized_broadcast, stash
 
 #: Kinds in the order of the result, their patterns, and what stands for them.
 KINDS = ("email", "ip", "card", "phone")
@@ -120,7 +120,7 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts, pa.array([hashlib.sha256(x.encode()).hexdigest() for x in lists], pa.string()), pa.array(lists, pa.string()), pa.array(around, near)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, {FOUND}")
+    return in_arrow(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, f"doc_id {kind}, text_hash long, {FOUND}")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -221,5 +221,5 @@ def sanitise(docs: DataFrame) -> DataFrame:
             columns[at] = texts
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[: len(columns)])
 
-    out = rows.select(*docs.columns, "__pii_terms").mapInArrow(run, docs.schema)
+    out = in_arrow(rows.select(*docs.columns, "__pii_terms"), run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import drop_stash, filesystem, fresh_dir, stash
+from ._shared import drop_stash, filesystem, fresh_dir, in_arrow, stash
 from .bpe import SPLIT_ONLY, TAILS, WHITE, lower_plain, part_closing
 
 #: Fixed value: first bytes of a file.
@@ -173,7 +173,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = [packer.compress(x.tobytes()) for x in enc.encode_all(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary"), "token-ids")
+    return stash(in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids binary"), "token-ids")
 
 
 def unfold(parts: list[bytes], kind: np.dtype) -> Iterator[np.ndarray]:
@@ -201,7 +201,7 @@ def rank_table(encoded: DataFrame, size: int, kind: np.dtype, end_id: int) -> np
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
-    counts = encoded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = in_arrow(encoded.select("ids"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(size, np.int64)
     total[counts["id"].to_numpy()] = counts["n"].to_numpy()
     return np.argsort(-total, kind="stable").astype("<u4")
@@ -270,7 +270,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, file
 
     rows = encoded.repartitionByRange(files, F.col("doc_id").asc_nulls_first())
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").withColumn("part", F.spark_partition_id())
-    manifest = stash(rows.mapInArrow(write, MANIFEST), "token-manifest")
+    manifest = stash(in_arrow(rows, write, MANIFEST), "token-manifest")
     drop_stash(encoded)
     return manifest
 
@@ -316,7 +316,7 @@ def read_token_files(manifest: DataFrame, folder: str, ids: bool = True) -> Data
                         start += int(to[-1])
 
     kinds = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", token_ids array<int>" * ids
-    return base.repartition(max(1, manifest.count()), "file").mapInArrow(read, kinds)
+    return in_arrow(base.repartition(max(1, manifest.count()), "file"), read, kinds)
 
 
 def token_file_roundtrip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:

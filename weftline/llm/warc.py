@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import filesystem, fresh_dir, stash
+from ._shared import filesystem, fresh_dir, in_arrow, stash
 
 #: Fixed value: magic of the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -188,7 +188,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         files, counts, sizes = zip(*writer.close(), strict=True) if writer.rows or writer.held or writer.out else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["file", "n_records", "n_bytes"])
 
-    return stash(with_revisits(pages).mapInArrow(write, MANIFEST), "warc-manifest")
+    return stash(in_arrow(with_revisits(pages), write, MANIFEST), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
@@ -227,7 +227,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
             yield pack(rows)
 
     files = manifest.select("file")
-    return files.repartition(max(1, files.count()), "file").mapInArrow(read, RECORDS)
+    return in_arrow(files.repartition(max(1, files.count()), "file"), read, RECORDS)
 
 
 def warc_roundtrip(pages: DataFrame) -> DataFrame:
