@@ -129,8 +129,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     share = log2(N n_te / (n_t n_e)) / log2(N / n_e), where N counts documents, n_e and n_te the
     different contexts of the entity and those with the term (of different texts, so that a passage
     that a text repeats is no evidence), n_t the documents that hold the term
-    anywhere. n_t is counted over all texts, for terms in at least ``LEAST_CONTEXTS`` contexts of one
-    entity only; these are broadcast if their number is small, else joined by shuffle.
+    anywhere. n_t is counted over all texts, map-side first, and then kept for terms in at least
+    ``LEAST_CONTEXTS`` contexts of one entity; these are broadcast if their number is small, else
+    joined by shuffle.
     """
     rows = found.select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.entity", "x.context", "x.term")
     apart = F.least(F.countDistinct("context"), F.countDistinct("text_hash"))
@@ -139,7 +140,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     n_e = rows.groupBy("entity").agg(apart.alias("n_e"))
     terms = stash(n_te.select("term").distinct(), "pii-terms")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    n_t = words.join(sized_broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).join(sized_broadcast(terms), "term", "left_semi")
     total = found.count()
     shared = n_te.join(n_e, "entity").join(n_t, "term", "left").withColumn("n_t", F.greatest(F.coalesce("n_t", F.lit(0)), F.col("n_te")))
     known = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
