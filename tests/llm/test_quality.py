@@ -76,6 +76,24 @@ def test_resampling_keeps_the_target(spark, sf_dir):
     assert rate(1) > 0.9 and rate(0) < 0.3
 
 
+def test_toxic_documents_of_good_quality_go(spark):
+    rng = np.random.default_rng(3)
+    words = lambda stem, n: " ".join(f"{stem}{k}" for k in rng.integers(0, 40, n))
+    texts = [(words("clean", 60), 1, 0) for _ in range(120)] + [(words("clean", 30) + " " + words("slur", 30), 1, 1) for _ in range(40)] + [(words("junk", 60), 0, 0) for _ in range(40)]
+    rows = [(i, *x) for i, x in enumerate(texts)]
+    all_rows = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in importance.resample(all_rows.select("doc_id", "text"), all_rows.select("doc_id", "quality", "toxic")).collect()}
+    rate = lambda q, t: np.mean([kept[i] for i, _, x, y in rows if (x, y) == (q, t)])
+    assert rate(1, 0) > 0.9 and rate(1, 1) < 0.1 and rate(0, 0) < 0.1
+
+
+def test_generated_toxic_documents_go(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rows = importance.resample(docs, labels).join(labels, "doc_id").where("quality = 1").collect()
+    rate = lambda t: np.mean([r["kept"] for r in rows if r["toxic"] == t])
+    assert rate(0) > 0.9 and rate(1) < 0.2
+
+
 def test_resampling_cases(spark):
     docs = spark.createDataFrame([(1, "good text here"), (2, None), (3, ""), (4, "### ###"), (4, "### ###"), (None, "good")], "doc_id long, text string").withColumn("key", importance.F.lit("x"))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -140,7 +140,7 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """The weight that parts good from other labelled rows with the least sum of both error rates."""
+    """The weight that parts rows flagged ``good`` from other labelled rows with the least sum of both error rates."""
     if good.all() or not good.any():
         return -math.inf
     order = np.argsort(weights, kind="stable")
@@ -157,14 +157,14 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFr
 
     ``key`` is the log weight plus Gumbel noise that the doc_id fixes; the k largest keys are kept,
     and rows whose key equals the k-th are kept with it (repeated rows share their fate). Without
-    ``k``, as many rows are drawn as weigh more than the cut that best parts good from other rows in
-    the bounded labelled sample; without any labels all rows are kept. Null texts weigh 0; one row
+    ``k``, as many rows are drawn as weigh more than the cut that best parts target rows (good and not
+    toxic) from other rows in the bounded labelled sample; without any labels all rows are kept. Null texts weigh 0; one row
     per input row; an empty table gives an empty result.
     """
     labelled = stash(labelled_rows(labels), "importance-labels")
     scored = stash(log_weights(docs, log_ratios(docs, labelled)).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"))), "importance-scores")
     if k is None:
-        known = scored.join(F.broadcast(labelled), F.col("doc_id") == F.col("__labelled")).groupBy("doc_id").agg(F.min("log_weight").alias("w"), F.first("good").alias("good")).toPandas()
-        k = scored.where(F.col("log_weight") >= best_cut(known["w"].to_numpy(), known["good"].to_numpy(bool)) if len(known) else F.lit(True)).count()
+        known = scored.join(F.broadcast(labelled), F.col("doc_id") == F.col("__labelled")).groupBy("doc_id").agg(F.min("log_weight").alias("w"), F.first("target").alias("target")).toPandas()
+        k = scored.where(F.col("log_weight") >= best_cut(known["w"].to_numpy(), known["target"].to_numpy(bool)) if len(known) else F.lit(True)).count()
     limit = kth_largest(scored, "key", k)
     return scored.select("doc_id", "log_weight", "key", (F.col("key") >= limit if limit is not None else F.lit(False)).alias("kept"))
