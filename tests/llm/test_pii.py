@@ -81,6 +81,26 @@ def test_shares_equal_the_formula(spark):
     assert set(shares) == {("email:jo@example.org", "zorblatt")}
 
 
+def test_terms_are_found_in_the_whole_text(spark):
+    filler = " ".join("abcdefghijklmnopqrstuvwxyz"[k : k + 4] for k in range(12))
+    texts = [f"Snorkel wrote this\n{filler} {filler} to al@example.org now\n{filler * 9}\nsigned SNORKEL", f"About snorkel\nmail al@example.org today", "Write to bo@example.org about snorkels"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10 + i, f"Plain words about this {filler} today to now mail signed wrote {chr(97 + i % 26)}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs).collect()}
+    assert [s for s in got[0].split(",") if s.startswith("removed")] == [f"removed:{m.start()}:{m.end()}" for m in re.finditer("(?i)snorkel", texts[0])]
+    assert "removed:6:13" in got[1] and got[2] == "email:9:23"
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert "snorkel" not in (out[0] + out[1]).lower() and out[2] == "Write to [EMAIL] about snorkels"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abc1 @.+-é\n9", max_size=60))
+def test_terms_are_no_parts_of_spans(text):
+    spans = pii.base_spans(text)
+    want = [(m[0].lower(), *m.span()) for m in pii.TERM.finditer(text) if not any(a < m.end() and m.start() < b for _, a, b in spans)]
+    assert list(pii.terms_of(text, spans)) == want
+
+
 def test_copies_are_one_context(spark):
     text = "The snorkel person is al@example.org here"
     rows = [(i, text) for i in range(5)] + [(9, "other words")]

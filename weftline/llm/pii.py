@@ -3,8 +3,9 @@
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Each distinct value is
 a protected entity. From all texts it is estimated how strongly a term reveals an entity: the
 pointwise mutual information of term and entity over the information content of the entity, where
-both are counted in different contexts of the entity and in all documents. Terms near an entity
-whose share exceeds ``GENERALISE`` are generalised, above ``REMOVE`` removed.
+both are counted in different texts with the entity and in all documents. Terms whose share reaches
+``GENERALISE`` are generalised, from ``REMOVE`` on removed, wherever they stand in a text that
+mentions the entity.
 """
 
 from __future__ import annotations
@@ -31,9 +32,8 @@ MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 ADDRESS_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 TERM = re.compile(r"[^\W\d_]{3,}")
 DIGITS = re.compile(r"[0-9]")
-#: Words on each side of an entity that count as its context, and the least number of different
-#: contexts that tie a term to an entity.
-REACH, LEAST_CONTEXTS = 8, 2
+#: The least number of different texts that tie a term to an entity.
+LEAST_TEXTS = 2
 #: Shares of an entity's information from which a term is generalised or removed.
 GENERALISE, REMOVE = 0.75, 0.9
 
@@ -78,36 +78,32 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join([f"{k}:{a}:{b}" for k, a, b in spans])
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, str, int, int]]:
-    """(entity, context, term, start, end) of the terms around every span.
+def entities_of(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """The distinct protected entities of a text, sorted: kind and value of its base spans."""
+    return sorted({f"{kind}:{text[a:b].lower() if kind in ('email', 'ip') else ''.join(DIGITS.findall(text[a:b]))}" for kind, a, b in spans})
 
-    The context is the ``REACH`` words on each side within the span's line; parts of any span are no
-    terms. Its number is a hash of the words, so copies of a passage are one context.
-    """
-    taken = sorted((a, b) for _, a, b in spans)
-    out = []
-    for kind, a, b in spans:
-        value = text[a:b].lower() if kind in ("email", "ip") else "".join(DIGITS.findall(text[a:b]))
-        first, last = max(text.rfind("\n", max(0, a - 400), a) + 1, a - 400, 0), text.find("\n", b, b + 400)
-        last = min(len(text), b + 400) if last < 0 else last
-        free = lambda m: not any(x < m.end() and m.start() < y for x, y in taken)
-        left = [m for m in TERM.finditer(text, first, a) if free(m)][-REACH:]
-        right = [m for m in TERM.finditer(text, b, last) if free(m)][:REACH]
-        words = [m[0].lower() for m in left + right]
-        number = int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        out += [(f"{kind}:{value}", number, w, m.start(), m.end()) for w, m in zip(words, left + right, strict=True)]
-    return out
+
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of all terms of the whole text in order; parts of any span are no terms."""
+    taken = iter([*sorted((a, b) for _, a, b in spans), (len(text), len(text))])
+    first, last = next(taken)
+    for m in TERM.finditer(text):
+        start, end = m.span()
+        while last <= start and last < len(text):
+            first, last = next(taken)
+        if end <= first or last <= start:
+            yield m[0].lower(), start, end
 
 
-FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<entity:string,context:long,term:string,start:int,end:int>>"
+FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<string>, terms array<string>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and what :func:`base_spans` and :func:`contexts` find in every whole text.
+    """doc_id, text_hash, what :func:`base_spans` finds in every whole text, and the distinct entities
+    and terms of texts that mention an entity.
 
     One pass without a shuffle. Null text is empty.
     """
-    near = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     names = ["doc_id", "text_hash", *(x.split()[0] for x in FOUND.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,55 +112,86 @@ def scan(docs: DataFrame) -> DataFrame:
             spans = [base_spans(t) for t in texts]
             counts = [pa.array([sum(x[0] == k for x in s) for s in spans], pa.int64()) for k in KINDS]
             lists = [listed(s) for s in spans]
-            around = [[dict(zip(("entity", "context", "term", "start", "end"), x, strict=True)) for x in contexts(t, s)] if s else [] for t, s in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts, pa.array([hashlib.sha256(x.encode()).hexdigest() for x in lists], pa.string()), pa.array(lists, pa.string()), pa.array(around, near)], names)
+            entities = [entities_of(t, s) if s else [] for t, s in zip(texts, spans, strict=True)]
+            terms = [sorted({x[0] for x in terms_of(t, s)}) if s else [] for t, s in zip(texts, spans, strict=True)]
+            several = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts, pa.array([hashlib.sha256(x.encode()).hexdigest() for x in lists], pa.string()), pa.array(lists, pa.string()), pa.array(entities, several), pa.array(terms, several)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return in_arrow(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, f"doc_id {kind}, text_hash long, {FOUND}")
 
 
+def _mentions(found: DataFrame) -> DataFrame:
+    """(text_hash, entity, n_e) of different texts, for entities in ``LEAST_TEXTS`` of them at least."""
+    rows = stash(found.select("text_hash", F.explode("entities").alias("entity")).distinct(), "pii-entities")
+    n_e = stash(rows.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= LEAST_TEXTS), "pii-known")
+    return stash(rows.join(sized_broadcast(n_e), "entity"), "pii-mentions")
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, share) of terms whose share of the entity's information reaches ``GENERALISE``.
 
     share = log2(N n_te / (n_t n_e)) / log2(N / n_e), where N counts documents, n_e and n_te the
-    different contexts of the entity and those with the term (of different texts, so that a passage
-    that a text repeats is no evidence), n_t the documents that hold the term
-    anywhere. n_t is counted over all texts, map-side first, and then kept for terms in at least
-    ``LEAST_CONTEXTS`` contexts of one entity; these are broadcast if their number is small, else
-    joined by shuffle.
+    different texts that mention the entity and those that hold the term with it, anywhere, and n_t
+    the documents that hold the term. As n_te is at most n_e, a term whose share is large enough has
+    n_t of at most n_e ** (3 / 4) N ** (1 / 4) (for ``GENERALISE`` = 3 / 4): others leave before terms
+    meet entities, and no result changes by it. n_t is counted over all texts, map-side first.
     """
-    rows = found.select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.entity", "x.context", "x.term")
-    apart = F.least(F.countDistinct("context"), F.countDistinct("text_hash"))
-    n_te = rows.groupBy("entity", "term").agg(apart.alias("n_te")).where(F.col("n_te") >= LEAST_CONTEXTS)
-    n_te = stash(n_te, "pii-pairs")
-    n_e = rows.groupBy("entity").agg(apart.alias("n_e"))
-    terms = stash(n_te.select("term").distinct(), "pii-terms")
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).join(sized_broadcast(terms), "term", "left_semi")
-    total = found.count()
-    shared = n_te.join(n_e, "entity").join(n_t, "term", "left").withColumn("n_t", F.greatest(F.coalesce("n_t", F.lit(0)), F.col("n_te")))
-    known = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
-    share = F.when(known > 0, F.log2(F.lit(float(max(total, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / known).otherwise(0.0)
+    return _disclosing(docs, found, _mentions(found))
+
+
+def _disclosing(docs: DataFrame, found: DataFrame, mentions: DataFrame) -> DataFrame:
+    words = docs.select(F.explode(F.array_distinct(F.transform(F.split("text", r"[^\p{L}\p{Nl}\p{No}]+"), F.lower))).alias("term"))
+    n_t = words.where(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("n_t"))
+    total = float(max(found.count(), 1))
+    most = lambda n: F.pow(n, F.lit(GENERALISE)) * total ** (1 - GENERALISE) * (1 + 1e-9)
+    known = mentions.groupBy("text_hash").agg(F.max("n_e").alias("most"))
+    rows = found.where(F.size("entities") > 0).select("text_hash", F.explode("terms").alias("term")).distinct().join(sized_broadcast(known), "text_hash")
+    # a term that the two patterns read differently has no n_t
+    rows = rows.join(n_t, "term", "left").where(F.col("n_t").isNull() | F.col("n_t").between(LEAST_TEXTS, most(F.col("most")))).select("text_hash", "term", "n_t")
+    pairs = rows.join(mentions, "text_hash").where(F.col("n_t").isNull() | (F.col("n_t") <= most(F.col("n_e"))))
+    shared = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t")).where(F.col("n_te") >= LEAST_TEXTS)
+    shared = shared.withColumn("n_t", F.greatest(F.coalesce("n_t", F.lit(0)), F.col("n_te")))
+    information = F.log2(F.lit(total) / F.col("n_e"))
+    share = F.when(information > 0, F.log2(F.lit(total) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / information).otherwise(0.0)
     return shared.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
 
 
 def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, text_hash, terms: array of start, end, kind) for documents with disclosing terms.
 
-    kind: general or removed. The terms of one entity are gathered before the join, so an entity with
-    very many mentions meets one row, and Spark splits its partition.
+    kind: general or removed. A term that discloses an entity is found wherever it stands in a text
+    that mentions the entity. The terms of one entity are gathered before the join, so an entity with
+    very many mentions meets one row, and Spark splits its partition; of texts, only those with
+    disclosing terms are read again.
     """
-    known = disclosing_terms(docs, found)
-    near = found.where(F.size("near") > 0).select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.entity", "x.term", "x.start", "x.end")
-    hit = near.join(known, ["entity", "term"])
-    kind = F.when(F.max("share") >= REMOVE, "removed").otherwise("general").alias("kind")
-    hit = hit.groupBy("doc_id", "text_hash", "start", "end").agg(kind)
-    return hit.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("terms"))
+    mentions = _mentions(found)
+    known = stash(_disclosing(docs, found, mentions), "pii-disclosing")
+    known = known.groupBy("entity").agg(F.collect_list(F.struct("term", (F.col("share") >= REMOVE).alias("removed"))).alias("known"))
+    hit = mentions.select("text_hash", "entity").join(known, "entity").groupBy("text_hash").agg(F.array_distinct(F.flatten(F.collect_list("known"))).alias("known"))
+    hit = stash(hit.withColumnRenamed("text_hash", "__pii_text"), "pii-text-terms")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = rows.join(sized_broadcast(hit, _sizes(hit, "known")), F.col("text_hash") == F.col("__pii_text")).select("doc_id", "text_hash", "text", "known")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+        for batch in batches:
+            out = []
+            for text, listed_terms in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                removed = {}
+                for x in listed_terms:
+                    removed[x["term"]] = x["removed"] or removed.get(x["term"], False)
+                out.append([{"start": a, "end": b, "kind": "removed" if removed[t] else "general"} for t, a, b in terms_of(text, base_spans(text)) if t in removed])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kinds)], ["doc_id", "text_hash", "terms"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = in_arrow(rows, run, f"doc_id {kind}, text_hash long, terms array<struct<start:int,end:int,kind:string>>")
+    return out.where(F.size("terms") > 0).dropDuplicates(["doc_id", "text_hash"])
 
 
-def _spans(terms: DataFrame) -> int:
-    """Number of spans in all rows: what decides whether the rows are few enough to broadcast."""
-    return terms.agg(F.sum(F.size("terms"))).first()[0] or 0
+def _sizes(df: DataFrame, column: str) -> int:
+    """Number of entries in the lists of all rows: what decides whether the rows are few enough to broadcast."""
+    return df.agg(F.sum(F.size(column))).first()[0] or 0
 
 
 def _with_terms(df: DataFrame, terms: DataFrame, text_hash: str) -> DataFrame:
@@ -179,8 +206,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     give repeated results. ``spans`` lists the base spans, then general and removed terms by start.
     """
     found = stash(scan(docs), "pii-found")
-    terms = stash(term_spans(docs.select("text"), found), "pii-term-spans")
-    out = _with_terms(found.drop("near"), sized_broadcast(terms, _spans(terms)), "text_hash")
+    terms = stash(term_spans(docs.select("doc_id", "text"), found), "pii-term-spans")
+    out = _with_terms(found.drop("entities", "terms"), sized_broadcast(terms, _sizes(terms, "terms")), "text_hash")
     extra = F.concat_ws(",", F.transform(F.array_sort(F.transform("__pii_terms", lambda x: F.struct(x["kind"], x["start"], x["end"]))), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("__pii_terms").isNotNull(), extra))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
@@ -210,8 +237,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     Every row and column stays.
     """
     found = stash(scan(docs), "pii-found")
-    terms = stash(term_spans(docs.select("text"), found), "pii-term-spans")
-    rows = _with_terms(docs.withColumn("__pii_hash", F.xxhash64("text")), sized_broadcast(terms, _spans(terms)), "__pii_hash")
+    terms = stash(term_spans(docs.select("doc_id", "text"), found), "pii-term-spans")
+    rows = _with_terms(docs.withColumn("__pii_hash", F.xxhash64("text")), sized_broadcast(terms, _sizes(terms, "terms")), "__pii_hash")
     at, width = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
