@@ -107,6 +107,21 @@ def test_copies_are_one_context(spark):
     assert pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).where("spans like '%removed%'").count() == 0
 
 
+def test_copies_of_a_text_change_no_share(spark):
+    texts = ["The snorkel person is al@example.org here", "Ask snorkel or mail al@example.org"] + [f"Plain words {chr(97 + i % 26) * (3 + i // 26)} today" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    copied = spark.createDataFrame([*enumerate(texts), *((1000 + i, texts[0]) for i in range(500))], "doc_id long, text string")
+    want, got = ({(r["entity"], r["term"]): r["share"] for r in pii.disclosing_terms(d, pii.scan(d)).collect()} for d in (docs, copied))
+    assert want == got == {("email:al@example.org", "snorkel"): 1.0}
+    assert pii.find_pii(copied).where("spans like '%removed%'").count() == 502
+
+
+def test_a_sentence_in_different_texts_counts_in_each(spark):
+    rows = [(i, f"Page {chr(97 + i) * 3}\nAsk snorkel via al@example.org today") for i in range(20)] + [(100 + i, f"Ask via today {chr(97 + i % 26) * (3 + i // 26)}") for i in range(300)]
+    out = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.where("text like '%snorkel%'").count() == 0 and out.where("text like '%via [EMAIL]%'").count() == 20
+
+
 def test_masks_and_rows_stay(spark):
     docs = corpus(spark, [(None, "by +1 555 123 4567", 7), (5, None, 7), (5, None, 7), (6, "", 7)])
     out = pii.sanitise(docs)

@@ -3,7 +3,7 @@
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Each distinct value is
 a protected entity. From all texts it is estimated how strongly a term reveals an entity: the
 pointwise mutual information of term and entity over the information content of the entity, where
-both are counted in different texts with the entity and in all documents. Terms whose share reaches
+all counts are of different texts, so that copies change nothing. Terms whose share reaches
 ``GENERALISE`` are generalised, from ``REMOVE`` on removed, wherever they stand in a text that
 mentions the entity.
 """
@@ -131,9 +131,8 @@ def _mentions(found: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, share) of terms whose share of the entity's information reaches ``GENERALISE``.
 
-    share = log2(N n_te / (n_t n_e)) / log2(N / n_e), where N counts documents, n_e and n_te the
-    different texts that mention the entity and those that hold the term with it, anywhere, and n_t
-    the documents that hold the term. As n_te is at most n_e, a term whose share is large enough has
+    share = log2(N n_te / (n_t n_e)) / log2(N / n_e), where N counts the different texts, n_e those
+    that mention the entity, n_t those that hold the term and n_te those that hold both, anywhere. As n_te is at most n_e, a term whose share is large enough has
     n_t of at most n_e ** (3 / 4) N ** (1 / 4) (for ``GENERALISE`` = 3 / 4): others leave before terms
     meet entities, and no result changes by it. n_t is counted over all texts, map-side first.
     """
@@ -141,9 +140,12 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _disclosing(docs: DataFrame, found: DataFrame, mentions: DataFrame) -> DataFrame:
-    words = docs.select(F.explode(F.array_distinct(F.transform(F.split("text", r"[^\p{L}\p{Nl}\p{No}]+"), F.lower))).alias("term"))
-    n_t = words.where(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = float(max(found.count(), 1))
+    # a row of a text that c rows hold counts 1 / c, so that texts need not meet to be counted once
+    copies = stash(found.groupBy("text_hash").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("text_hash", "__pii_text"), "pii-copies")
+    rows = docs.select("text").join(sized_broadcast(copies), F.xxhash64("text") == F.col("__pii_text"), "left")
+    words = rows.select(F.explode(F.array_distinct(F.transform(F.split("text", r"[^\p{L}\p{Nl}\p{No}]+"), F.lower))).alias("term"), (1 / F.coalesce("c", F.lit(1))).alias("part"))
+    n_t = words.where(F.length("term") >= 3).groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_t"))
+    total = float(max(found.select("text_hash").distinct().count(), 1))
     most = lambda n: F.pow(n, F.lit(GENERALISE)) * total ** (1 - GENERALISE) * (1 + 1e-9)
     known = mentions.groupBy("text_hash").agg(F.max("n_e").alias("most"))
     rows = found.where(F.size("entities") > 0).select("text_hash", F.explode("terms").alias("term")).distinct().join(sized_broadcast(known), "text_hash")
