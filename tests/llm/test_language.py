@@ -68,3 +68,22 @@ def test_prediction_is_of_the_text_alone(spark, sf_dir):
     text = docs.first()["text"]
     other = spark.createDataFrame([(0, text, "fr"), (1, text, "de"), (999, text, None)], "doc_id long, text string, lang string")
     assert len({(r["lang_pred"], r["score"]) for r in L.predict_languages(other, trees).collect()}) == 1
+
+
+def test_languages_of_long_texts_alone_are_learned(spark):
+    rng = np.random.default_rng(0)
+    word = lambda stems: "".join(rng.choice(stems, 2))
+    text = lambda stems, n: " ".join(word(stems) for _ in range(n))
+    one, two = ["zor", "kul", "vem", "ryx"], ["the", "and", "ing", "hat"]
+    rows = [(i, text(one, 5000), "xx") for i in range(30)] + [(100 + i, text(two, 20), "en") for i in range(30)] + [(200 + i, None, "xx") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = L.training_sample(docs).collect()
+    assert all(len(r["text"]) <= L.SAMPLE_CHARS for r in sample) and sum(r["lang"] == "xx" for r in sample) == 30
+    got = {r["doc_id"]: r["lang_pred"] for r in L.language_id(docs).collect()}
+    assert all(got[i] == "xx" for i in range(30)) and all(got[100 + i] == "en" for i in range(30))
+
+
+def test_columns_of_the_results_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "x", 2, "y")], "doc_id long, text string, lang string, Score string, bits_per_byte int, lang_pred string")
+    out = L.predict_languages(docs, L.learn(docs.unionByName(docs)))
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score", "bits_per_byte"] and out.first()["lang_pred"] == "en"

@@ -133,3 +133,39 @@ def test_components(spark):
     nodes = spark.range(400).withColumnRenamed("id", "doc_id")
     got = N.components(nodes, spark.createDataFrame(links, "a long, b long"))
     assert {r["doc_id"]: r["component"] for r in got.collect()} == label
+
+
+def test_common_shingles_weigh_less():
+    frequencies = np.full(N.SLOTS, 3)
+    frequencies[:4] = [3 + 10, 3 + 100, 3 + 1000, 3 + 10_000]
+    weights = np.exp(N.slot_levels(frequencies, 10_000)[:5] * N.STEP)
+    assert weights[4] == weights[0] == 1 and weights[0] >= weights[1] > weights[2] > weights[3]
+
+
+def test_a_passage_of_many_documents_ties_no_others(spark):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = " ".join(word() for _ in range(140))
+    with_it = [passage + " " + " ".join(word() for _ in range(15)) for _ in range(40)]
+    texts = dict(enumerate(with_it + [" ".join(word() for _ in range(80)) for _ in range(40)]))
+    a, b = N.shingles(with_it[0]), N.shingles(with_it[1])
+    plain = len(np.intersect1d(a[0], b[0])) / len(np.union1d(a[0], b[0]))
+    slots = levels(spark, texts)
+    assert plain >= N.SIMILARITY > N.similarity(a, b, slots)
+    assert classes(spark, texts) == {i: i for i in texts}
+
+
+def test_recall_by_similarity(spark, sf_dir):
+    """Of all pairs of different texts, compared one by one, none that reaches the cut is missed."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    slots = levels(spark, texts)
+    sets = {i: x for i, t in texts.items() if len((x := N.shingles(t))[0])}
+    got, found, links = classes(spark, texts), {}, 0
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            s = N.similarity(sets[a], sets[b], slots)
+            if s >= 0.1:
+                found.setdefault(int(s * 10), []).append(got[a] == got[b])
+            links += s >= N.SIMILARITY
+    assert links and all(all(v) for k, v in found.items() if k >= 8)

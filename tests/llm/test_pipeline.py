@@ -36,3 +36,22 @@ def test_odd_documents(spark, tmp_path, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             out = stash(stage(spark, out, sf_dir), "test")
         assert sorted(str(r["doc_id"]) for r in out.collect()) == (["4", "4", "None"] if some is docs else [])
+
+
+def test_clashing_columns(spark, sf_dir):
+    names = ["lang_pred", "score", "bits_per_byte", "class_id", "item_id", "hash", "terms", "spans", "text_hash", "n_tokens", "bucket", "component", "label", "key"]
+    docs = table(spark, sf_dir, "documents").limit(30)
+    docs = docs.selectExpr("*", *[f"'{x}' AS {x}" for x in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = stash(stage(spark, docs, sf_dir), "test")
+        assert docs.columns == columns and docs.count(), name
+        assert all(r[x] == x for r in docs.collect() for x in names)
+    assert stash(corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir), "test").count() == docs.count()
+
+
+def test_session_settings_stay(spark, sf_dir):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    corpus_pipeline.STAGES[0][1](spark, table(spark, sf_dir, "documents"), sf_dir).count()
+    assert spark.conf.get(key) == before

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of 64-bit keys that may be broadcast (16 MB); larger sides are joined by shuffle.
 BROADCAST_KEYS = 2_000_000
-#: Rows of text that go to a Python worker at once.
+#: Rows of text that a Python worker takes in hand at once.
 BATCH_ROWS = 1_000
 
 
@@ -22,23 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary folder is made and set.
+    Only where the session names none and runs on one machine (tests) a temporary folder is made and
+    set; a cluster without a shared folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def in_arrow(df: DataFrame, f, kinds) -> DataFrame:
-    """``df.mapInArrow`` in batches of at most :data:`BATCH_ROWS` rows, so that long texts stay small
-    batches. The limit is the session's; a smaller one is left alone."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return df.mapInArrow(f, kinds)
+    """``df.mapInArrow`` in slices of at most :data:`BATCH_ROWS` rows, so that the Python objects of
+    long texts stay few. No setting of the session is touched: Spark itself bounds the bytes of the
+    batches that it sends."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BATCH_ROWS):
+                yield batch.slice(a, BATCH_ROWS)
+
+    return df.mapInArrow(lambda batches: f(sliced(batches)), kinds)
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:

@@ -18,12 +18,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from ._shared import give_back, in_arrow, sized_broadcast
 
 #: Longest context in bytes.
 ORDER = 3
-#: Bound of the sample that the trees are fitted on: documents per language, and their longest text.
+#: Bound of the sample that the trees are fitted on: documents per language, and characters of each (of
+#: a longer text, a window at a hashed place).
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
 #: Bits a byte beyond which no learned language explains a text (8: equal shares).
 MOST_BITS = 7.0
@@ -36,16 +38,21 @@ UNDETERMINED = "und"
 
 def training_sample(docs: DataFrame) -> DataFrame:
     """(lang, text) of at most ``SAMPLE_DOCS`` documents per language, those of the smallest hash of
-    their doc_id and text. Null lang or text, and texts over ``SAMPLE_CHARS``, are left out.
+    their doc_id and text. Rows with null lang, and null or empty texts, teach nothing; of texts over
+    ``SAMPLE_CHARS`` characters a window of that many is taken at a place that the hash fixes, so every
+    language with any text is learned.
 
-    Rows are counted per language first, and only hashes below a bound that lets about
+    The usable rows of a language are counted first, and only hashes below a bound that lets about
     ``4 * SAMPLE_DOCS`` of them pass are ranked, so the group of a language stays small at any size.
     """
-    counts = docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("__n")).withColumnRenamed("lang", "__lang")
-    found = docs.where("lang is not null and text is not null").where(F.length("text").between(1, SAMPLE_CHARS))
+    found = docs.where("lang is not null and text is not null and text <> ''")
+    counts = found.groupBy("lang").agg(F.count("*").alias("__n")).withColumnRenamed("lang", "__lang")
     found = found.select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("__hash"))
     found = found.join(sized_broadcast(counts), F.col("lang") == F.col("__lang"))
     found = found.where(F.pmod("__hash", F.lit(1 << 30)) < F.lit(4.0 * SAMPLE_DOCS * (1 << 30)) / F.col("__n"))
+    more = F.length("text") - SAMPLE_CHARS
+    start = F.when(more > 0, F.pmod(F.xxhash64("__hash"), F.greatest(more, F.lit(0)) + 1)).otherwise(0)
+    found = found.withColumn("text", F.substring("text", start.cast("int") + 1, F.lit(SAMPLE_CHARS)))
     order = Window.partitionBy("lang").orderBy(F.pmod("__hash", F.lit(1 << 30)), "__hash", "doc_id")
     return found.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= SAMPLE_DOCS).select("lang", "text")
 
@@ -206,23 +213,27 @@ def held_out(doc_id: F.Column = None) -> F.Column:
     return F.coalesce(F.crc32((F.col("doc_id") if doc_id is None else doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def predict_languages(docs: DataFrame, trees: Trees) -> DataFrame:
-    """Adds lang_pred, score and bits_per_byte to every row, from its text alone; no shuffle.
+def predict_languages(docs: DataFrame, trees: Trees, names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """Adds the language, its score and its bits a byte under ``names`` to every row, from its text
+    alone; no shuffle.
 
-    The tables are sent to the workers once. Extra columns pass through; null texts are ``und``.
+    The tables are sent to the workers once. Extra columns pass through; those that have one of the
+    names already (in any case of letters) are replaced. Null texts are ``und``.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(trees)
+    taken = {x.lower() for x in names}
+    docs = docs.drop(*[x for x in docs.columns if x.lower() in taken])
+    at = docs.columns.index("text")
+    model = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, score, bits = model.value.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], [*batch.schema.names, "lang_pred", "score", "bits_per_byte"])
+            langs, score, bits = model.value.predict(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], [*batch.schema.names, *names])
         give_back()
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    kinds = StructType([f for f in docs.schema]).add("lang_pred", StringType()).add("score", DoubleType()).add("bits_per_byte", DoubleType())
+    kinds = StructType(list(docs.schema))
+    for name, kind in zip(names, (StringType(), DoubleType(), DoubleType()), strict=True):
+        kinds = kinds.add(name, kind)
     return in_arrow(docs, run, kinds)
 
 

@@ -6,6 +6,11 @@ samples of it, in ``BANDS`` bands, propose candidates; a candidate pair becomes
 Jaccard similarity of the whole texts is ``SIMILARITY`` or more. Classes are the connected components
 of the links.
 
+A sample is kept as its shingle alone, without its quantised weight (so-called 0-bit samples): a
+shingle of slightly different weight in two texts may then agree where the full sample would not, which
+can only add candidates. The random triples are drawn from a table of ``TRIPLES``. How far the share of
+agreeing samples lies from the similarity is measured in the tests.
+
 How it stays small: equal texts are folded into their first document before anything else. A bucket
 (band, value) never emits its pairs. First every member is compared with the bucket's smallest
 document. After the components of those links are known, only buckets that still hold several
@@ -31,9 +36,9 @@ from ._shared import drop_stash, give_back, in_arrow, sized_broadcast, stash
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 HASHES = BANDS * ROWS
-#: Slots of the sketch of document frequencies, its blocks, and the frequency from which a shingle
-#: counts as common; rarer ones have full weight.
-SLOTS, BLOCKS, COMMON = 1 << 18, 64, 0.1
+#: Slots of the sketch of document frequencies, its blocks, and the share of all documents up to which
+#: a shingle has full weight, so that the size of a group of copies hardly counts against its members.
+SLOTS, BLOCKS, RARE = 1 << 18, 64, 0.01
 #: Steps of the logarithm of a weight, and how many of them are told apart.
 STEP, LEVELS = 0.125, 64
 #: Random (r, c, beta) triples that a shingle and hash choose from.
@@ -93,12 +98,12 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 def slot_levels(frequencies: np.ndarray, n: int) -> np.ndarray:
     """Log-weight of a slot's shingles in steps of ``STEP``, 0 for full weight, negative for common.
 
-    The mean load of the slots is the noise that rare shingles share and is taken off. The weight is
-    (1 + idf) / 2, with idf from 1 at a frequency of ``COMMON`` or less down to 0 for a shingle of
-    every document.
+    The median load of the slots is the noise that rare shingles share and is taken off. The weight is
+    (1 + idf) / 2, where idf = log(df / n) / log(RARE): 1 for a shingle in a share of ``RARE`` of the
+    documents or less, 1/2 for one in a tenth, 0 for one in all.
     """
     own = np.maximum(frequencies - np.median(frequencies), 1) / max(n, 1)
-    idf = np.log(np.clip(own, COMMON, 1)) / np.log(COMMON)
+    idf = np.log(np.clip(own, RARE, 1)) / np.log(RARE)
     return np.round(np.log((1 + idf) / 2) / STEP).astype(np.int8)
 
 
@@ -283,11 +288,12 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce("label", "doc_id").alias("component"))
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): every member of a bucket with the bucket's smallest doc_id. The smallest is found by an
-    aggregate that is combined map-side, so a hot bucket moves no rows for it."""
-    hub = members.groupBy("bucket").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("__last")).where("b < __last").drop("__last")
-    return members.join(hub, "bucket").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+def hubs(members: DataFrame) -> DataFrame:
+    """(bucket, hub): the smallest doc_id of every bucket that holds several. Found by an aggregate that
+    is combined map-side, so a hot bucket moves no rows for it, and written, so that the joins with it
+    are plain joins, whose hot partitions Spark splits."""
+    found = members.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("__last"))
+    return stash(found.where("hub < __last").select("bucket", "hub"), "near-dup-hubs")
 
 
 def residual_links(members: DataFrame, found: DataFrame, docs: DataFrame, slots: np.ndarray) -> DataFrame:
@@ -304,7 +310,8 @@ def residual_links(members: DataFrame, found: DataFrame, docs: DataFrame, slots:
     mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), top, F.sum("n").alias("size")).where("parts > 1")
     blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
     mixed = mixed.select("bucket", F.col("top.component").alias("main"), blocks(F.col("size")).alias("blocks"), blocks(F.col("size") - F.col("top.n")).alias("q_blocks"))
-    rows = stash(rows.join(mixed, "bucket"), "mixed-buckets")
+    mixed = stash(mixed, "mixed-sizes")
+    rows = stash(rows.join(sized_broadcast(mixed), "bucket"), "mixed-buckets")
     rows = rows.join(texts_of(rows.select("doc_id"), docs), F.col("doc_id") == F.col("__own"))
     of = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -340,20 +347,23 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     slots = slot_levels(*document_frequencies(docs))
     signed = stash(signatures(docs, slots), "near-dup-signatures")
     worded = signed.where("digest is not null and doc_id is not null")
-    copies = worded.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    firsts = worded.join(copies.withColumnRenamed("digest", "__digest"), (F.col("digest") == F.col("__digest")) & (F.col("doc_id") == F.col("first")), "left_semi")
-    firsts = stash(firsts.dropDuplicates(["doc_id", "digest"]), "near-dup-firsts")
+    copies = worded.groupBy(F.col("digest").alias("__digest")).agg(F.min("doc_id").alias("first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    copies = sized_broadcast(stash(copies, "near-dup-copies"))
+    worded = worded.join(copies, F.col("digest") == F.col("__digest"), "left").where("first is null or doc_id = first")
+    firsts = stash(worded.select("doc_id", "digest", "bands").dropDuplicates(["doc_id", "digest"]), "near-dup-firsts")
     members = firsts.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stash(members.join(shared, "bucket", "left_semi"), "near-dup-members")
-    links = verify(star_pairs(members), docs, slots)
+    members = stash(members.join(sized_broadcast(hubs(members)), "bucket"), "near-dup-members")
+    stars = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    members = members.drop("hub")
+    links = verify(stars, docs, slots)
     nodes = members.select("doc_id").distinct()
     found = stash(components(nodes, links), "near-dup-components")
     links = links.unionByName(residual_links(members, found, docs, slots))
-    found = stash(components(nodes, links), "near-dup-components")
-    to_first = copies.withColumnRenamed("digest", "__digest")
-    out = signed.select("doc_id", "digest").join(to_first, F.col("digest") == F.col("__digest"), "left")
-    out = out.join(found.withColumnRenamed("doc_id", "__first"), F.col("first") == F.col("__first"), "left")
+    found = stash(components(nodes, links), "near-dup-components").where("component <> doc_id")
+    found = sized_broadcast(stash(found.withColumnRenamed("doc_id", "__first"), "near-dup-linked"))
+    out = signed.select("doc_id", "digest").join(copies, F.col("digest") == F.col("__digest"), "left")
+    out = out.withColumn("first", F.when(F.col("digest").isNotNull(), F.coalesce("first", "doc_id")))
+    out = out.join(found, F.col("first") == F.col("__first"), "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id")).alias("class_id"))
 
 
