@@ -22,9 +22,9 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter (null and empty ones too) and texts that no learned language
     explains; the rest stays unchanged."""
     trees = language_id.learn(docs.select("doc_id", "lang", "text"))
-    found = language_id.predict_languages(docs, trees)
-    strange = (F.col("bits_per_byte") > language_id.MOST_BITS) & (F.octet_length("text") >= LEAST_BYTES)
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & ~strange).select(*docs.columns)
+    found = language_id.predict_languages(docs, trees, ("__lang_pred", "__score", "__bits"))
+    strange = (F.col("__bits") > language_id.MOST_BITS) & (F.octet_length("text") >= LEAST_BYTES)
+    return found.where((F.col("__lang_pred") != language_id.UNDETERMINED) & ~strange).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
