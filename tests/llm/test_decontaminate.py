@@ -29,7 +29,7 @@ def test_leaks_are_found(spark):
 def test_short_and_empty_items(spark):
     docs = [(1, "before alpha beta gamma delta epsilon after"), (2, "one two three"), (3, "1 2 3 4 5 6 7 8 9 10")]
     bench = [(5, "Alpha beta gamma delta epsilon"), (6, "one two three"), (7, None), (8, ""), (9, "11 12 13 14 15 16 17 18 19 20"), (None, "before alpha beta gamma delta epsilon after")]
-    assert set(run(spark, docs, bench)) == {(1, 5)}
+    assert set(run(spark, docs, bench)) == {(1, 5), (2, 6)}
     assert run(spark, docs, []) == {} == run(spark, [], bench)
 
 
@@ -62,3 +62,28 @@ def test_generated_documents(spark, sf_dir):
     items = [" ".join(r["text"].split()) for r in bench.collect()]
     literal = {r["doc_id"] for r in docs.select("doc_id", "text").collect() if any(x in " ".join(r["text"].split()) for x in items if len(x.split()) > 8)}
     assert literal <= found
+
+
+def test_literal_copies_of_short_and_slot_heavy_items(spark):
+    sums = "Compute 12 + 7 + 9 + 30 + 45 + 81 and 6 x 8"
+    people = "List: Anna, Peter, Maria, Jonas, Karla, Simon, Erika, Bruno"
+    bench = [(1, "What is 2 + 2?"), (2, "Define entropy briefly."), (3, sums), (4, people), (5, "Why?"), (6, "Hello there")]
+    docs = [(10, f"{FILL} What is 2 + 2? {FILL}"), (11, f"{FILL} What is 3 + 3? {FILL}"), (12, "Please define Entropy briefly, {FILL}"), (13, f"{FILL} {sums} {FILL}"), (14, f"{FILL} compute 1 + 2 + 3 + 4 + 5 + 6 and 7 x 9"), (15, f"They say {people}."), (16, "They say List: Bob, Tim, Mia, Joe, Kim, Sam, Eva, Ben."), (17, "why"), (18, f"why {FILL}"), (19, "Hello, there!"), (20, f"hello there {FILL}")]
+    assert set(run(spark, docs, bench)) == {(10, 1), (12, 2), (13, 3), (15, 4), (17, 5), (19, 6)}
+
+
+def test_sql_gives_the_same_rows(spark, tmp_path):
+    import duckdb
+    from weftline.llm.queries import ORACLE_SQL
+
+    bench = [(1, "What is 2 + 2?"), (2, "Define entropy briefly."), (3, ITEM), (4, "Compute 12 + 7 + 9 + 30 + 45 + 81 and 6 x 8"), (5, "Why?"), (6, None), (7, "")]
+    docs = [(10, f"{FILL} What is 2 + 2? {FILL} {ITEM}"), (11, ITEM.replace("12", "13").replace("Anna", "Maria")), (12, f"define entropy briefly {FILL}"), (13, f"{FILL} Compute 12 + 7 + 9 + 30 + 45 + 81 and 6 x 8 {FILL}"), (14, "why?"), (15, None)]
+    con = duckdb.connect()
+    for name, rows, kinds in (("documents", docs, "doc_id BIGINT, text VARCHAR"), ("benchmark", bench, "item_id BIGINT, text VARCHAR")):
+        con.execute(f"CREATE TABLE {name} ({kinds})")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    cur = con.execute(ORACLE_SQL["op7_decontamination"])
+    names = [d[0] for d in cur.description]
+    want = {(r["doc_id"], r["item_id"]): r for r in (dict(zip(names, x, strict=True)) for x in cur.fetchall())}
+    got = {k: r.asDict() for k, r in run(spark, docs, bench).items()}
+    assert got == want and set(got) == {(10, 1), (10, 3), (11, 3), (12, 2), (13, 4), (14, 5)}

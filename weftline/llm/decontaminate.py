@@ -5,6 +5,10 @@ Native: DataFrame expressions only. Numbers, names and units become typed placeh
 shares enough of an item's windows along one alignment is contaminated if the slots agree: a value
 of the item must always meet the same value of the document. So re-parameterised questions are found
 as well as literal copies.
+
+A window that is mostly placeholders, or an item of few tokens, would meet clean documents as a
+template. Such windows are joined by their own tokens instead, slots included: literal copies of
+arithmetic, tables, lists of names and short questions are found, too.
 """
 
 from __future__ import annotations
@@ -14,9 +18,10 @@ from pyspark.sql import functions as F
 
 from ._shared import sized_broadcast, stash
 
-#: Template tokens in a window; items with fewer tokens are one window if they have SHORTEST.
-WIDTH, SHORTEST = 8, 5
-#: Literal tokens that a benchmark window has at least, as a share of its tokens.
+#: Template tokens in a window; an item with fewer is one window. Items of fewer than SHORTEST tokens are
+#: joined by their own tokens; those of fewer than ALONE are found only where they are the whole text.
+WIDTH, SHORTEST, ALONE = 8, 5, 3
+#: Literal tokens that a window joined by its template has at least, as a share of its tokens.
 LITERAL = 0.5
 #: Share of an item's windows that a document must hold, and share of the item's slot values that
 #: must meet one value each along an alignment.
@@ -63,49 +68,62 @@ def windows(hashes: Column, width: int) -> Column:
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """item_id, width, at, hash, n_windows, raw (tokens of the window), slots of every usable window.
+    """item_id, width, exact, at, hash, n_windows, raw (tokens of the window), is_slot, slots of every
+    window of every item.
 
-    Items with fewer than ``SHORTEST`` tokens have none; windows with too few literal tokens are left
-    out but count in n_windows only if others exist, so an item of placeholders alone matches nothing.
+    ``exact`` windows bear the hash of their own tokens in lower case, the others that of their
+    template; exact ones have no slots to check. Items without a token have no window.
     """
-    base = items.select("item_id", tokens(F.col("text")).alias("raw")).where(F.size("raw") >= SHORTEST)
+    base = items.select("item_id", tokens(F.col("text")).alias("raw")).where(F.size("raw") > 0)
     base = base.withColumn("width", F.least(F.lit(WIDTH), F.size("raw"))).withColumn("form", template(F.col("raw")))
-    base = base.withColumn("h", F.transform("form", lambda x: F.xxhash64(x)))
+    base = base.withColumns({"h": F.transform("form", lambda x: F.xxhash64(x)), "own": own_hashes(F.col("raw"))})
     rows = None
-    for width in range(SHORTEST, WIDTH + 1):
-        part = base.where(F.col("width") == width).select("item_id", "width", "raw", "form", F.posexplode(windows(F.col("h"), width)).alias("at", "hash"))
+    for width in range(1, WIDTH + 1):
+        both = F.arrays_zip(windows(F.col("h"), width).alias("h"), windows(F.col("own"), width).alias("own"))
+        part = base.where(F.col("width") == width).select("item_id", "width", "raw", "form", F.posexplode(both).alias("at", "both"))
         rows = part if rows is None else rows.unionByName(part)
     cut = lambda c: F.slice(c, F.col("at") + 1, F.col("width"))
     slot = lambda x: x.isin("<num>", "<name>", "<unit>")
-    rows = rows.select("item_id", "width", "at", "hash", cut(F.col("raw")).alias("raw"), F.transform(cut(F.col("form")), slot).alias("is_slot"))
+    rows = rows.select("item_id", "width", "at", "both", cut(F.col("raw")).alias("raw"), F.transform(cut(F.col("form")), slot).alias("is_slot"))
     slots = F.size(F.filter("is_slot", lambda x: x))
-    rows = rows.where(F.col("width") - slots >= F.col("width") * LITERAL).withColumn("slots", slots)
+    rows = rows.withColumn("exact", (F.col("width") < SHORTEST) | (F.col("width") - slots < F.col("width") * LITERAL))
+    rows = rows.withColumn("slots", F.when(F.col("exact"), 0).otherwise(slots)).withColumn("hash", F.when(F.col("exact"), F.col("both.own")).otherwise(F.col("both.h"))).drop("both")
     usable = rows.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"))
     return rows.join(usable, "item_id")
 
 
+def own_hashes(raw: Column) -> Column:
+    """Hashes of :func:`tokens` in lower case; the mark of a name is no part of it."""
+    return F.transform(raw, lambda x: F.xxhash64(F.ltrim(F.lower(x), F.lit(NAME_MARK))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_matched, share, consistent: every contaminated document with its items.
 
     Texts are read once; only (doc_id, position, hash) of each window meets the benchmark's windows,
-    which are broadcast if their number is small and joined by shuffle else. Slots are checked for
-    matches in windows with placeholders alone, whose documents are read once more.
+    which are broadcast if their number is small and joined by shuffle else. Windows of a kind (width;
+    template or own tokens) that no item has are not made. Slots are checked for matches in windows
+    with placeholders alone, whose documents are read once more.
 
     Null texts and null items match nothing; a null doc_id is a document of its own name; repeated
-    rows count once; slots of an item that occurs twice in a text are judged per occurrence. Empty tables
-    give an empty result.
+    rows count once; slots of an item that occurs twice in a text are judged per occurrence. Items of
+    one or two tokens are found only where they are a document's whole text. Empty tables give an
+    empty result.
     """
     bench = stash(benchmark_windows(benchmark.select("item_id", "text").where("item_id is not null").distinct()), "benchmark-windows")
-    keys = bench.groupBy("hash", "width").agg(F.collect_set(F.struct("item_id", "at", "slots")).alias("at_items"))
-    counts = bench.groupBy("width").count().collect()
+    keys = bench.groupBy("hash", "width", "exact").agg(F.collect_set(F.struct("item_id", "at", "slots")).alias("at_items"))
+    counts = bench.groupBy("width", "exact").count().collect()
     keys = sized_broadcast(keys, sum(r["count"] for r in counts))
     text = docs.select("doc_id", F.col("text"))
+    kinds = sorted({(r["width"], r["exact"]) for r in counts} | {(WIDTH, False)})
     hashed = text.select("doc_id", tokens(F.col("text")).alias("raw")).withColumn("form", template(F.col("raw")))
-    hashed = hashed.select("doc_id", F.transform("form", lambda x: F.xxhash64(x)).alias("h"))
+    own = [own_hashes(F.col("raw")).alias("own")] if any(x for _, x in kinds) else []
+    hashed = hashed.select("doc_id", F.transform("form", lambda x: F.xxhash64(x)).alias("h"), *own)
     found = None
-    for width in sorted({r["width"] for r in counts} | {WIDTH}):
-        rows = hashed.select("doc_id", F.lit(width).alias("width"), F.posexplode(windows(F.col("h"), width)).alias("doc_at", "hash"))
-        rows = rows.join(keys, ["hash", "width"]).select("doc_id", "width", "doc_at", F.explode("at_items").alias("x"))
+    for width, exact in kinds:
+        some = hashed.where(F.size("own") == width) if width < ALONE else hashed
+        rows = some.select("doc_id", F.lit(width).alias("width"), F.lit(exact).alias("exact"), F.posexplode(windows(F.col("own" if exact else "h"), width)).alias("doc_at", "hash"))
+        rows = rows.join(keys, ["hash", "width", "exact"]).select("doc_id", "width", "doc_at", F.explode("at_items").alias("x"))
         rows = rows.select("doc_id", "width", "doc_at", "x.item_id", "x.at", "x.slots")
         found = rows if found is None else found.unionByName(rows)
     found = stash(found.withColumn("shift", F.col("doc_at") - F.col("at")), "benchmark-matches")
@@ -121,12 +139,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def slot_agreement(text: DataFrame, bench: DataFrame, found: DataFrame) -> DataFrame:
     """agreeing per (__doc_id, __item_id): the share of the item's slot values, of each alignment, that
     always met the same value of the document."""
-    with_slots = found.where("slots > 0").select("doc_id", "item_id", "at", "doc_at", "width", "shift").distinct()
-    named = with_slots.select("doc_id").distinct().withColumnRenamed("doc_id", "__named")
-    rows = text.join(sized_broadcast(named), F.col("doc_id").eqNullSafe(F.col("__named"))).select("__named", tokens(F.col("text")).alias("doc_raw"))
-    rows = rows.join(with_slots, F.col("__named").eqNullSafe(F.col("doc_id")))
+    places = found.where("slots > 0").groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "at", "doc_at", "width", "shift")).alias("places")).withColumnRenamed("doc_id", "__named")
+    places = stash(places, "benchmark-places")  # one row per document that holds a template with slots
+    rows = text.join(sized_broadcast(places, places.agg(F.sum(F.size("places"))).first()[0] or 0), F.col("doc_id").eqNullSafe(F.col("__named"))).select("__named", "places", tokens(F.col("text")).alias("doc_raw"))
+    cut = lambda x: F.struct(x["item_id"].alias("item_id"), x["at"].alias("at"), x["shift"].alias("shift"), F.slice(F.col("doc_raw"), x["doc_at"] + 1, x["width"]).alias("own"), x["width"].alias("width"))
+    rows = rows.select(F.col("__named").alias("doc_id"), F.explode(F.transform("places", cut)).alias("x")).select("doc_id", "x.*")
     rows = rows.join(bench.select("item_id", "at", "raw", "is_slot").distinct(), ["item_id", "at"])
-    own = F.slice("doc_raw", F.col("doc_at") + 1, F.col("width"))
+    own = F.col("own")
     rows = rows.where(F.size(own) == F.col("width"))
     pairs = F.filter(F.arrays_zip(F.col("is_slot").alias("slot"), F.col("raw").alias("theirs"), own.alias("ours")), lambda x: x["slot"])
     rows = rows.select("doc_id", "item_id", "shift", F.explode(pairs).alias("p"))

@@ -69,14 +69,16 @@ def _op7_sql() -> str:
     raw = f"regexp_extract_all({marked}, '\\x01?\\p{{L}}[\\p{{L}}\\p{{M}}]*|\\p{{N}}+(?:[.,]\\p{{N}}+)*')"
     form = f"list_transform(raw, lambda x, i: CASE WHEN x[1] = chr(1) THEN '<name>' WHEN regexp_matches(x, '^\\p{{N}}') THEN '<num>' WHEN lower(x) IN ({units}) AND i > 1 AND regexp_matches(raw[i - 1], '^\\p{{N}}') THEN '<unit>' ELSE lower(x) END)"
     slot = "x IN ('<num>', '<name>', '<unit>')"
-    return f"""WITH b0 AS (SELECT item_id, raw, {form} AS form, least({d.WIDTH}, len(raw)) AS width FROM (SELECT DISTINCT item_id, {raw} AS raw FROM benchmark WHERE item_id IS NOT NULL) WHERE len(raw) >= {d.SHORTEST}),
+    plain = "array_to_string(list_transform({0}, lambda x: ltrim(lower(x), chr(1))), ' ')"
+    return f"""WITH b0 AS (SELECT item_id, raw, {form} AS form, least({d.WIDTH}, len(raw)) AS width FROM (SELECT DISTINCT item_id, {raw} AS raw FROM benchmark WHERE item_id IS NOT NULL) WHERE len(raw) > 0),
 b1 AS (SELECT item_id, width, at_, raw[at_ + 1:at_ + width] AS raw, form[at_ + 1:at_ + width] AS form FROM (SELECT *, unnest(range(len(raw) - width + 1)) AS at_ FROM b0)),
-b2 AS (SELECT *, array_to_string(form, ' ') AS win, len(list_filter(form, lambda x: {slot})) AS slots FROM b1),
-b3 AS (SELECT * FROM b2 WHERE width - slots >= width * {d.LITERAL}),
-b AS (SELECT *, (SELECT count(DISTINCT at_) FROM b3 y WHERE y.item_id = b3.item_id) AS n_windows FROM b3),
+b2 AS (SELECT *, len(list_filter(form, lambda x: {slot})) AS n_slots FROM b1),
+b3 AS (SELECT *, width < {d.SHORTEST} OR width - n_slots < width * {d.LITERAL} AS exact FROM b2),
+b4 AS (SELECT *, CASE WHEN exact THEN 0 ELSE n_slots END AS slots, CASE WHEN exact THEN {plain.format("raw")} ELSE array_to_string(form, ' ') END AS win FROM b3),
+b AS (SELECT *, (SELECT count(DISTINCT at_) FROM b4 y WHERE y.item_id = b4.item_id) AS n_windows FROM b4),
 d0 AS (SELECT doc_id, raw, {form} AS form FROM (SELECT doc_id, {raw} AS raw FROM documents)),
-d1 AS (SELECT doc_id, width, doc_at, raw[doc_at + 1:doc_at + width] AS own, array_to_string(form[doc_at + 1:doc_at + width], ' ') AS win FROM (SELECT doc_id, raw, form, width, unnest(range(len(raw) - width + 1)) AS doc_at FROM d0, (SELECT DISTINCT width FROM b) WHERE len(raw) >= width)),
-m AS (SELECT doc_id, item_id, at_, doc_at, doc_at - at_ AS shift, n_windows, slots, b.raw AS theirs, b.form, own FROM d1 JOIN b ON d1.win = b.win AND d1.width = b.width),
+d1 AS (SELECT doc_id, width, exact, doc_at, raw[doc_at + 1:doc_at + width] AS own, CASE WHEN exact THEN {plain.format("raw[doc_at + 1:doc_at + width]")} ELSE array_to_string(form[doc_at + 1:doc_at + width], ' ') END AS win FROM (SELECT doc_id, raw, form, width, exact, unnest(range(len(raw) - width + 1)) AS doc_at FROM d0, (SELECT DISTINCT width, exact FROM b) WHERE len(raw) >= width AND (width >= {d.ALONE} OR len(raw) = width))),
+m AS (SELECT doc_id, item_id, at_, doc_at, doc_at - at_ AS shift, n_windows, slots, b.raw AS theirs, b.form, own FROM d1 JOIN b ON d1.win = b.win AND d1.width = b.width AND d1.exact = b.exact),
 h AS (SELECT doc_id, item_id, count(DISTINCT at_) AS n_matched, count(DISTINCT at_) / any_value(n_windows) AS share FROM m GROUP BY ALL),
 s AS (SELECT doc_id, item_id, shift, lower(theirs[k]) AS v, count(DISTINCT lower(own[k])) AS n FROM (SELECT *, unnest(range(1, len(form) + 1)) AS k FROM m WHERE slots > 0) WHERE form[k] IN ('<num>', '<name>', '<unit>') GROUP BY ALL),
 a AS (SELECT doc_id, item_id, avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END) AS agreeing FROM s GROUP BY ALL)
