@@ -102,10 +102,25 @@ def test_records_are_frames_behind_a_dictionary(spark, sf_dir):
 
 
 def test_damage_is_found(tmp_path):
-    writer = warc.Writer(str(tmp_path))
+    writer = warc.Writer(str(tmp_path), warc.build_dictionary([]))
     writer.add(warc.render(1, "u", b"abc", hashlib.sha256(b"abc").hexdigest(), None))
     name = writer.close()[0][0]
     data = (tmp_path / name).read_bytes()
     (tmp_path / name).write_bytes(data[:-3])
     with open(tmp_path / name, "rb") as f, pytest.raises(Exception):
         list(warc.read_records(f))
+
+
+@pytest.mark.parametrize("n, size", [(1, 10), (3, 400_000), (5, 2_000), (9, 300_000), (300, 500)])
+def test_every_archive_has_a_dictionary(spark, n, size):
+    rows = [(i, f"http://e.org/{i}", f"<p>page {i} " + f"shared words of all pages {i} " * (size // 20)) for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    samples = warc.sampled_records(pages)
+    assert len(samples) == n and all(len(x) < warc.SAMPLE_CHARS + 600 for x in samples)
+    assert any(b"shared" in x and b"<p>" not in x for x in samples) or size < warc.SAMPLE_CHARS  # windows are spread over the text
+    folder = fresh_dir(spark, "test-warc")
+    manifest = warc.write_archives(pages, folder)
+    for path in glob.glob(folder.removeprefix("file://") + "/*.warc.zst"):
+        data = open(path, "rb").read(8)
+        assert int.from_bytes(data[4:], "little") > 200
+    assert {r["page_id"]: r["payload"].decode() for r in warc.read_archives(manifest, folder).collect()} == {i: h for i, _, h in rows}

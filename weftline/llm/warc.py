@@ -2,10 +2,10 @@
 
 A file starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary, then every record
 is a frame of its own, so that one record can be read without the rest. The dictionary is built from
-the records of the file itself: from a sample of at most ``SAMPLE_BYTES`` of them (a documented
-bound; all records are then written with it). A file is written under a name of its own attempt and
-named in the manifest that the task returns, so a retried or speculative task leaves no half file
-among those that are read.
+records of the whole table, ``SAMPLE_RECORDS`` of them by hash, ``SAMPLE_CHARS`` of each (a documented
+bound; all records are then written with it), so every file has one, however few and long its records
+are. A file is written under a name of its own attempt and named in the manifest that the task
+returns, so a retried or speculative task leaves no half file among those that are read.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from ._shared import filesystem, fresh_dir, in_arrow, stash
 DICTIONARY_MAGIC = 0x184D2A5D
 #: Payloads below this many bytes are never replaced by a revisit.
 LEAST_SHARED = 100
-DICT_BYTES, SAMPLE_BYTES, LEVEL = 32_768, 2_000_000, 3
-#: Uncompressed bytes of records that a writer holds before it starts the file.
+DICT_BYTES, LEVEL = 32_768, 3
+#: Bound of the sample that the dictionary is built from: pages, and characters of each at a hashed place.
+SAMPLE_RECORDS, SAMPLE_CHARS = 1_000, 4_000
 #: Files are closed beyond FILE_BYTES of compressed records.
 FILE_BYTES = 256_000_000
 
@@ -87,50 +88,49 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:n]
 
 
+def sampled_records(pages: DataFrame) -> list[bytes]:
+    """Rendered records of at most ``SAMPLE_RECORDS`` different payloads, those of the smallest hash,
+    each with a window of at most ``SAMPLE_CHARS`` characters at a place that the hash fixes.
+
+    Only hashes below a bound that lets about four times as many pass are ranked and cut, and what
+    reaches the driver is bounded by the two numbers.
+    """
+    n = max(pages.count(), 1)
+    html = F.coalesce(F.col("html"), F.lit(""))
+    rows = pages.select("page_id", "url", html.alias("html"), F.xxhash64(html).alias("h")).where(F.pmod("h", F.lit(1 << 30)) < 4.0 * SAMPLE_RECORDS * (1 << 30) / n)
+    more = F.greatest(F.length("html") - SAMPLE_CHARS, F.lit(0))
+    part = F.substring("html", F.pmod(F.xxhash64("h"), more + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))
+    rows = rows.groupBy("h").agg(F.min(F.struct("page_id", "url", part.alias("part"))).alias("x")).orderBy("h").limit(SAMPLE_RECORDS)
+    found = [(r["x"]["page_id"], r["x"]["url"], r["x"]["part"].encode()) for r in rows.collect()]
+    return [render(page, url, part, hashlib.sha256(part).hexdigest(), None) for page, url, part in found]
+
+
 def build_dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary; too few or too small samples give raw content or none."""
+    """A trained dictionary; where the samples are too few or too small for training, they are one as
+    they stand (raw content). Without samples, a record's fixed lines are."""
     import zstandard as z
 
     try:
-        return z.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes() if len(samples) >= 8 else b""
+        return z.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes()
     except z.ZstdError:
-        return b"".join(samples)[:DICT_BYTES] if sum(map(len, samples)) >= 8 else b""
+        return (b"".join(samples) or render(None, None, b"", "", None))[:DICT_BYTES]
 
 
 class Writer:
     """Appends records to archive files below a folder; ``close`` gives their manifest rows."""
 
-    def __init__(self, folder: str, file_bytes: int = FILE_BYTES):
+    def __init__(self, folder: str, dictionary: bytes, file_bytes: int = FILE_BYTES):
+        import zstandard as z
+
         self.fs, self.folder, self.file_bytes = *filesystem(folder), file_bytes
-        self.held: list[bytes] = []
-        self.held_bytes = 0
-        self.out = self.packer = None
+        self.dictionary = dictionary
+        self.packer = z.ZstdCompressor(level=LEVEL, write_checksum=True, dict_data=z.ZstdCompressionDict(dictionary))
+        self.out = None
         self.rows: list[tuple[str, int, int]] = []
 
     def add(self, record: bytes) -> None:
         if self.out is None:
-            self.held.append(record)
-            self.held_bytes += len(record)
-            if self.held_bytes >= SAMPLE_BYTES:
-                self._open()
-        else:
-            self._put(record)
-
-    def _open(self) -> None:
-        import zstandard as z
-
-        self.name = f"part-{uuid.uuid4().hex}.warc.zst"
-        self.fs.create_dir(self.folder, recursive=True)
-        self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}", compression=None)
-        words = build_dictionary(self.held)
-        self.out.write(DICTIONARY_MAGIC.to_bytes(4, "little") + len(words).to_bytes(4, "little") + words)
-        self.packer = z.ZstdCompressor(level=LEVEL, write_checksum=True, **({"dict_data": z.ZstdCompressionDict(words)} if words else {}))
-        self.n, self.size = 0, 8 + len(words)
-        held, self.held, self.held_bytes = self.held, [], 0
-        for record in held:
-            self._put(record)
-
-    def _put(self, record: bytes) -> None:
+            self._open()
         frame = self.packer.compress(record)
         self.out.write(frame)
         self.n += 1
@@ -138,14 +138,19 @@ class Writer:
         if self.size >= self.file_bytes:
             self._end()
 
+    def _open(self) -> None:
+        self.name = f"part-{uuid.uuid4().hex}.warc.zst"
+        self.fs.create_dir(self.folder, recursive=True)
+        self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}", compression=None)
+        self.out.write(DICTIONARY_MAGIC.to_bytes(4, "little") + len(self.dictionary).to_bytes(4, "little") + self.dictionary)
+        self.n, self.size = 0, 8 + len(self.dictionary)
+
     def _end(self) -> None:
         self.out.close()
         self.rows.append((self.name, self.n, self.size))
         self.out = None
 
     def close(self) -> list[tuple[str, int, int]]:
-        if self.held:
-            self._open()
         if self.out is not None:
             self._end()
         return self.rows
@@ -159,7 +164,7 @@ def read_records(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
     if int.from_bytes(head[:4], "little") != DICTIONARY_MAGIC:
         raise ValueError("the archive has no dictionary frame")
     words = stream.read(int.from_bytes(head[4:], "little"))
-    engine = z.ZstdDecompressor(**({"dict_data": z.ZstdCompressionDict(words)} if words else {}))
+    engine = z.ZstdDecompressor(dict_data=z.ZstdCompressionDict(words))
     data, frame, parts = stream.read(chunk), None, []
     while data:
         frame = frame or engine.decompressobj()
@@ -176,16 +181,17 @@ def read_records(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) to archives below ``folder``; returns the manifest.
 
-    One task writes the rows of its own partition, in a stream: memory is that of one batch and the
-    dictionary sample. No shuffle besides that of :func:`with_revisits`. An empty table writes no file.
+    One task writes the rows of its own partition, in a stream: memory is that of one batch. No shuffle
+    besides that of :func:`with_revisits`. An empty table writes no file.
     """
+    shared = pages.sparkSession.sparkContext.broadcast(build_dictionary(sampled_records(pages)))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = Writer(folder)
+        writer = Writer(folder, shared.value)
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 writer.add(render(*row))
-        files, counts, sizes = zip(*writer.close(), strict=True) if writer.rows or writer.held or writer.out else ((), (), ())
+        files, counts, sizes = zip(*done, strict=True) if (done := writer.close()) else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["file", "n_records", "n_bytes"])
 
     return stash(in_arrow(with_revisits(pages), write, MANIFEST), "warc-manifest")
