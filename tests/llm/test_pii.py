@@ -136,3 +136,25 @@ def test_overlapping_spans_leave_nothing():
     text = "call +49.30.12.34.56.78 now"
     assert pii.mask(text, []) == "call [PHONE] now"
     assert pii.mask("ab cd ef", [(0, 5, "removed"), (3, 8, "general")]) == "[REMOVED]"
+
+
+def test_general_terms_give_way_to_their_class():
+    said = {"ask Mr. Smith now": "PERSON", "near Baker Street": "PLACE", "at Acme Ltd": "ORGANISATION", "on Monday we": "TIME", "the XKCD thing": "CODE", "the Zed thing": "NAME", "the zed thing": "WORD", "zed": "WORD"}
+    for text, kind in said.items():
+        term = next(w for w in ("Smith", "Baker", "Acme", "Monday", "XKCD", "Zed", "zed") if w in text)
+        a = text.index(term)
+        assert pii.mask(text, [(a, a + len(term), "general")]) == text.replace(term, f"[{kind}]")
+        assert pii.mask(text, [(a, a + len(term), "removed")]) == text.replace(term, "[REMOVED]")
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("a" * 1_000_000 + "@", "a@" * 300_000, "a.b@c" * 200_000, "1" * 1_000_000, "1." * 300_000, "+" * 500_000, "a@b.c " * 100_000):
+        pii.base_spans(text)
+        assert list(pii.emails(text[:2000])) == [m.span() for m in PLAIN["email"].finditer(text[:2000])]
+    text = "x@y.zz word " * 50_000
+    spans = pii.base_spans(text)
+    assert len(spans) == 50_000 == len(list(pii.terms_of(text, spans)))
+    assert time.time() - began < 30

@@ -5,7 +5,8 @@ a protected entity. From all texts it is estimated how strongly a term reveals a
 pointwise mutual information of term and entity over the information content of the entity, where
 all counts are of different texts, so that copies change nothing. Terms whose share reaches
 ``GENERALISE`` are generalised, from ``REMOVE`` on removed, wherever they stand in a text that
-mentions the entity.
+mentions the entity. A generalised term gives way to a broader one: the class that its form and its
+neighbours show (a person, a place, an organisation, a time, a code, a name, or any word).
 """
 
 from __future__ import annotations
@@ -22,14 +23,25 @@ from ._shared import in_arrow, sized_broadcast, stash
 
 #: Kinds in the order of the result, their patterns, and what stands for them.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+#: The characters of an address before its @, and the rest of it.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[WORD]", "removed": "[REMOVED]"}
+MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "[REMOVED]"}
+#: Words that show the class of the term beside them, before it and after it, and words of time.
+BEFORE = {
+    "mr": "PERSON", "mrs": "PERSON", "ms": "PERSON", "miss": "PERSON", "dr": "PERSON", "prof": "PERSON", "professor": "PERSON", "sir": "PERSON", "madam": "PERSON",
+    "herr": "PERSON", "frau": "PERSON", "monsieur": "PERSON", "madame": "PERSON", "mme": "PERSON", "señor": "PERSON", "señora": "PERSON", "sr": "PERSON", "sra": "PERSON",
+}
+AFTER = {
+    "street": "PLACE", "road": "PLACE", "avenue": "PLACE", "lane": "PLACE", "square": "PLACE", "city": "PLACE", "county": "PLACE", "river": "PLACE", "lake": "PLACE",
+    "inc": "ORGANISATION", "ltd": "ORGANISATION", "llc": "ORGANISATION", "corp": "ORGANISATION", "company": "ORGANISATION", "gmbh": "ORGANISATION", "university": "ORGANISATION", "bank": "ORGANISATION",
+}
+TIMES = frozenset("monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december".split())
+NEIGHBOUR_BEFORE, NEIGHBOUR_AFTER = re.compile(r"[^\W\d_]+\.?[ ]\Z"), re.compile(r"[ ][^\W\d_]+")
 
-#: A run of characters that an address can consist of.
-ADDRESS_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 TERM = re.compile(r"[^\W\d_]{3,}")
 DIGITS = re.compile(r"[0-9]")
 #: The least number of different texts that tie a term to an entity.
@@ -48,13 +60,18 @@ def luhn(digits: str) -> bool:
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
-    """Addresses. A match lies within one run of address characters, so only runs with an @ are
-    searched, and the part before the first @ of a search is cut to where a match can start."""
-    if "@" not in text:
-        return
-    for run in ADDRESS_RUN.finditer(text):
-        if "@" in run[0]:
-            yield from (m.span() for m in EMAIL.finditer(text, run.start(), run.end()))
+    """Addresses: for every @, the run of characters before it that an address can have, and the domain
+    behind it. No character is looked at more than twice, however long the runs are."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        done = at + 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            done = m.end()
+            yield start, done
+        at = text.find("@", done)
 
 
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -215,9 +232,24 @@ def find_pii(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
 
 
+def broader(text: str, start: int, end: int) -> str:
+    """The class that takes the place of the term at text[start:end]."""
+    term = text[start:end]
+    if term.lower() in TIMES:
+        return "[TIME]"
+    if m := NEIGHBOUR_BEFORE.search(text, max(0, start - 24), start):
+        if found := BEFORE.get(m[0].rstrip(". ").lower()):
+            return f"[{found}]"
+    if m := NEIGHBOUR_AFTER.match(text, end):
+        if found := AFTER.get(m[0].strip().lower()):
+            return f"[{found}]"
+    return "[CODE]" if term.isupper() else "[NAME]" if term[0].isupper() else "[WORD]"
+
+
 def mask(text: str | None, terms: list[tuple[int, int, str]]) -> str | None:
-    """The text with every span replaced by its mask; of spans that overlap, the one that starts
-    first (then the longest) takes the place of all that it touches."""
+    """The text with every span replaced by its mask, generalised terms by their class (see
+    :func:`broader`); of spans that overlap, the one that starts first (then the longest) takes the
+    place of all that it touches."""
     if not text:
         return text
     spans = sorted([(a, -b, k) for k, a, b in base_spans(text)] + [(a, -b, k) for a, b, k in terms])
@@ -228,7 +260,7 @@ def mask(text: str | None, terms: list[tuple[int, int, str]]) -> str | None:
         if a < end:
             end = at = max(end, -b)
             continue
-        out += [text[at:a], MASKS[kind]]
+        out += [text[at:a], broader(text, a, -b) if kind == "general" else MASKS[kind]]
         at = end = -b
     return "".join([*out, text[at:]])
 
