@@ -2,6 +2,8 @@
 
 import glob
 import hashlib
+import math
+import random
 
 import pytest
 import zstandard
@@ -62,6 +64,121 @@ def test_generated_pages(spark, sf_dir):
         assert r["text"] == "\n\n".join(filter(None, parts)) and r["n_chars"] == len(r["text"])
 
 
+def plain_density(tree, body):
+    """(chars, tags, link chars, link tags, density) of (name, kids) by the formula, from the leaves up."""
+    name, kids = tree
+    counts = [0, 0, 0, 0]
+    for kid in kids:
+        part = [len(kid), 0, 0, 0] if isinstance(kid, str) else [*plain_density(kid, body)[:4]]
+        if not isinstance(kid, str):
+            part[1] += 1
+        counts = [x + y for x, y in zip(counts, part, strict=True)]
+    if name == "a":
+        counts[2:] = counts[0], counts[1] + 1
+    chars, tags, link_chars, link_tags = counts
+    if not chars or body is None:
+        return (*counts, 0.0)
+    t, lc, lt = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + body[2] / max(body[0], 1) * chars + math.e)
+    return (*counts, chars / t * (math.log(chars / lc * t / lt) if base <= 1 else max(math.log(chars / lc * t / lt) / math.log(base), 0)))
+
+
+def random_tree(rng, depth=0):
+    name = rng.choice(["div", "section", "span", "a", "b"] if depth < 5 else ["b", "i"])
+    kids = [rng.choice(["word", "some more words", "x" * rng.randint(1, 90)]) if rng.random() < 0.5 or depth > 4 else random_tree(rng, depth + 1) for _ in range(rng.randint(1, 4))]
+    return name, [k for k in kids if name != "a" or isinstance(k, str)] or ["link"]
+
+
+def render(tree):
+    return tree if isinstance(tree, str) else f"<{tree[0]}>" + "".join(map(render, tree[1])) + f"</{tree[0]}>"
+
+
+def test_densities_equal_the_formula():
+    rng = random.Random(8)
+    for _ in range(60):
+        body = "body", [random_tree(rng) for _ in range(rng.randint(1, 4))]
+        tree = "html", [body]
+        whole = plain_density(tree, None)
+        root = html_text.build(render(body))
+        html_text.measure(root)
+        todo = [(tree, root)]
+        while todo:
+            want, got = todo.pop()
+            assert math.isclose(got.density, plain_density(want, whole)[4], rel_tol=1e-9, abs_tol=1e-9)
+            below = [k for k in want[1] if not isinstance(k, str)]
+            assert math.isclose(got.below, sum(plain_density(k, whole)[4] for k in below), rel_tol=1e-9, abs_tol=1e-9)
+            nodes = [k for k in got.kids if not isinstance(k, str)]
+            assert [k.name for k in nodes] == [k[0] for k in below]
+            todo += zip(below, nodes, strict=True)
+        # the largest sum is in what is selected
+        best = max(html_text.visible(root), key=lambda n: n.below)
+        assert best.below <= 0 or any(html_text._within(best, x) for x in html_text.select(root))
+
+
+LONG = PROSE * 8
+
+
+def texts(source):
+    return html_text.extract(source).split("\n\n")
+
+
+def test_densities_decide_between_candidates():
+    assert LONG.strip() in texts(f"<main><p>x y</p></main><div><p>{LONG}</div>")
+    assert texts(f"<article><p>{LONG}</article><div><p>{PROSE}</div><article><p>{LONG}</article>") == [LONG.strip()] * 2
+    assert texts(f"<main><h1>T</h1><article><p>{LONG}<p>{LONG}</article><div><a href=x>more</a></div></main>") == ["T", LONG.strip(), LONG.strip(), "more"]
+    assert texts(f"<div><div><p>{LONG}<p>{LONG}</div><div>Short note beside it without any link at all, of ninety characters or not.</div><div>ok</div></div>")[:2] == [LONG.strip()] * 2
+
+
+def test_words_in_an_articles_own_markings():
+    long = f"<article><h2>T</h2><p>{LONG}</p><p class=%s>{LONG}</p></article>"
+    for name in ("related-work", "legal", "notice", "reply", "share"):
+        assert len(texts(long % name)) == 3, name
+    for name in ("advert", "comments", "cookie-notice", "newsletter"):
+        assert len(texts(long % name)) == 2, name
+    assert len(texts(f"<article><p>{LONG}</p><p class=notice>We changed our terms.</p><div class=replies><p>{LONG}</p></div></article>")) == 1
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<p class=it's>Hello world</p><p>middle text</p><p>Don't</p><p>tail</p>", "Hello world|middle text|Don't|tail"),
+        ("<p title='a>b'>x</p><p title=\"<p>\">y</p><p title = z>z</p>", "x|y|z"),
+        ("<p a='never closed>one</p><p>two</p>", "one|two"),
+        ("<!-- a <p>b</p> --!><p>c</p><!--><p>d</p><!-- open <p>e", "c|d"),
+        ("<p>1 < 2 <3 &lt;4 &amp;amp; &#65;&nbsp;B</p><!doctype x><?php y ?></ z><p>end", "1 < 2 <3 <4 &amp; A B|end"),
+        ("<head><title>t</title><p>no body tag<div>a<div/>b</div>", "no body tag|a|b"),
+        ("<script>a</scripty></script ><p>x<textarea><p>y</textarea><P>Z</P>", "x|Z"),
+        ("<table><tr><td>a<td>b</div><tr><td>c</table>", "a|b|c"),
+    ],
+)
+def test_tags_are_read_as_browsers_do(source, want):
+    assert html_text.extract(source).replace("\n\n", "|") == want
+
+
+def test_links_without_quotes_are_links():
+    root = html_text.build("<p>text <a href=http://e.org/>link</a></p>")
+    html_text.measure(root)
+    assert root.link_chars == 4
+
+
+def test_time_grows_with_the_length_alone():
+    import time
+
+    began = time.time()
+    for part in ("<a href='x y ", "<div>", "<p><b>", "<a ", "<!--", "</div>", "<script>", "<ul><li>", "<i><b></i>", "<a b=\"", "<article>"):
+        html_text.extract(part * 20_000 + "x")
+    assert time.time() - began < 60
+
+
+def test_odd_pages(spark):
+    rows = [(None, None, None, "a", 1), (1, "u", "<p>x", "b", 2), (1, "u", "<p>x", "b", 2), (2, None, "", "c", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(map(tuple, html_text.main_text(pages).collect()), key=str)
+    assert got == sorted([(None, None, "", 0), (1, "u", "x", 1), (1, "u", "x", 1), (2, None, "", 0)], key=str)
+    empty = html_text.main_text(pages.limit(0))
+    assert empty.count() == 0 and empty.columns == ["page_id", "url", "text", "n_chars"]
+
+
 ROWS = [(5, "u5", "x" * 150, 0), (2, "u2", "x" * 150, 0), (7, None, "x" * 150, 0), (1, "u1", "small", 0), (3, "u\r\n3", "small", 0), (4, "u4", None, 0), (None, "u", "x" * 150, 0), (8, "é", "é" * 60, 0), (9, "é", "é" * 60, 0)]
 SCHEMA = "page_id long, url string, html string, payload_bytes int"
 
