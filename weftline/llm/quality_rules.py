@@ -5,6 +5,12 @@ log-bucket quantile sketches per (lang, source), and each document is joined wit
 own group. A sketch is a set of (bucket, count) rows: buckets of width ``GAMMA`` in the logarithm,
 so counts of parts simply add up, the number of rows per group is bounded by the range of a double,
 and quantiles have a relative error below ``(GAMMA - 1) / 2``.
+
+No fence is a fixed number. It lies ``REACH`` times the group's own spread off its median: the distance
+of the quartiles, and where they coincide (most texts have no symbol, no repeat) what a single event
+weighs in a short text of the group. Small groups borrow from their language, and languages from the
+corpus: their sketches get that of the larger one added, scaled to ``BORROWED`` documents, so nothing
+switches at any size.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stash
+from ._shared import sized_broadcast, stash
 
 #: What separates words, and the symbols that are counted.
 SPACES = " \t\n\x0b\f\r"
@@ -24,20 +30,25 @@ SYMBOLS = "#*$%&|<>"
 GAMMA = 1.02
 #: Values below this share bucket 0.
 TINY = 1e-3
-#: Measures with the least width of their fence, for groups whose values hardly spread.
-MEASURES = {"symbol_share": 0.2, "word_length": 2.0, "repeat_share": 0.25, "dup_line_share": 0.4}
-#: Fence: median + REACH * (75 % - 25 %) at least.
+#: Measures, with what one event adds to their numerator (a symbol, a character, the six words of a
+#: repeated window, a line) and the size that it is a share of.
+EVENTS = {"symbol_share": (1, "n_words"), "word_length": (1, "n_words"), "repeat_share": (6, "n_words"), "dup_line_share": (1, "n_lines")}
+#: Measures of which too little is as odd as too much.
+TWO_SIDED = ("word_length",)
+#: Fences lie this many spreads off the median.
 REACH = 4.0
-#: Groups with fewer documents use the fences of their language, then those of the corpus.
-LEAST_GROUP = 200
+#: Documents of the language (of the corpus) that a group's (a language's) sketch borrows.
+BORROWED = 200.0
+#: Slack of a rank, as a share of the total, for sums of fractions.
+SLACK = 1e-9
 #: Fixed base rules.
 LEAST_WORDS, MOST_REPEAT_PERCENT = 50, 50
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more (each word counted once)."""
-    hashed = F.transform(words, lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
-    return F.array_sort(F.slice(hashed, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))))
+def _window_hashes(words: Column) -> Column:
+    """Hashes of all 3-word windows; none for fewer words."""
+    first = F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
+    return F.transform(first, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -61,13 +72,16 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_words": F.size(words).cast("long"),
             "n_lines": F.size(lines).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            windows: _repeat_words(F.col(words)),
+            windows: _window_hashes(F.col(words)),
         }
     ).drop(words, lines)
+    # only texts that repeat a window have theirs sorted
+    pair = lambda h, i: F.struct(h.alias("h"), i.alias("i"))
     w = F.col(windows)
-    again = F.filter(w, lambda x, j: x["h"].eqNullSafe(F.get(w, j - 1)["h"]) | x["h"].eqNullSafe(F.get(w, j + 1)["h"]))
-    out = out.withColumn(twice, again)
-    out = out.withColumn(starts, F.array_sort(F.transform(twice, lambda x: x["i"])))
+    out = out.withColumn(twice, F.when(F.size(F.array_distinct(w)) < F.size(w), F.array_sort(F.transform(w, pair))))
+    t = F.col(twice)
+    again = F.filter(t, lambda x, j: x["h"].eqNullSafe(F.get(t, j - 1)["h"]) | x["h"].eqNullSafe(F.get(t, j + 1)["h"]))
+    out = out.withColumn(starts, F.when(t.isNotNull(), F.array_sort(F.transform(again, lambda x: x["i"]))).otherwise(F.array().cast("array<int>")))
     p = F.col(starts)
     steps = F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3))))
     return out.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)).drop(windows, twice, starts)
@@ -93,60 +107,69 @@ def bucket_value(b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(TINY * F.pow(F.lit(GAMMA), b - 1.5))
 
 
-def fences(measured: DataFrame) -> DataFrame:
-    """(lang, source, level, measure, fence): level 0 for the group, 1 for its language, 2 for all.
+def _ranked(raw: Column, total: Column, q: float) -> Column:
+    """The bucket in which a sketch (array of bucket and n, sorted) reaches the share ``q``."""
+    empty = F.struct(F.lit(0.0).alias("seen"), F.lit(None).cast("int").alias("at"))
+    found = F.aggregate(raw, empty, lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.coalesce(a["at"], F.when(a["seen"] + x["n"] >= total * (q - SLACK), x["bucket"])).alias("at")))
+    return bucket_value(found["at"])
+
 
-    The sketch rows of a group are summed map-side before they are shuffled, so one source with a
-    third of all documents sends no more rows than any other.
+def sketches(measured: DataFrame) -> DataFrame:
+    """(lang, source, measure, raw, total): the sketch of every group, with what it borrows.
+
+    The rows of a group are summed map-side before they are shuffled, so one source with a third of
+    all documents sends no more rows than any other. What is borrowed is one row per language and
+    measure, bounded by the range of the buckets.
     """
-    long = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in _measures().items()]))
-    fine = measured.select("lang", "source", long.alias("m")).groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count("*").alias("n"))
-    fine = fine.select("lang", "source", F.col("measure"), F.col("bucket"), "n")
-    levels = fine.select(F.explode(F.array(*[F.struct(F.when(F.lit(k < 2), F.col("lang")).alias("lang"), F.when(F.lit(k < 1), F.col("source")).alias("source"), F.lit(k).alias("level")) for k in range(3)])).alias("g"), "measure", "bucket", "n")
-    levels = levels.groupBy(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), F.col("g.level").alias("level"), "measure", "bucket").agg(F.sum("n").alias("n"))
-    sketch = levels.groupBy("lang", "source", "level", "measure").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("raw"))
-    total = F.aggregate("raw", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-
-    def quantile(q: float) -> Column:
-        empty = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("at"))
-        found = F.aggregate("raw", empty, lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.coalesce(a["at"], F.when(a["seen"] + x["n"] >= F.ceil(F.col("total") * q), x["bucket"])).alias("at")))
-        return bucket_value(found["at"])
-
-    out = sketch.withColumn("total", total)
-    out = out.withColumns({"q25": quantile(0.25), "q50": quantile(0.5), "q75": quantile(0.75)})
-    least = F.lit(None).cast("double")
-    for k, v in MEASURES.items():
-        least = F.when(F.col("measure") == k, F.lit(v)).otherwise(least)
-    width = F.greatest(REACH * (F.col("q75") - F.col("q25")), least)
-    return out.select("lang", "source", "level", "measure", "total", (F.col("q50") + width).alias("fence"))
+    names = _measures() | {k: F.col(k) for k in ("n_words", "n_lines")}
+    long = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bucket(v.cast("double")).alias("bucket")) for k, v in names.items()]))
+    fine = measured.select("lang", "source", long.alias("m")).groupBy("lang", "source", F.col("m.measure").alias("measure"), F.col("m.bucket").alias("bucket")).agg(F.count("*").alias("n"))
+    fine = stash(fine, "quality-sketches")
+
+    def level(*keys: str) -> DataFrame:
+        rows = fine.groupBy(*keys, "measure", "bucket").agg(F.sum("n").cast("double").alias("n"))
+        return rows.groupBy(*keys, "measure").agg(F.collect_list(F.struct("bucket", "n")).alias("raw"), F.sum("n").alias("total"))
+
+    def lent(df: DataFrame, keys: dict[str, str]) -> DataFrame:
+        scaled = F.transform("raw", lambda x: F.struct(x["bucket"].alias("bucket"), (x["n"] * BORROWED / F.col("total")).alias("n")))
+        return F.broadcast(df.select(*[F.col(k).alias(v) for k, v in keys.items()], scaled.alias("__lent")))
+
+    def with_lent(df: DataFrame, lender: DataFrame, on: Column) -> DataFrame:
+        names = [x for x in df.columns if x not in ("raw", "total")]
+        return df.join(lender, on).select(*names, F.concat("raw", "__lent").alias("raw"), (F.col("total") + BORROWED).alias("total"))
+
+    same = F.col("measure") == F.col("__m")
+    language = with_lent(level("lang"), lent(level(), {"measure": "__m"}), same)
+    group = with_lent(level("lang", "source"), lent(language, {"measure": "__m", "lang": "__l"}), same & F.col("lang").eqNullSafe(F.col("__l")))
+    return group.withColumn("raw", F.array_sort("raw"))
+
+
+def fences(measured: DataFrame) -> DataFrame:
+    """lang, source, and __low_m and __high_m of every measure m."""
+    found = sketches(measured)
+    raw, total = F.col("raw"), F.col("total")
+    found = found.select("lang", "source", "measure", *[_ranked(raw, total, q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)])
+    of = lambda m, q: F.max(F.when(F.col("measure") == m, F.col(q)))
+    sides = []
+    for m, (event, size) in EVENTS.items():
+        width = REACH * F.greatest(of(m, "q75") - of(m, "q25"), event / F.greatest(of(size, "q25"), F.lit(1.0)))
+        sides += [(of(m, "q50") - width if m in TWO_SIDED else F.lit(0.0)).alias(f"__low_{m}"), (of(m, "q50") + width).alias(f"__high_{m}")]
+    return found.groupBy("lang", "source").agg(*sides)
 
 
 def judge(measured: DataFrame) -> DataFrame:
     """Adds base_failed and kept.
 
-    A document stays if it passes the base rules and no measure lies above its fence: that of its
-    (lang, source) if the group has ``LEAST_GROUP`` documents, else of its language, else of all.
-    Null languages and sources are groups of their own. Values on a fence stay.
+    A document stays if it passes the base rules and every measure lies within the fences of its
+    (lang, source). Null languages and sources are groups of their own. Values on a fence stay.
     """
-    found = fences(measured)
-    per = [found.where(F.col("level") == k).groupBy("lang", "source").agg(F.first("total").alias(f"__n{k}"), *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"__{m}{k}") for m in MEASURES]) for k in range(3)]
-    whole = per[2].first()  # one row, for all documents
-    keys = measured.select(F.col("lang").alias("__l"), F.col("source").alias("__s")).distinct()
-    language = per[1].drop("source").withColumnRenamed("lang", "__lang1")
-    limits = keys.join(per[0], F.col("__l").eqNullSafe(F.col("lang")) & F.col("__s").eqNullSafe(F.col("source"))).drop("lang", "source")
-    limits = limits.join(language, F.col("__l").eqNullSafe(F.col("__lang1"))).drop("__lang1")
-
-    def pick(m: str) -> Column:
-        last = F.lit(whole[f"__{m}2"] if whole else None).cast("double")
-        return F.when(F.col("__n0") >= LEAST_GROUP, F.col(f"__{m}0")).when(F.col("__n1") >= LEAST_GROUP, F.col(f"__{m}1")).otherwise(last)
-
-    limits = limits.select("__l", "__s", *[pick(m).alias(f"__fence_{m}") for m in MEASURES])
-    out = measured.join(limits, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left")
+    limits = stash(fences(measured).withColumnsRenamed({"lang": "__l", "source": "__s"}), "quality-fences")
+    out = measured.join(sized_broadcast(limits), F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
     inside = F.lit(True)
     for m, v in _measures().items():
-        inside &= v <= F.col(f"__fence_{m}")
-    return out.withColumns({"base_failed": failed, "kept": ~failed & inside}).drop("__l", "__s", *[f"__fence_{m}" for m in MEASURES])
+        inside &= v.between(F.col(f"__low_{m}"), F.col(f"__high_{m}"))
+    return out.withColumns({"base_failed": failed, "kept": ~failed & inside}).select(*measured.columns, "base_failed", "kept")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

@@ -90,24 +90,33 @@ def _op9_sql() -> str:
     q = quality_rules
     spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     measures = {"symbol_share": "n_symbols / greatest(n_words, 1)", "word_length": "word_chars / greatest(n_words, 1)", "repeat_share": "n_repeat_words / greatest(n_words, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)"}
-    long = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS measure, {v} AS v FROM w" for k, v in measures.items())
-    least = " ".join(f"WHEN '{k}' THEN {v}" for k, v in q.MEASURES.items())
-    value = f"CASE WHEN b = 0 THEN 0.0 ELSE {q.TINY} * pow({q.GAMMA}, b - 1.5) END"
-    levels = " UNION ALL ".join(f"SELECT {k} AS level, {l} AS lang, {s} AS source, measure, b FROM l" for k, l, s in ((0, "lang", "source"), (1, "lang", "NULL"), (2, "NULL", "NULL")))
-    pick = f"CASE WHEN g0.total >= {q.LEAST_GROUP} THEN g0.fence WHEN g1.total >= {q.LEAST_GROUP} THEN g1.fence ELSE g2.fence END"
+    sizes = {"n_words": "n_words", "n_lines": "n_lines"}
+    long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, ({v})::DOUBLE AS v FROM w" for k, v in (measures | sizes).items())
+    value = lambda b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE {q.TINY} * pow({q.GAMMA}, {b} - 1.5) END"
+    ranks = ", ".join(f"min(b) FILTER (seen >= total * {x - q.SLACK!r}) AS b{int(x * 100)}" for x in (0.25, 0.5, 0.75))
+    of = lambda m, k: f"max(CASE WHEN measure = '{m}' THEN q{k} END)"
+    width = {m: f"{q.REACH} * greatest({of(m, 75)} - {of(m, 25)}, {event} / greatest({of(size, 25)}, 1.0))" for m, (event, size) in q.EVENTS.items()}
+    sides = ", ".join(f"{f'{of(m, 50)} - {x}' if m in q.TWO_SIDED else '0.0'} AS low_{m}, {of(m, 50)} + {x} AS high_{m}" for m, x in width.items())
+    inside = " AND ".join(f"{v} BETWEEN low_{m} AND high_{m}" for m, v in measures.items())
     return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 p AS (SELECT *, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: translate(x, {spaces}, '') <> '') AS lines FROM d),
 wi AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM p WHERE len(words) >= 3)),
 du AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM wi) WHERE c > 1),
 rw AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM du, (VALUES (0), (1), (2)) o(k) GROUP BY doc_id),
 w AS (SELECT p.doc_id, lang, source, len(words)::BIGINT AS n_words, length(translate(t, {spaces}, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '{q.SYMBOLS}', '')))::BIGINT AS n_symbols, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rw.n, 0)::BIGINT AS n_repeat_words FROM p LEFT JOIN rw ON p.doc_id = rw.doc_id),
-l AS (SELECT *, CASE WHEN v < {q.TINY} THEN 0 ELSE ceil(ln(v / {q.TINY}) / {math.log(q.GAMMA)!r})::INT + 1 END AS b FROM ({long})),
-c AS (SELECT level, lang, source, measure, b, count(*) AS n FROM ({levels}) GROUP BY ALL),
-r AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY b) AS seen, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM c),
-f AS (SELECT level, lang, source, measure, any_value(total) AS total, {", ".join(f"min(b) FILTER (seen >= ceil(total * {x})) AS b{k}" for k, x in (("25", 0.25), ("50", 0.5), ("75", 0.75)))} FROM r GROUP BY ALL),
-g AS (SELECT level, lang, source, measure, total, {value.replace("b ", "b50 ").replace("b)", "b50)")} + greatest({q.REACH} * ({value.replace("b ", "b75 ")} - {value.replace("b ", "b25 ")}), CASE measure {least} END) AS fence FROM f),
-o AS (SELECT l.doc_id, bool_and(l.v <= {pick}) AS inside FROM l JOIN g g0 ON g0.level = 0 AND g0.measure = l.measure AND g0.lang IS NOT DISTINCT FROM l.lang AND g0.source IS NOT DISTINCT FROM l.source JOIN g g1 ON g1.level = 1 AND g1.measure = l.measure AND g1.lang IS NOT DISTINCT FROM l.lang JOIN g g2 ON g2.level = 2 AND g2.measure = l.measure GROUP BY l.doc_id)
-SELECT w.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEAT_PERCENT} * n_words) AS base_failed, NOT (n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEAT_PERCENT} * n_words) AND inside AS kept FROM w JOIN o ON w.doc_id = o.doc_id"""
+l AS (SELECT lang, source, measure, CASE WHEN v < {q.TINY} THEN 0 ELSE ceil(ln(v / {q.TINY}) / {math.log(q.GAMMA)!r})::INT + 1 END AS b FROM ({long})),
+c AS (SELECT lang, source, measure, b, count(*)::DOUBLE AS n FROM l GROUP BY ALL),
+ca AS (SELECT measure, b, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY measure) AS total FROM c GROUP BY measure, b),
+la AS (SELECT DISTINCT lang, measure FROM c),
+cl AS (SELECT lang, measure, b, sum(n) AS n FROM (SELECT lang, measure, b, n FROM c UNION ALL SELECT lang, measure, b, n * {q.BORROWED} / total FROM la JOIN ca USING (measure)) GROUP BY ALL),
+cm AS (SELECT *, sum(n) OVER (PARTITION BY lang, measure) AS total FROM cl),
+ga AS (SELECT DISTINCT lang, source, measure FROM c),
+cg AS (SELECT lang, source, measure, b, sum(n) AS n FROM (SELECT lang, source, measure, b, n FROM c UNION ALL SELECT ga.lang, source, ga.measure, b, n * {q.BORROWED} / total FROM ga JOIN cm ON ga.measure = cm.measure AND ga.lang IS NOT DISTINCT FROM cm.lang) GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY b) AS seen, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM cg),
+f AS (SELECT lang, source, measure, {ranks} FROM r GROUP BY ALL),
+v AS (SELECT lang, source, measure, {value("b25")} AS q25, {value("b50")} AS q50, {value("b75")} AS q75 FROM f),
+g AS (SELECT lang, source, {sides} FROM v GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEAT_PERCENT} * n_words) AS base_failed, NOT (n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEAT_PERCENT} * n_words) AND {inside} AS kept FROM w JOIN g ON w.lang IS NOT DISTINCT FROM g.lang AND w.source IS NOT DISTINCT FROM g.source"""
 
 
 ORACLE_SQL: dict[str, str] = {
