@@ -60,6 +60,19 @@ def test_sketch_quantiles(spark):
         assert abs(found / np.quantile(values, q, method="inverted_cdf") - 1) < 0.011
 
 
+def test_small_groups_borrow_and_word_length_has_two_sides(spark):
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    good = lambda: " ".join(word(int(n)) for n in rng.integers(3, 8, 80))
+    junk = " ".join(f"{word(5)}###" for _ in range(80))
+    rows = [(i, good(), "en", "a") for i in range(400)]
+    rows += [(1000, good(), "en", "tiny"), (1001, junk, "en", "tiny"), (1002, good(), "yy", "other"), (1003, junk, "yy", "other")]
+    rows += [(2000, " ".join(word(1) for _ in range(80)), "en", "a"), (2001, " ".join(word(15) for _ in range(80)), "en", "a")]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert np.mean([got[i] for i in range(400)]) > 0.98 and got[1000] and got[1002]
+    assert not (got[1001] or got[1003] or got[2000] or got[2001])
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.floats(-1e6, 1e6), st.sampled_from([0.0, 1.0, 1.0000000001])), max_size=40), st.integers(-1, 45))
 def test_kth_largest(spark, values, k):
@@ -69,11 +82,13 @@ def test_kth_largest(spark, values, k):
     assert importance.kth_largest(df, "v", k) == want
 
 
-def test_resampling_keeps_the_target(spark, sf_dir):
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    rows = importance.resample(docs, labels).join(labels, "doc_id").collect()
-    rate = lambda q: np.mean([r["kept"] for r in rows if r["quality"] == q])
-    assert rate(1) > 0.9 and rate(0) < 0.3
+def test_kept_of_documents_that_no_model_saw(spark):
+    """Labels of every other document are hidden; clean ones stay alike whether they were seen or not."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = importance.resample(docs, labels.where("doc_id % 2 = 0")).join(labels, "doc_id").collect()
+    rate = lambda q, t, seen: np.mean([r["kept"] for r in rows if (r["quality"], r["toxic"]) == (q, t) and (r["doc_id"] % 2 == 0) == seen])
+    assert rate(1, 0, False) > 0.9 and abs(rate(1, 0, False) - rate(1, 0, True)) < 0.04
+    assert rate(1, 1, False) < 0.45 and rate(0, 0, False) < 0.05
 
 
 def test_toxic_documents_of_good_quality_go(spark):
@@ -87,13 +102,6 @@ def test_toxic_documents_of_good_quality_go(spark):
     assert rate(1, 0) > 0.9 and rate(1, 1) < 0.1 and rate(0, 0) < 0.1
 
 
-def test_generated_toxic_documents_go(spark, sf_dir):
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    rows = importance.resample(docs, labels).join(labels, "doc_id").where("quality = 1").collect()
-    rate = lambda t: np.mean([r["kept"] for r in rows if r["toxic"] == t])
-    assert rate(0) > 0.9 and rate(1) < 0.2
-
-
 def test_resampling_cases(spark):
     docs = spark.createDataFrame([(1, "good text here"), (2, None), (3, ""), (4, "### ###"), (4, "### ###"), (None, "good")], "doc_id long, text string").withColumn("key", importance.F.lit("x"))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -107,14 +115,39 @@ def test_resampling_cases(spark):
     assert not any(r["kept"] for r in importance.resample(docs, labels, k=0).collect())
 
 
-def test_log_weights_equal_the_models(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["the cat sat", "the dog", "### !!! ###", "the cat"])], "doc_id long, text string")
-    labels = spark.createDataFrame([(0, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
-    ratios = importance.log_ratios(docs, importance.labelled_rows(labels))
-    raw, target = np.zeros(importance.BUCKETS) + 0.5, np.zeros(importance.BUCKETS)
-    for i, t in enumerate(["the cat sat", "the dog", "### !!! ###", "the cat"]):
-        for f in importance.features(t):
-            raw[f] += 1
-            target[f] += i == 0
-    p = raw / raw.sum()
-    assert np.allclose(ratios, np.log((target + importance.PRIOR * p) / (target.sum() + importance.PRIOR) / p))
+def test_weights_keys_and_kept_equal_plain_python(spark):
+    rng = np.random.default_rng(5)
+    texts = ["the cat sat on the mat", "the dog", "### !!! ###", "the cat", "", None, *[" ".join(rng.choice(["the", "cat", "dog", "###", "mat"], 12)) for _ in range(40)]]
+    target = {i for i in range(len(texts)) if i % 3 == 0}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i in target), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+
+    def grams(i):
+        words = (texts[i] or "").split()
+        return Counter([(0, w) for w in words] + [(1, *x) for x in zip(words, words[1:], strict=False)])
+
+    found = {i: grams(i) for i in range(len(texts))}
+    want = {}
+    for i, own in found.items():
+        raw, good = Counter(), Counter()
+        for j, c in found.items():
+            if j != i:
+                raw.update(c)
+                if j in target:
+                    good.update(c)
+        of = lambda c, kind: sum(n for g, n in c.items() if g[0] == kind)
+        total = 0.0
+        for g, n in own.items():
+            share, prior = of(good, g[0]) / of(raw, g[0]), importance.PRIOR[g[0]]
+            e = raw[g] * share
+            total += n * (np.log((good[g] + prior) / (e + prior)) + e * (1 - share) / (2 * (e + prior) ** 2))
+        want[i] = total
+    rows = importance.resample(docs, labels).collect()
+    assert all(np.isclose(r["log_weight"], want[r["doc_id"]]) for r in rows) and len(rows) == len(texts)
+    noise = {r["doc_id"]: r["g"] for r in docs.select("doc_id", importance.gumbel(importance.F.col("doc_id")).alias("g")).collect()}
+    keys = {i: want[i] + noise[i] for i in want}
+    k = sum(w > 0 for w in want.values())
+    best = set(sorted(keys, key=lambda i: -keys[i])[:k])
+    assert 0 < k < len(texts) and {r["doc_id"] for r in rows if r["kept"]} == best
+    few = {r["doc_id"] for r in importance.resample(docs, labels, k=5).collect() if r["kept"]}
+    assert few == set(sorted(keys, key=lambda i: -keys[i])[:5])

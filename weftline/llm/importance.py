@@ -1,14 +1,18 @@
 """Quality selection by importance resampling.
 
-Two bag-of-n-grams models over hashed words and word pairs: one of the target (documents that the
-labels call good and not toxic), one of all raw text. A document's log weight is the log ratio of its
-n-grams under the two models; documents are drawn without replacement by Gumbel top-k on it.
+Two generative models over hashed words and word pairs: one of the target (documents that the labels
+call good and not toxic), one of all raw text. A document's weight is the ratio of its n-grams under
+the two, and documents are drawn without replacement by Gumbel top-k on its logarithm.
+
+A document's own n-grams count in neither model when it is weighed. Otherwise every rare word of a
+labelled document would speak for it and every rare word of an unlabelled one against it, and the draw
+would repeat the labels.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,24 +22,24 @@ from pyspark.sql import functions as F
 from ._hashing import mix, word_hashes, words_of
 from ._shared import in_arrow, stash
 
-#: Hash buckets of words and word pairs, and the blocks in which their counts are added up.
-BUCKETS, BLOCKS = 1 << 16, 64
+#: Hash buckets of words, and as many of word pairs, and the blocks in which their counts are added up.
+BUCKETS, BLOCKS = 1 << 17, 64
+#: Occurrences that are added to those of a bucket under both models: for words and for word pairs.
+PRIOR = (1.0, 16.0)
+#: Texts whose n-grams are counted at once.
+PART = 200
 #: Bound of the labelled rows that are learned from: those of the smallest hash.
 LABELLED_ROWS = 50_000
-#: The mean log ratio of an n-gram is scaled to this many: neighbouring n-grams are far from
-#: independent, and a plain sum would rank texts by their length.
-EFFECTIVE = 400.0
-#: Weight of the raw model in the target model, in n-grams.
-PRIOR = 1e6
 #: Buckets of one histogram of keys, and its rounds at most.
 BINS, ROUNDS = 1024, 12
 
 
 def features(text: str | None) -> np.ndarray:
-    """Buckets of the words and word pairs of a text."""
+    """Buckets of the words, then of the word pairs of a text."""
     h = word_hashes(words_of(text))
     pairs = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-    return (np.concatenate([mix(h), pairs]) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
+    return np.concatenate([mix(h) >> shift, (pairs >> shift) + np.uint64(BUCKETS)]).astype(np.int64)
 
 
 def labelled_rows(labels: DataFrame) -> DataFrame:
@@ -49,58 +53,88 @@ def labelled_rows(labels: DataFrame) -> DataFrame:
     return found.select(F.col("doc_id").alias("__labelled"), (F.col("q") == 1).alias("good"), ((F.col("q") == 1) & (F.col("t") == 0)).alias("target"))
 
 
-def log_ratios(docs: DataFrame, labelled: DataFrame) -> np.ndarray:
-    """log(p_target / p_raw) of every bucket.
+@dataclass
+class Models:
+    """Occurrences of every bucket in all text and in target text."""
+
+    raw: np.ndarray
+    target: np.ndarray
+
+    def __post_init__(self):
+        self.raw_total, self.target_total = (x.reshape(2, BUCKETS).sum(1) for x in (self.raw, self.target))
+
+    def log_weight(self, found: np.ndarray, chosen: bool) -> float:
+        """log(p_target / p_raw) of a text with these :func:`features`, without its own occurrences;
+        ``chosen``: it is one of the target texts.
+
+        A bucket with t occurrences in the target, where its share of raw text lets e be expected,
+        counts log((t + prior) / (e + prior)) each time. As t scatters around its mean, the logarithm
+        lies low by about e (1 - share) / (2 (e + prior) ** 2), which is put back.
+        """
+        at, n = np.unique(found, return_counts=True)
+        kind = (at >= BUCKETS).astype(np.int64)
+        own = np.bincount(kind, n, 2)
+        share = ((self.target_total - own * chosen) / np.maximum(self.raw_total - own, 1))[kind]
+        prior = np.array(PRIOR)[kind]
+        expected = np.maximum(self.raw[at] - n, 0) * share + prior
+        ratio = np.log((np.maximum(self.target[at] - n * chosen, 0) + prior) / expected)
+        return float(((ratio + (expected - prior) * (1 - share) / (2 * expected**2)) * n).sum())
+
 
-    All texts are counted for the raw model, those of ``labelled`` targets for the target model. A
-    task sends its counts as ``BLOCKS`` rows, each block is added up by itself, and what reaches the
-    driver is one number per bucket, whatever the size of the corpus.
+def _with_target(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """doc_id, text, and whether the document is a labelled target."""
+    chosen = F.broadcast(labelled.where("target").select("__labelled", F.lit(True).alias("__target")))
+    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__labelled"), "left")
+    return rows.select("doc_id", "text", F.coalesce("__target", F.lit(False)).alias("target"))
+
+
+def fit_models(docs: DataFrame, labelled: DataFrame) -> Models:
+    """All texts are counted for the raw model, those of ``labelled`` targets for the target model.
+
+    A task sends its counts as ``BLOCKS`` rows, each block is added up by itself, and what reaches the
+    driver is two numbers per bucket, whatever the size of the corpus.
     """
-    width = BUCKETS // BLOCKS
+    size = 2 * BUCKETS
+    width = size // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        both = np.zeros((2, size), np.int64)
         for batch in batches:
-            for text, chosen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.bincount(features(text), minlength=BUCKETS)
-                raw += found
+            for a in range(0, batch.num_rows, PART):
+                part = batch.slice(a, PART)
+                found = [features(x) for x in part.column(0).to_pylist()]
+                chosen = [x for x, y in zip(found, part.column(1).to_pylist(), strict=True) if y]
+                both[0] += np.bincount(np.concatenate(found), minlength=size)
                 if chosen:
-                    target += found
-        both = np.stack([raw, target]).reshape(2, BLOCKS, width)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([both[:, k].tobytes() for k in range(BLOCKS)])], ["block", "counts"])
+                    both[1] += np.bincount(np.concatenate(chosen), minlength=size)
+        blocks = both.astype("<u4").reshape(2, BLOCKS, width)
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([blocks[:, k].tobytes() for k in range(BLOCKS)])], ["block", "counts"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * width, np.int64)
         for batch in batches:
             for x in batch.column(1).to_pylist():
-                total += np.frombuffer(x, np.int64)
+                total += np.frombuffer(x, "<u4")
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], ["block", "counts"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(labelled.where("target")), F.col("doc_id") == F.col("__labelled"), "left")
-    found = in_arrow(rows.select("text", F.coalesce("target", F.lit(False)).alias("target")), count, "block int, counts binary")
-    found = found.groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    raw, target = np.zeros((2, BLOCKS, width))
-    for row in found:
-        raw[row["block"]], target[row["block"]] = np.frombuffer(row["counts"], np.int64).reshape(2, width)
-    raw, target = raw.reshape(-1) + 0.5, target.reshape(-1)
-    p_raw = raw / raw.sum()
-    p_target = (target + PRIOR * p_raw) / (target.sum() + PRIOR)
-    return np.log(p_target / p_raw)
+    rows = in_arrow(_with_target(docs, labelled).select("text", "target"), count, "block int, counts binary")
+    out = np.zeros((2, BLOCKS, width))
+    for row in rows.groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+        out[:, row["block"]] = np.frombuffer(row["counts"], np.int64).reshape(2, width)
+    return Models(out[0].reshape(-1), out[1].reshape(-1))
 
 
-def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """doc_id, log_weight, n_features of every row; a text without words weighs 0."""
-    table = docs.sparkSession.sparkContext.broadcast(ratios)
+def log_weights(docs: DataFrame, labelled: DataFrame, models: Models) -> DataFrame:
+    """doc_id, log_weight of every row; a text without words weighs 0."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(x) for x in batch.column(1).to_pylist()]
-            n = np.array([len(x) for x in found], np.int64)
-            weight = np.array([table.value[x].sum() / len(x) * EFFECTIVE if len(x) else 0.0 for x in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(n)], ["doc_id", "log_weight", "n_features"])
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.log_weight(features(t), c) for t, c in rows], pa.float64())], ["doc_id", "log_weight"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, log_weight double, n_features long")
+    return in_arrow(_with_target(docs, labelled), run, f"doc_id {kind}, log_weight double")
 
 
 def gumbel(doc_id: Column) -> Column:
@@ -139,32 +173,19 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
     return low
 
 
-def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """The weight that parts rows flagged ``good`` from other labelled rows with the least sum of both error rates."""
-    if good.all() or not good.any():
-        return -math.inf
-    order = np.argsort(weights, kind="stable")
-    w, g = weights[order], good[order]
-    lost = np.r_[0, np.cumsum(g)] / g.sum() + np.r_[(~g).sum(), (~g).sum() - np.cumsum(~g)] / (~g).sum()
-    at = int(lost.argmin())
-    if at == 0:
-        return -math.inf
-    return float((w[at - 1] + w[min(at, len(w) - 1)]) / 2)
-
-
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """doc_id, log_weight, key, kept: ``k`` rows drawn by their importance weight.
 
     ``key`` is the log weight plus Gumbel noise that the doc_id fixes; the k largest keys are kept,
     and rows whose key equals the k-th are kept with it (repeated rows share their fate). Without
-    ``k``, as many rows are drawn as weigh more than the cut that best parts target rows (good and not
-    toxic) from other rows in the bounded labelled sample; without any labels all rows are kept. Null texts weigh 0; one row
-    per input row; an empty table gives an empty result.
+    ``k``, as many rows are drawn as are likelier under the target than under raw text (log weight
+    above 0); without any target label all rows are kept. Null texts weigh 0; one row per input row;
+    an empty table gives an empty result.
     """
     labelled = stash(labelled_rows(labels), "importance-labels")
-    scored = stash(log_weights(docs, log_ratios(docs, labelled)).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"))), "importance-scores")
-    if k is None:
-        known = scored.join(F.broadcast(labelled), F.col("doc_id") == F.col("__labelled")).groupBy("doc_id").agg(F.min("log_weight").alias("w"), F.first("target").alias("target")).toPandas()
-        k = scored.where(F.col("log_weight") >= best_cut(known["w"].to_numpy(), known["target"].to_numpy(bool)) if len(known) else F.lit(True)).count()
-    limit = kth_largest(scored, "key", k)
+    if labelled.where("target").isEmpty() and k is None:
+        return docs.select("doc_id", F.lit(0.0).alias("log_weight"), gumbel(F.col("doc_id")).alias("key"), F.lit(True).alias("kept"))
+    weights = log_weights(docs, labelled, fit_models(docs, labelled))
+    scored = stash(weights.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"))), "importance-scores")
+    limit = kth_largest(scored, "key", scored.where("log_weight > 0").count() if k is None else k)
     return scored.select("doc_id", "log_weight", "key", (F.col("key") >= limit if limit is not None else F.lit(False)).alias("kept"))
