@@ -8,7 +8,7 @@ and quantiles have a relative error below ``(GAMMA - 1) / 2``.
 
 No fence is a fixed number. It lies ``REACH`` times the group's own spread off its median: the distance
 of the quartiles, and where they coincide (most texts have no symbol, no repeat) what a single event
-weighs in a short text of the group. Small groups borrow from their language, and languages from the
+weighs in a short text of the group, and no less than the sketch can tell apart. Small groups borrow from their language, and languages from the
 corpus: their sketches get that of the larger one added, scaled to ``BORROWED`` documents, so nothing
 switches at any size.
 """
@@ -152,7 +152,7 @@ def fences(measured: DataFrame) -> DataFrame:
     of = lambda m, q: F.max(F.when(F.col("measure") == m, F.col(q)))
     sides = []
     for m, (event, size) in EVENTS.items():
-        width = REACH * F.greatest(of(m, "q75") - of(m, "q25"), event / F.greatest(of(size, "q25"), F.lit(1.0)))
+        width = REACH * F.greatest(of(m, "q75") - of(m, "q25"), event / F.greatest(of(size, "q25"), F.lit(1.0)), (GAMMA - 1) * of(m, "q50"))
         sides += [(of(m, "q50") - width if m in TWO_SIDED else F.lit(0.0)).alias(f"__low_{m}"), (of(m, "q50") + width).alias(f"__high_{m}")]
     return found.groupBy("lang", "source").agg(*sides)
 

@@ -95,7 +95,7 @@ def _op9_sql() -> str:
     value = lambda b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE {q.TINY} * pow({q.GAMMA}, {b} - 1.5) END"
     ranks = ", ".join(f"min(b) FILTER (seen >= total * {x - q.SLACK!r}) AS b{int(x * 100)}" for x in (0.25, 0.5, 0.75))
     of = lambda m, k: f"max(CASE WHEN measure = '{m}' THEN q{k} END)"
-    width = {m: f"{q.REACH} * greatest({of(m, 75)} - {of(m, 25)}, {event} / greatest({of(size, 25)}, 1.0))" for m, (event, size) in q.EVENTS.items()}
+    width = {m: f"{q.REACH} * greatest({of(m, 75)} - {of(m, 25)}, {event} / greatest({of(size, 25)}, 1.0), {q.GAMMA - 1!r} * {of(m, 50)})" for m, (event, size) in q.EVENTS.items()}
     sides = ", ".join(f"{f'{of(m, 50)} - {x}' if m in q.TWO_SIDED else '0.0'} AS low_{m}, {of(m, 50)} + {x} AS high_{m}" for m, x in width.items())
     inside = " AND ".join(f"{v} BETWEEN low_{m} AND high_{m}" for m, v in measures.items())
     return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
