@@ -37,9 +37,12 @@ def test_search_of_nothing_and_too_many(spark, monkeypatch):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query array<double>")
     c = spark.createDataFrame([], "id int, v array<double>")
     assert vectors.top_k(q, c, 3, vector="v").count() == 0
-    monkeypatch.setattr(vectors, "QUERY_BYTES", 4)
-    with pytest.raises(ValueError, match="blocks"):
-        vectors.top_k(q, c, 3, vector="v")
+    rng = np.random.default_rng(1)
+    many = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(30)], "query_id int, query array<double>")
+    held = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(50)], "id int, v array<double>")
+    one = sorted(map(tuple, vectors.top_k(many, held, 3, vector="v").collect()))
+    monkeypatch.setattr(vectors, "QUERY_BYTES", 300)  # cut into blocks, each a broadcast of its own
+    assert sorted(map(tuple, vectors.top_k(many, held, 3, vector="v").collect())) == one and len(one) == 90
 
 
 def test_kv_expiry(spark):
@@ -70,7 +73,7 @@ def test_speech_hysteresis():
     found = []
     for t, p in enumerate([0.1, 0.6, 0.4, 0.3, 0.6, 0.6, 0.3, 0.4, 0.2, 0.9, 0.1, 0.1, 0.1, 0.7, 0.7, 0.7]):
         found += machine.feed(t, p)
-    assert found + list(machine.flush()) == [(1, 6), (13, 15)]
+    assert [(a, b) for a, b, _ in found + list(machine.flush())] == [(1, 6), (13, 15)]
 
 
 def test_tracks(spark):
@@ -154,3 +157,49 @@ def test_spectrum(spark):
     wave = [("k", i, float(np.sin(i * np.pi / 2))) for i in range(128)]
     rows = sequence.spectrum_bands(spark.createDataFrame(wave, "k string, pos long, v double"), "k", "pos", "v", 64, 32, 4).collect()
     assert {r["frame"] for r in rows} == {0, 1, 2, 3} and all(max(r["bands"]) in r["bands"][1:3] for r in rows)
+
+
+def test_positions_of_ties_prefixes_and_types(spark):
+    rows = [(i, f"https://example.org/a/long/common/prefix/{i % 50:04d}", 1, None if i % 7 == 0 else float(i % 3)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, url string, same int, x double").repartition(5)
+    for order in ("url", "same", "x", ["x", "url"], ["same", "id"], F.lower("url")):
+        placed = frames.with_position(df, order).collect()
+        assert sorted(r["pos"] for r in placed) == list(range(600))
+        keys = [order] if isinstance(order, str) else order if isinstance(order, list) else ["url"]
+        in_place = [tuple((r[k] is not None, r[k]) for k in keys) for r in sorted(placed, key=lambda r: r["pos"])]
+        assert in_place == sorted(in_place, key=lambda t: [(a, b if a else 0) for a, b in t])
+    # no bucket holds the rows of one head, nor those of one value
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for order in ("url", "same"):
+            sizes = frames.with_position(df, order).groupBy(F.spark_partition_id()).count().collect()
+            assert max(r["count"] for r in sizes) < 400
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert frames.with_position(df.limit(0), "url").count() == 0
+    assert sorted(r["id"] for r in frames.prefix_fraction(df, "id", 0.1).collect()) == list(range(60))
+
+
+def test_clip_equals_the_plain_condition(spark):
+    rng = np.random.default_rng(3)
+    spans = [(i, float(a), float(a + w)) for i, (a, w) in enumerate(zip(rng.uniform(-50, 300, 40), rng.choice([0.5, 3, 90, 400], 40), strict=True))]
+    times = [(i, float(x)) for i, x in enumerate(rng.uniform(-60, 500, 300))] + [(1000 + i, s[1]) for i, s in enumerate(spans)] + [(2000 + i, s[2]) for i, s in enumerate(spans)] + [(5000, None)]
+    got = sequence.clip(spark.createDataFrame(times, "id int, t double"), "t", spark.createDataFrame(spans, "span int, start double, end double"))
+    assert sorted((r["id"], r["span"]) for r in got.collect()) == sorted((i, s) for i, t in times if t is not None for s, a, b in spans if a <= t < b)
+    assert sequence.clip(spark.createDataFrame(times, "id int, t double"), "t", spark.createDataFrame([], "span int, start double, end double")).count() == 0
+
+
+def test_speech_has_padding_probabilities_and_ends(spark, tmp_path):
+    p = [0.1, 0.9, 0.8, 0.9, 0.4, 0.1, 0.4, 0.1, 0.9, 0.9, 0.9]
+    machine = sequence.SpeechSegmenter(threshold=0.5, low=0.35, min_silence=2, min_speech=1, pad=0.5)
+    got = [x for i, v in enumerate(p) for x in machine.feed(float(i), v)] + list(machine.flush())
+    assert [(a, b) for a, b, _ in got] == [(0.5, 5.5), (7.5, 10.5)]
+    assert abs(got[0][2] - np.mean([0.9, 0.8, 0.9, 0.4, 0.1, 0.4, 0.1])) < 1e-9 and abs(got[1][2] - 0.9) < 1e-9
+    rows = [("k", float(i), v, i == len(p) - 1) for i, v in enumerate(p)] + [("open", 0.0, 0.9, False), ("open", 5.0, 0.9, False)]
+    kinds = "id string, ts double, p double, end boolean"
+    for part in (rows[:4], rows[4:]):
+        spark.createDataFrame(part, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = steps.source(spark, str(tmp_path / "in"), kinds, files_per_trigger=1)
+    out = steps.speech_stream(stream, "id", "ts", "p", last="end", threshold=0.5, low=0.35, min_silence=2, min_speech=1, pad=0.5)
+    done = sorted(map(tuple, steps.run_available(out, "s_vad2", str(tmp_path / "c")).collect()))
+    assert [x[:3] for x in done] == [("k", 0.5, 5.5), ("k", 7.5, 10.5)]

@@ -65,7 +65,8 @@ def infer(task: str, name: str, value: Column, batch: int = 256) -> Column:
         @F.pandas_udf(kind)
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for out in results(parts):
-                yield pd.DataFrame([x or {} for x in out], index=out.index, columns=_fields(kind))
+                # object columns: a batch of nulls alone has a type, too
+                yield pd.DataFrame({f: pd.Series([None if x is None else x.get(f) for x in out], index=out.index, dtype=object) for f in _fields(kind)})
 
         return F.when(value.isNotNull(), run(value))
 

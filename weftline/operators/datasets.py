@@ -22,10 +22,11 @@ def load(spark: SparkSession, path: str, form: str = "parquet", order: str | Non
     rows into a seeded random order. ``keep`` persists the result.
     """
     df = spark.read.format(form).options(**options).load(path)
-    if shuffle_seed is not None:
-        df = df.orderBy(F.xxhash64(*[F.col(order)] if order else [F.to_json(F.struct("*"))], F.lit(shuffle_seed)))
+    shuffled = F.xxhash64(*[F.col(order)] if order else [F.to_json(F.struct("*"))], F.lit(shuffle_seed))
     if fraction is not None and fraction < 1:
-        df = prefix_fraction(df, order, fraction) if shuffle_seed is None else df.limit(max(int(df.count() * fraction), 1))
+        df = prefix_fraction(df, order if shuffle_seed is None else [shuffled, *([order] if order else [])], fraction)
+    if shuffle_seed is not None:
+        df = df.orderBy(shuffled)
     return df.persist() if keep else df
 
 

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 
 def _keys(order: str | Column | Sequence[str | Column]) -> list[Column]:
@@ -20,31 +20,49 @@ def _keys(order: str | Column | Sequence[str | Column]) -> list[Column]:
     return [F.col(k) if isinstance(k, str) else k for k in order]
 
 
+#: Sampled keys per bucket, from which the cuts between buckets are taken.
+SAMPLED = 40
+
+
 def with_position(df: DataFrame, order: str | Column | Sequence[str | Column], name: str = "pos") -> DataFrame:
     """Adds the 0-based place of each row in a total ascending order (nulls first).
 
-    Approximate percentiles of the first key cut the rows into buckets, the buckets' counts are summed
-    over (one row per bucket), and a window numbers the rows within each bucket, so no task holds more
-    than a bucket. Where the cuts fall makes no difference to the result.
+    A bounded sample of the whole keys (``SAMPLED`` per shuffle partition, by row hash) gives the cuts
+    between buckets, the buckets' counts are summed over (one row per bucket), and a window numbers the
+    rows within each bucket, so no task holds more than a bucket. Equal first keys, long common
+    prefixes and ties are parted by the further keys and then by the row's hash; only rows that are
+    equal in all columns stay together. Where the cuts fall makes no difference to the result.
     """
-    keys = _keys(order)
-    kind = df.select(keys[0].alias("k")).schema[0].dataType
-    if isinstance(kind, NumericType):
-        number = keys[0].cast("double")
-    elif isinstance(kind, (TimestampType, TimestampNTZType, DateType)):
-        number = F.unix_micros(keys[0].cast("timestamp")).cast("double")
-    else:  # the first bytes of a text, as a number of the same order
-        head = F.rpad(F.substring(F.encode(keys[0].cast("string"), "UTF-8"), 1, 6), 6, F.lit(b"\x00"))
-        number = F.conv(F.hex(head), 16, 10).cast("double")
+    row_hash = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not _holds_map(f.dataType)]) if any(not _holds_map(f.dataType) for f in df.schema) else F.lit(0)
+    keys = [*_keys(order), row_hash]
+    rows = df.withColumn("__key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
     n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.agg(F.percentile_approx(number, [k / n for k in range(1, n)], 10_000)).first()[0]
-    bucket = reduce(lambda a, c: a + F.when(number > c, 1).otherwise(0), sorted(set(cuts or [])), F.lit(0))
-    rows = df.withColumn("__bucket", bucket)
+    share = min(1.0, SAMPLED * n / max(df.count(), 1))
+    sample = rows.where(F.pmod(F.xxhash64(row_hash), F.lit(1 << 30)) <= share * (1 << 30)).select("__key").orderBy(F.xxhash64("__key")).limit(4 * SAMPLED * n).orderBy("__key").collect()
+    picked = [sample[len(sample) * i // n]["__key"] for i in range(1, n)] if sample else []
+    cuts = [x for i, x in enumerate(picked) if i == 0 or x != picked[i - 1]]
+    kind = rows.schema["__key"].dataType
+    bucket = _place(F.col("__key"), [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, kind, strict=True)]) for c in cuts])
+    rows = rows.withColumn("__bucket", bucket)
     counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = counts.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__before"))
     rows = rows.join(F.broadcast(before), "__bucket")
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(*keys))
-    return rows.withColumn(name, F.col("__before") + inside - 1).drop("__bucket", "__before")
+    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy("__key"))
+    return rows.withColumn(name, F.col("__before") + inside - 1).drop("__bucket", "__before", "__key")
+
+
+def _place(key: Column, cuts: Sequence[Column], first: int = 0) -> Column:
+    """How many of the ascending cuts lie below the key, by halving."""
+    if not cuts:
+        return F.lit(first)
+    at = len(cuts) // 2
+    return F.when(key > cuts[at], _place(key, cuts[at + 1 :], first + at + 1)).otherwise(_place(key, cuts[:at], first))
+
+
+def _holds_map(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _holds_map(kind.elementType)
+    return isinstance(kind, (MapType, VariantType)) or isinstance(kind, StructType) and any(_holds_map(f.dataType) for f in kind)
 
 
 def zip_frames(frames: Sequence[DataFrame], orders: Sequence[str], strict: bool = True) -> DataFrame:
@@ -75,10 +93,10 @@ def select_rows(df: DataFrame, order: str, indices: Sequence[int]) -> DataFrame:
     return with_position(df, order).join(F.broadcast(wanted), "pos").drop("pos")
 
 
-def prefix_fraction(df: DataFrame, order: str, fraction: float) -> DataFrame:
-    """The first share of rows (one at least)."""
+def prefix_fraction(df: DataFrame, order: str | Column | Sequence[str | Column], fraction: float) -> DataFrame:
+    """The first share of rows (one at least), cut by position, so that no task takes them all."""
     n = max(int(df.count() * fraction), 1)
-    return df.orderBy(order).limit(n)
+    return with_position(df, order, "__pos").where(F.col("__pos") < n).drop("__pos")
 
 
 def batches(df: DataFrame, order: str, size: int) -> DataFrame:

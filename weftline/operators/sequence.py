@@ -95,9 +95,18 @@ def interpolate(df: DataFrame, key: str, ts: str, value: str, step: int, max_gap
 
 
 def clip(df: DataFrame, ts: str, spans: DataFrame) -> DataFrame:
-    """Rows whose time lies in [start, end) of a span; ``spans``: span, start, end (start < end)."""
+    """Rows whose time lies in [start, end) of a span; ``spans``: span, start, end (start < end).
+
+    Time is cut into buckets of the spans' mean length; a span is sent to the buckets that it touches
+    (about three per span over all), and rows meet only the spans of their own bucket.
+    """
     good = spans.where(F.when(F.col("end") > F.col("start"), True).otherwise(F.raise_error(F.lit("a span must end after its start")).cast("boolean")))
-    return df.join(F.broadcast(good), (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end")))
+    mean = good.agg(F.avg(F.col("end") - F.col("start"))).first()[0]
+    width = F.lit(float(mean or 1.0))
+    of = lambda c: F.floor(c / width)
+    good = good.withColumn("__bucket", F.explode(F.sequence(of(F.col("start")), of(F.col("end")))))
+    rows = df.withColumn("__at", of(F.col(ts)))
+    return rows.join(good, (F.col("__at") == F.col("__bucket")) & (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end"))).drop("__at", "__bucket")
 
 
 def profile(df: DataFrame, value: str, group: Sequence[str] = (), low: float | None = None, high: float | None = None) -> DataFrame:
@@ -134,51 +143,70 @@ class SpeechSegmenter:
     """Hysteresis over frame probabilities, fed one frame at a time.
 
     Speech starts at ``p >= threshold``. The first frame below ``low`` marks a possible end, which a
-    frame at the threshold cancels and ``min_silence`` confirms; values between leave it. Segments
-    longer than ``min_speech`` are emitted.
+    frame at the threshold cancels and a later frame below ``low``, ``min_silence`` after the mark,
+    confirms; values between leave it. Segments longer than ``min_speech`` are emitted with the mean of
+    their probabilities, widened by ``pad`` on both sides as far as neither 0 nor the end of the segment
+    before is passed.
     """
 
-    def __init__(self, threshold: float = 0.5, low: float | None = None, min_silence: float = 0.1, min_speech: float = 0.25):
+    def __init__(self, threshold: float = 0.5, low: float | None = None, min_silence: float = 0.1, min_speech: float = 0.25, pad: float = 0.0):
         self.threshold, self.low = threshold, threshold - 0.15 if low is None else low
-        self.min_silence, self.min_speech = min_silence, min_speech
+        self.min_silence, self.min_speech, self.pad = min_silence, min_speech, pad
         self.start: float | None = None
         self.maybe_end: float | None = None
-        self.last = 0.0
+        self.last = self.total = self.n = self.before = 0.0
 
-    def feed(self, ts: float, p: float) -> Iterator[tuple[float, float]]:
+    def feed(self, ts: float, p: float) -> Iterator[tuple[float, float, float]]:
         """Takes a frame; gives a finished segment, if there is one."""
         self.last = ts
         if p >= self.threshold:
             self.maybe_end = None
             if self.start is None:
-                self.start = ts
-        elif self.start is not None:
-            if p < self.low and self.maybe_end is None:
+                self.start, self.total, self.n = ts, 0.0, 0.0
+        if self.start is None:
+            return
+        self.total, self.n = self.total + p, self.n + 1
+        if p < self.low:
+            if self.maybe_end is None:
                 self.maybe_end = ts
-            if self.maybe_end is not None and ts - self.maybe_end >= self.min_silence:
-                found, self.start, self.maybe_end = (self.start, self.maybe_end), None, None
-                if found[1] - found[0] > self.min_speech:
-                    yield found
+            elif ts - self.maybe_end >= self.min_silence:
+                yield from self._end(self.maybe_end)
 
-    def flush(self) -> Iterator[tuple[float, float]]:
+    def flush(self) -> Iterator[tuple[float, float, float]]:
         """The segment that is open at the end."""
-        if self.start is not None and self.last - self.start > self.min_speech:
-            yield self.start, self.last
-        self.start = self.maybe_end = None
+        if self.start is not None:
+            yield from self._end(self.last)
+
+    def _end(self, end: float) -> Iterator[tuple[float, float, float]]:
+        start, self.start, self.maybe_end = self.start, None, None
+        if end - start > self.min_speech:
+            floor = min(start, max(self.before, 0.0))
+            found = max(start - self.pad, floor), end + self.pad, self.total / max(self.n, 1.0)
+            self.before = found[1]
+            yield found
+
+    def snapshot(self) -> tuple:
+        """What a later segmenter needs to go on."""
+        return self.start, self.maybe_end, self.last, self.total, self.n, self.before
+
+    def restore(self, held: Sequence) -> None:
+        """Goes on from a :meth:`snapshot`, in which numbers that are none may have become NaN."""
+        self.start, self.maybe_end, self.last, self.total, self.n, self.before = (None if x is None or x != x else x for x in held)
 
 
 def speech_segments(df: DataFrame, key: str, ts: str, probability: str, **limits: float) -> DataFrame:
-    """key, start, end of speech per key, by :class:`SpeechSegmenter` over its frames in order."""
+    """key, start, end, mean_probability of speech per key, by :class:`SpeechSegmenter` over its frames
+    in order."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         machine, out = SpeechSegmenter(**limits), []
         for t, p in pdf.sort_values([ts, probability])[[ts, probability]].itertuples(index=False):
             out += machine.feed(float(t), float(p))
         out += machine.flush()
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(out), "start": [a for a, _ in out], "end": [b for _, b in out]})
+        return pd.DataFrame([(pdf[key].iloc[0], *x) for x in out], columns=[key, "start", "end", "mean_probability"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, ts, probability).groupBy(key).applyInPandas(run, f"{key} {kind}, start double, end double")
+    return df.select(key, ts, probability).groupBy(key).applyInPandas(run, f"{key} {kind}, start double, end double, mean_probability double")
 
 
 def assign_tracks(df: DataFrame, video: str, ts: str, embedding: str, box: str, threshold: float = 0.5, max_distance: float = 2.0, fresh: float = 2.0) -> DataFrame:

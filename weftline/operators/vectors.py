@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
@@ -18,16 +19,18 @@ QUERY_BYTES = 64_000_000
 def scored_pairs(queries: DataFrame, candidates: DataFrame, metric: str, query_id: str = "query_id", query: str = "query", vector: str = "vector") -> DataFrame:
     """Every stated query with every candidate and their score.
 
-    The queries are the small, stated side: they are gathered into one broadcast row of at most
-    ``QUERY_BYTES`` (checked), so candidates are scored where they are, without a shuffle, and lengths
-    are computed once per vector.
+    The queries are the stated side: they are gathered into broadcast rows of at most ``QUERY_BYTES``, so
+    candidates are scored where they are, without a shuffle, and lengths are computed once per vector.
+    Beyond that size they are cut into blocks by the hash of their id, and the candidates are read once
+    per block.
     """
     side = queries.select(F.col(query_id).alias("query_id"), V.doubles(F.col(query)).alias("__q")).withColumn("__qn", V.norm(F.col("__q")))
     n, width = side.agg(F.count("*"), F.max(F.size("__q"))).first()
-    if n * 8 * (width or 1) > QUERY_BYTES:
-        raise ValueError(f"{n} queries are too many for one broadcast: search them in blocks")
+    size = n * 8 * (width or 1)
+    blocks = 1 if size <= QUERY_BYTES else -(-2 * size // QUERY_BYTES)
     held = candidates.withColumn("__n", V.norm(F.col(vector)))
-    pairs = held.crossJoin(F.broadcast(side))
+    parts = [side] if blocks == 1 else [side.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+    pairs = reduce(lambda a, b: a.unionByName(b), [held.crossJoin(F.broadcast(part)) for part in parts])
     return pairs.withColumn("score", V.score(metric, F.col("__q"), F.col(vector), F.col("__qn"), F.col("__n"))).drop("__q", "__qn", "__n")
 
 

@@ -23,10 +23,11 @@ def log(t):
 
 
 def keys(t):
-    return t.spark.range(0, 400).select(F.col("id").alias("key"))
+    """Every key of the log, and three that it lacks."""
+    return t("events").select(F.col("user_id").alias("key")).distinct().unionByName(t.spark.range(-3, 0).select(F.col("id").cast("long").alias("key")))
 
 
-KEYS = "(SELECT unnest(range(400)) AS key)"
+KEYS = "(SELECT user_id AS key FROM events UNION SELECT unnest([-3, -2, -1]))"
 
 
 @query(f"SELECT k.key, l.value FROM {KEYS} k LEFT JOIN {LIVE} l ON k.key = l.key")
@@ -45,9 +46,9 @@ def kv_set_latest(t):
     return kv.get(keys(t), kv.put(log(t), new, NOW, F.lit(60.0)), NOW)
 
 
-@query(f"SELECT k.key, l.key IS NOT NULL AS deleted FROM (SELECT unnest(range(0, 400, 3)) AS key) k LEFT JOIN {LIVE} l ON k.key = l.key")
+@query(f"SELECT k.key, l.key IS NOT NULL AS deleted FROM {KEYS} k LEFT JOIN {LIVE} l ON k.key = l.key")
 def kv_delete(t):
-    return kv.delete(log(t), t.spark.range(0, 400, 3).select(F.col("id").alias("key")), NOW)[1]
+    return kv.delete(log(t), keys(t), NOW)[1]
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'plain ' || event_id AS raw FROM events")
@@ -75,9 +76,9 @@ def memory_window_messages(t):
     return memory.window(rows, max_messages=3)
 
 
-@query("SELECT session_id, turn, role FROM (SELECT conv_id AS session_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE conv_id % 5 = 0) WHERE r <= 4")
+@query("SELECT session_id, turn, role FROM (SELECT conv_id AS session_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4")
 def memory_load(t):
-    wanted = t("conversations").where("conv_id % 5 = 0").select(F.col("conv_id").alias("session_id"))
+    wanted = t("conversations").select(F.col("conv_id").alias("session_id")).distinct()
     return memory.load(messages(t), wanted, max_turns=4).select("session_id", "turn", "role")
 
 
@@ -88,8 +89,8 @@ def memory_append(t):
     return memory.append(m, new).groupBy("session_id").agg(F.count("*").alias("n"), F.max("turn").alias("last"))
 
 
-@query("SELECT conv_id AS session_id, turn, role FROM conversations WHERE conv_id % 2 = 1")
+@query("SELECT conv_id AS session_id, turn, role FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn >= 4)")
 def memory_forget_restore(t):
     saved = memory.snapshot(messages(t), 1).unionByName(memory.snapshot(messages(t).where("turn = 0"), 2).where("false"))
-    gone = t("conversations").where("conv_id % 2 = 0").select(F.col("conv_id").alias("session_id"))
+    gone = t("conversations").where("turn >= 4").select(F.col("conv_id").alias("session_id"))
     return memory.forget(memory.restore(saved), gone).select("session_id", "turn", "role")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import models
 from ..functions import text as T
 from ..operators import align
+from ..sources import files
 from ..streaming import steps
 from ._registry import query
 
@@ -64,8 +64,8 @@ def transcript_align(t):
     return align.align_transcripts(t("documents").select("doc_id", heard.alias("segments"), F.col("text").alias("reference")), "doc_id")
 
 
-def _folder():
-    return f"{tempfile.gettempdir()}/weftline-stream-{uuid.uuid4().hex}"
+def _folder(t):
+    return files.scratch(t.spark, "stream")
 
 
 def _stream(t, table, **options):
@@ -75,19 +75,23 @@ def _stream(t, table, **options):
 @query("SELECT event_id, event_type AS kind FROM events WHERE value > 90")
 def stream_filter_map(t):
     stream = steps.map_stream(steps.filter_stream(_stream(t, "events"), {"input": "${value}", "operator": "gt", "value": 90}), {"event_id": "${event_id}", "kind": "${event_type}"})
-    return steps.run_available(stream, f"s{uuid.uuid4().hex}", _folder())
+    return steps.run_available(stream, f"s{uuid.uuid4().hex}", _folder(t))
 
 
 @query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
 def stream_join_text(t):
-    return t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "").alias("text"))
+    """The turns of conversations as fragments of a stream; the last turn of each is known beforehand."""
+    ends = t("conversations").groupBy("conv_id").agg(F.max("turn").alias("__end"))
+    stream = _stream(t, "conversations").join(ends, "conv_id").withColumn("__last", F.col("turn") == F.col("__end"))
+    out = steps.join_fragments(stream.withColumn("turn", F.col("turn").cast("long")), "conv_id", "turn", "text", "__last")
+    return steps.run_available(out, f"s{uuid.uuid4().hex}", _folder(t))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(t):
     stream = _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = steps.windowed_counts(stream, "ts", "1 day", None, "2 days", ["event_type"])
-    return steps.run_available(out, f"s{uuid.uuid4().hex}", _folder(), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return steps.run_available(out, f"s{uuid.uuid4().hex}", _folder(t), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +47,24 @@ def put(df: DataFrame, path: str, form: str = "parquet", mode: str = "overwrite"
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """The name of a new folder that all executors share, below ``spark.checkpoint.dir``; where that is
+    unset, a local one in local mode and an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/weftline/{label}-{uuid.uuid4().hex}"
+
+
+def write_once(df: DataFrame, label: str) -> DataFrame:
+    """Runs a frame now: writes it to a :func:`scratch` folder and reads it back."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     """Removes a file or folder; whether there was one."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -47,9 +47,10 @@ def sessions(stream: DataFrame, ts: str, gap: str, late: str, by: list[str]) ->
     return out.select(F.col("w.start").alias("start"), "end", *by, "n")
 
 
-def join_fragments(stream: DataFrame, key: str, seq: str, piece: str, last: str) -> DataFrame:
+def join_fragments(stream: DataFrame, key: str, seq: str, piece: str, last: str, idle: int | None = None) -> DataFrame:
     """key, text of values whose pieces arrive in any order; emitted once all up to the piece marked
-    ``last`` are there. The state of a key is its pieces so far."""
+    ``last`` are there. The state of a key is its pieces so far. With ``idle``, a key that gets no piece
+    for so many milliseconds gives what it has and is forgotten; later pieces begin it anew."""
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, end = (dict(zip(state.get[0], state.get[1], strict=True)), state.get[2]) if state.exists else ({}, -1)
@@ -57,14 +58,20 @@ def join_fragments(stream: DataFrame, key: str, seq: str, piece: str, last: str)
             held |= dict(zip(part[seq].tolist(), part[piece].fillna("").tolist(), strict=True))
             ends = part.loc[part[last].astype(bool), seq]
             end = int(ends.iloc[0]) if len(ends) else end
-        if end >= 0 and len(held) > end:
+        if state.hasTimedOut or end >= 0 and len(held) > end:
             state.remove()
             yield pd.DataFrame({key: [k[0]], "text": ["".join(held[i] for i in sorted(held))]})
         else:
             state.update((list(held), list(held.values()), end))
+            if idle:
+                state.setTimeoutDuration(idle)
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.select(key, seq, piece, last).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, text string", "seqs array<bigint>, pieces array<string>, end bigint", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(key, seq, piece, last).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, text string", "seqs array<bigint>, pieces array<string>, end bigint", "append", _timeout(idle))
+
+
+def _timeout(idle: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
 
 
 def _buffered(stream: DataFrame, key: str, seq: str, piece: str, last: str, cut: Callable[[str, bool], tuple[list[str], str]]) -> DataFrame:
@@ -100,30 +107,50 @@ def split_text(stream: DataFrame, key: str, seq: str, piece: str, last: str, siz
     return _buffered(stream, key, seq, piece, last, lambda held, done: (chunk_text(held, size, overlap), "") if done else ([], held))
 
 
-def speech_stream(stream: DataFrame, key: str, ts: str, probability: str, **limits: float) -> DataFrame:
-    """key, start, end of speech that has ended; the state of a key is three numbers."""
+def speech_stream(stream: DataFrame, key: str, ts: str, probability: str, last: str | None = None, idle: int | None = None, **limits: float) -> DataFrame:
+    """key, start, end, mean_probability of speech that has ended; the state of a key is six numbers.
+
+    A key ends with its row marked ``last`` (a column of booleans), or after ``idle`` milliseconds
+    without a row: its open segment is given then, and its state is dropped.
+    """
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         machine = SpeechSegmenter(**limits)
         if state.exists:
-            machine.start, machine.maybe_end, machine.last = (None if x is None or x != x else x for x in state.get)
-        found = []
+            machine.restore(state.get)
+        found, done = [], state.hasTimedOut
         for part in parts:
-            for t, p in part.sort_values(ts)[[ts, probability]].itertuples(index=False):
+            part = part.sort_values(ts)
+            for t, p in part[[ts, probability]].itertuples(index=False):
                 found += machine.feed(float(t), float(p))
-        state.update((machine.start, machine.maybe_end, machine.last))
+            done = done or bool(last and part[last].any())
+        if done:
+            found += machine.flush()
+            state.remove()
+        else:
+            state.update(machine.snapshot())
+            if idle:
+                state.setTimeoutDuration(idle)
         if found:
-            yield pd.DataFrame({key: [k[0]] * len(found), "start": [a for a, _ in found], "end": [b for _, b in found]})
+            yield pd.DataFrame([(k[0], *x) for x in found], columns=[key, "start", "end", "mean_probability"])
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.select(key, ts, probability).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, start double, end double", "start double, maybe double, last double", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select(key, ts, probability, *([last] if last else []))
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, start double, end double, mean_probability double", "start double, maybe double, last double, total double, n double, before double", "append", _timeout(idle))
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is available now; its result as a frame."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs a stream over all that is available now; its result as a frame, read from Parquet files in
+    ``<checkpoint>-<name>``. A batch that is run again overwrites its own files."""
+    spark, path = stream.sparkSession, f"{checkpoint}-{name}"
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/__batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/__batch={number if mode == 'append' else 0}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
 
 
 def split_to_sinks(stream: DataFrame, sinks: Mapping[str, Callable[[DataFrame], DataFrame]], folder: str, checkpoint: str):
