@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions import vectors as V
-from weftline.operators import align, frames, graph, kv, sequence, vectors
+from weftline.operators import align, frames, graph, kv, search, sequence, vectors
 from weftline.streaming import steps
 
 
@@ -108,7 +108,7 @@ def test_sentences():
 def test_html_selectors():
     page = '<div id=m class="a b"><p>One <b>two</b></p><p class=x>three<script>no</script></p><img src=i.png></div><p>four'
     pick = lambda *a: T.select_html(page, *a)
-    assert pick("p") == ["One two", "three", "four"] and pick("div p.x") == ["three"] and pick(".b") == ["One two three"] and pick("#m > p".replace("> ", "")) == ["One two", "three"]
+    assert pick("p") == ["One two", "three", "four"] and pick("div p.x") == ["three"] and pick(".b") == ["One two three"] and pick("#m > p") == ["One two", "three"]
     assert pick("img[src]", "attribute", "src") == ["i.png"] and pick("b", "html") == ["<b>two</b>"] and pick("table") == []
     assert T.page_text(page) == "One two three four" and T.page_text(None) == ""
 
@@ -203,3 +203,43 @@ def test_speech_has_padding_probabilities_and_ends(spark, tmp_path):
     out = steps.speech_stream(stream, "id", "ts", "p", last="end", threshold=0.5, low=0.35, min_silence=2, min_speech=1, pad=0.5)
     done = sorted(map(tuple, steps.run_available(out, "s_vad2", str(tmp_path / "c")).collect()))
     assert [x[:3] for x in done] == [("k", 0.5, 5.5), ("k", 7.5, 10.5)]
+
+
+def test_selectors_and_paths():
+    page = '<html><body><ul id=u><li class="a x">1<li-x>n</li-x></li><li class=b data-k="v-1">2<b>bold</b></li><li>3</li></ul><div><p lang=en-GB>one</p><span>s</span><p>two<i>it</i></p><p>three</p></div><section><div><p>deep</p></div></section></body></html>'
+    pick = lambda s, *a: T.select_html(page, s, *a)
+    for css, want in {
+        "li": ["1 n", "2 bold", "3"], "p, b": ["bold", "one", "two it", "three", "deep"], "div > p": ["one", "two it", "three", "deep"], "body > div > p": ["one", "two it", "three"], "section p": ["deep"],
+        "p + p": ["three"], "span ~ p": ["two it", "three"], "li:first-child": ["1 n"], "li:nth-child(2n+1)": ["1 n", "3"], "li:nth-child(even)": ["2 bold"], "li:last-child": ["3"], "li:not(.a)": ["2 bold", "3"],
+        "p:nth-of-type(2)": ["two it"], "p:last-of-type": ["three", "deep"], "[data-k^=v]": ["2 bold"], "[data-k$='1']": ["2 bold"], "[class~=x]": ["1 n"], "[lang|=en]": ["one"], "[data-k*=\"-\"] b": ["bold"], "#u .b": ["2 bold"],
+    }.items():
+        assert pick(css) == want, css
+    for path, want in {
+        "//p": ["one", "two it", "three", "deep"], "//div/p[2]": ["two it"], "//ul/li[@class='b']/b": ["bold"], "//li[last()]": ["3"], "//li[contains(@class, 'x')]": ["1 n"], "//p[contains(text(), 'w')]": ["two it"],
+        "/html/body/div/p[1]": ["one"], "//li/@class": ["a x", "b"], "//section//p/text()": ["deep"], "//*[@lang]": ["one"], "//b/..": ["2 bold"], "//li[@class and @data-k]": ["2 bold"], "//p[text()='three' or @lang]": ["one", "three"], "//li[@class!='b']": ["1 n"],
+    }.items():
+        assert pick(path) == want, path
+    assert T.select_html("<b>x<b>y</b></b>", "b") == ["x y", "y"] and pick("i", "html") == ["<i>it</i>"]
+    for bad in ("p >", "p:odd-one", "[", "//p[", "//p[1 +]"):
+        with pytest.raises(ValueError):
+            pick(bad)
+    assert T.select_html("<div>" * 3000 + "x", "div:only-child")[0] == "x"
+
+
+def test_separators_of_languages():
+    names = "python javascript typescript java kotlin scala go rust cpp c csharp ruby php swift html markdown latex sql solidity proto".split()
+    assert all(T.separators_of(n)[-1] == "" for n in names) and T.separators_of(None) == T.SEPARATORS
+    assert T.separators_of("python")[:3] == ("\nclass ", "\ndef ", "\n\tdef ") and T.separators_of("js") == T.separators_of("javascript")
+    assert T.separators_of("latex")[:5] == ("\n\\chapter{", "\n\\section{", "\n\\subsection{", "\n\\subsubsection{", "\n\\begin{enumerate}") and T.separators_of("sql")[3] == "\nGROUP BY "
+    assert T.separators_of("html")[:2] == ("<body", "<div") and T.separators_of("html")[-2:] == ("<title", "")
+    code = "import x\nclass A:\n    pass\ndef f():\n    return 1\ndef g():\n    return 2"
+    assert T.chunk_text(code, 30, 0, T.separators_of("python")) == ["import x", "class A:\n    pass", "def f():\n    return 1", "def g():\n    return 2"]
+    with pytest.raises(ValueError):
+        T.separators_of("cobol")
+
+
+def test_search_folds_accents(spark):
+    docs = spark.createDataFrame([(1, "Über den Élan vital"), (2, "uber elan"), (3, "e\u0301lan"), (4, None)], "id int, text string")
+    q = spark.createDataFrame([(1, "ÉLAN"), (2, "über den"), (3, "")], "query_id int, query string")
+    assert sorted((r["query_id"], r["id"]) for r in search.phrase_hits(docs, q, "text").collect()) == [(1, 1), (1, 2), (1, 3), (2, 1)]
+    assert search.phrase_hits(docs, q.where("query_id = 3"), "text").count() == 0

@@ -182,3 +182,47 @@ def test_models_keep_nulls(spark):
     assert [r["u"] for r in got] == ["A B", None, ""] and got[1]["e"] is None and len(got[0]["e"]) == 64 and got[2]["e"] == [0.0] * 64 and got[0]["c"]["label"] == "short"
     with pytest.raises(ValueError):
         models.infer("text-to-speech", "none", F.col("t"))
+
+
+def test_failures_of_tasks_are_retried_and_routed(spark):
+    """Errors that show only when rows are computed."""
+    P.OPERATIONS["break"] = lambda df: df.withColumn("x", F.raise_error(F.lit("broken row")).cast("int"))
+    jobs = [{"id": "f", "input": "in", "do": "break", "on_error": {"to": "g"}}, {"id": "g", "input": "in", "do": "limit", "n": 2}, {"id": "h", "input": "f", "do": "distinct"}]
+    out = P.compile_pipeline(spark, {"jobs": jobs}, None, numbers(spark))
+    assert out["g"].count() == 2 and "f" not in out and "h" not in out
+    with pytest.raises(Exception, match="broken row"):
+        P.compile_pipeline(spark, {"jobs": [{"id": "f", "input": "in", "do": "break", "retry": {"max_attempt_count": 2}}]}, None, numbers(spark))
+    ignored = P.compile_pipeline(spark, {"jobs": [{"id": "f", "input": "in", "do": "break", "on_error": "ignore"}]}, None, numbers(spark))
+    assert "f" not in ignored
+
+
+def test_workflows_within_workflows(spark):
+    inner = {"jobs": [{"id": "few", "input": "input", "do": "limit", "n": 4}, {"id": "n", "input": "few", "do": "aggregate", "n": "count(*)"}], "output": {"twice": "${n}"}}
+    P.register_workflow("inner", inner)
+    jobs = [{"id": "w", "input": "in", "do": "workflow", "workflow": "inner"}, {"id": "all", "input": "in", "do": "aggregate", "n": "count(*)"}]
+    merged = P.result(spark, {"jobs": jobs}, None, numbers(spark))
+    assert merged.first().asDict() == {"twice": 4, "n": 10}
+    assert P.result(spark, {"jobs": jobs, "output": "w"}, None, numbers(spark)).columns == ["twice"]
+    assert P.result(spark, {"jobs": jobs, "output": {"a": "${n}"}, "output_of": ["w", "all"]}, None, numbers(spark)).first()["a"] == 10
+    with pytest.raises(P.SpecError, match="one row"):
+        P.result(spark, {"jobs": [*jobs, {"id": "many", "input": "in", "do": "distinct"}]}, None, numbers(spark))
+    with pytest.raises(P.SpecError, match="registered"):
+        P.result(spark, {"jobs": [{"id": "w", "input": "in", "do": "workflow", "workflow": "none"}]}, None, numbers(spark))
+    P.WORKFLOWS["loop"] = {"jobs": [{"id": "w", "input": "input", "do": "workflow", "workflow": "loop"}]}
+    with pytest.raises(P.SpecError, match="deep"):
+        P.result(spark, {"jobs": [{"id": "w", "input": "in", "do": "workflow", "workflow": "loop"}]}, None, numbers(spark))
+
+
+def test_reruns_take_what_depends_along(spark):
+    seen = []
+    P.OPERATIONS["note"] = lambda df, name: seen.append(name) or df
+    jobs = [{"id": "a", "input": "in", "do": "note", "name": "a"}, {"id": "b", "input": "a", "do": "note", "name": "b"}, {"id": "r", "input": "b", "do": "random-router", "routes": [{"to": "a", "weight": 1}, {"to": "end", "weight": 1}]}, {"id": "end", "input": "b", "do": "note", "name": "end"}]
+    for seed in range(6):
+        seen.clear()
+        P.compile_pipeline(spark, {"jobs": jobs, "seed": seed}, None, numbers(spark))
+        again = seen.count("a") - 1
+        assert seen[-1] == "end" and [x for x in seen if x != "end"] == ["a", "b"] * (again + 1)
+    with pytest.raises(P.SpecError, match="more than"):
+        P.compile_pipeline(spark, {"jobs": [j if j["id"] != "r" else j | {"routes": [{"to": "a", "weight": 1}]} for j in jobs[:3]]}, None, numbers(spark))
+    with pytest.raises(P.SpecError, match="never start"):
+        P.compile_pipeline(spark, {"jobs": [{"id": "x", "do": "if", "otherwise": "y"}, {"id": "y", "input": "in", "do": "distinct"}, {"id": "z", "input": "x", "do": "distinct"}]}, None, numbers(spark))

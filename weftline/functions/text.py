@@ -4,24 +4,62 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import markup
+
 #: Separators in the order in which they are tried, and characters that end a sentence.
 SEPARATORS = ("\n\n", "\n", " ", "")
 ENDS = ".!?。！？…\n"
 
-#: First separators of some languages, tried before SEPARATORS.
-LANGUAGES = {
-    "markdown": ("\n## ", "\n### ", "\n#### ", "```\n", "\n---\n"),
-    "python": ("\nclass ", "\ndef ", "\n\tdef "),
-    "js": ("\nfunction ", "\nconst ", "\nlet ", "\nclass ", "\nif ", "\nfor "),
-    "html": ("<body", "<div", "<p", "<br", "<li", "<h1", "<h2", "<table", "<tr"),
-    "sql": ("\nSELECT ", "\nINSERT ", "\nUPDATE ", "\nDELETE ", "\nCREATE "),
+#: Words that begin a line at which code is cut, by language, in the order in which they
+#: are tried. Each stands between a line end and a space; SEPARATORS follow.
+LINE_WORDS = {
+    "python": "class def \tdef",
+    "javascript": "function const let var class if for while switch case default",
+    "typescript": "function const let var class interface type enum namespace if for while switch case default",
+    "java": "class public protected private static if for while switch case",
+    "kotlin": "class object interface fun val var if for while when",
+    "scala": "class object trait def val var if for while match",
+    "go": "func var const type if for switch case",
+    "rust": "fn const let static struct enum trait impl if for while loop match",
+    "cpp": "class void int float double if for while switch case",
+    "c": "void int float double char struct if for while switch",
+    "csharp": "class public private protected internal static namespace if for foreach while switch",
+    "ruby": "def class module if unless while for do begin",
+    "php": "function class if foreach while for switch case",
+    "swift": "func class struct enum protocol extension if for while switch case",
+    "solidity": "pragma using contract interface library constructor type function event modifier error struct enum mapping if for while do assembly",
+    "proto": "message service enum options import syntax",
 }
+#: Clauses of SQL, elements of HTML (nothing but single characters follows them), and the
+#: marks of texts.
+SQL_CLAUSES = ("SELECT", "FROM", "WHERE", "GROUP BY", "ORDER BY", "HAVING", "JOIN", "LEFT JOIN", "RIGHT JOIN", "INNER JOIN", "OUTER JOIN", "UNION", "INSERT", "UPDATE", "DELETE", "CREATE", "DROP", "ALTER")
+HTML_ELEMENTS = "body div p br li h1 h2 h3 h4 h5 h6 span table tr td th ul ol header footer nav head style script meta title"
+MARKDOWN = ("\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "```\n", "\n\n---\n", "\n\n***\n", "\n\n___\n")
+LATEX_PARTS = ("chapter", "section", "subsection", "subsubsection")
+LATEX_BLOCKS = ("enumerate", "itemize", "description", "list", "quote", "quotation", "verse", "verbatim", "align")
+
+
+def separators_of(language: str | None) -> tuple[str, ...]:
+    """The separators of a language; the plain ones for none."""
+    if language is None:
+        return SEPARATORS
+    name = {"js": "javascript", "ts": "typescript", "c++": "cpp", "c#": "csharp"}.get(language.lower(), language.lower())
+    if name == "html":
+        return (*(f"<{x}" for x in HTML_ELEMENTS.split()), "")
+    if name == "sql":
+        return (*(f"\n{x} " for x in SQL_CLAUSES), *SEPARATORS)
+    if name == "markdown":
+        return (*MARKDOWN, *SEPARATORS)
+    if name == "latex":
+        return (*(f"\n\\{x}{{" for x in LATEX_PARTS), *(f"\n\\begin{{{x}}}" for x in LATEX_BLOCKS), "$$", "$", *SEPARATORS)
+    if name not in LINE_WORDS:
+        raise ValueError(f"no separators are known for {language!r}")
+    return (*(f"\n{x} " for x in LINE_WORDS[name].split(" ")), *SEPARATORS)
 
 
 def chunk_text(text: str, size: int = 1000, overlap: int = 200, separators: Sequence[str] = SEPARATORS) -> list[str]:
@@ -101,7 +139,7 @@ def sentences(text: str, min_length: int = 0, max_length: int | None = None) ->
 
 def chunks(text: Column, size: int = 1000, overlap: int = 200, separators: Sequence[str] = SEPARATORS, language: str | None = None) -> Column:
     """array<string> of :func:`chunk_text`; null for null."""
-    separators = (*LANGUAGES[language], *SEPARATORS) if language else tuple(separators)
+    separators = separators_of(language) if language else tuple(separators)
     if overlap > size:
         raise ValueError("the overlap is larger than a chunk")
 
@@ -142,102 +180,26 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-class _Selector(HTMLParser):
-    """Collects elements that a simple selector names: tag, #id, .class, [attribute], tag.class,
-    and descendants (``div p``). Text of script and style is no text."""
-
-    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-    def __init__(self, selector: str):
-        super().__init__(convert_charrefs=True)
-        self.parts = [re.match(r"([\w-]*)((?:[.#][\w-]+)*)((?:\[[\w-]+(?:=[^\]]*)?\])*)$", p) for p in selector.split()]
-        if not self.parts or any(p is None for p in self.parts):
-            raise ValueError(f"can't read selector {selector!r}")
-        self.stack: list[tuple[str, dict]] = []
-        self.open: list[tuple[int, list[str], list[str], dict]] = []
-        self.found: list[tuple[str, str, dict]] = []
-        self.silent = 0
-
-    def _is(self, part: re.Match, tag: str, attrs: dict) -> bool:
-        if part[1] and part[1] != tag:
-            return False
-        for mark in re.findall(r"[.#][\w-]+", part[2]):
-            have = (attrs.get("class") or "").split() if mark[0] == "." else [attrs.get("id")]
-            if mark[1:] not in have:
-                return False
-        for name, value in re.findall(r"\[([\w-]+)(?:=[\"']?([^\]\"']*)[\"']?)?\]", part[3]):
-            if name not in attrs or (value and attrs[name] != value):
-                return False
-        return True
-
-    def _matches(self, tag: str, attrs: dict) -> bool:
-        if not self._is(self.parts[-1], tag, attrs):
-            return False
-        rest = list(self.parts[:-1])
-        for t, a in reversed(self.stack):
-            if rest and self._is(rest[-1], t, a):
-                rest.pop()
-        return not rest
-
-    def handle_starttag(self, tag, attrs):
-        attrs = {k: v or "" for k, v in attrs}
-        raw = self.get_starttag_text() or ""
-        for _, _, markup, _ in self.open:
-            markup.append(raw)
-        if self._matches(tag, attrs):
-            if tag in self.VOID:
-                self.found.append(("", raw, attrs))
-            else:
-                self.open.append((len(self.stack), [], [raw], attrs))
-        if tag not in self.VOID:
-            self.stack.append((tag, attrs))
-            self.silent += tag in ("script", "style")
-
-    def handle_endtag(self, tag):
-        if not any(t == tag for t, _ in self.stack):
-            return
-        while self.stack:
-            t, _ = self.stack.pop()
-            self.silent -= t in ("script", "style")
-            for _, _, markup, _ in self.open:
-                markup.append(f"</{t}>")
-            while self.open and self.open[-1][0] >= len(self.stack):
-                _, text, markup, attrs = self.open.pop()
-                self.found.append((" ".join(" ".join(text).split()), "".join(markup), attrs))
-            if t == tag:
-                return
-
-    def handle_data(self, data):
-        for _, text, markup, _ in self.open:
-            if not self.silent:
-                text.append(data)
-            markup.append(data)
-
-    def close(self):
-        super().close()
-        while self.open:
-            _, text, markup, attrs = self.open.pop()
-            self.found.append((" ".join(" ".join(text).split()), "".join(markup), attrs))
-
-
 def select_html(source: str | None, selector: str, mode: str = "text", attribute: str | None = None) -> list[str]:
-    """Text, markup or an attribute of the elements that a selector names; malformed pages give what
-    can be read."""
-    reader = _Selector(selector)
-    reader.feed(source or "")
-    reader.close()
+    """Text, markup or an attribute of the elements that a CSS selector or an XPath (one that begins
+    with / or ./) names, in the order of the page; malformed pages give what can be read. An XPath that
+    ends in ``/@name`` or ``/text()`` gives that attribute or the elements' own text."""
+    page = markup.read(source or "")
+    if selector.startswith(("/", "./", "(")):
+        found, last = markup.by_xpath(page, selector)
+        if last == "text()":
+            return [t for x in found if (t := x.own_text())]
+        mode, attribute = ("attribute", last[1:]) if last else (mode, attribute)
+    else:
+        found = markup.by_selector(page, selector)
     if mode == "attribute":
-        return [a[attribute] for _, _, a in reader.found if attribute in a]
-    return [m if mode == "html" else t for t, m, _ in reader.found]
+        return [x.attributes[attribute] for x in found if attribute in x.attributes]
+    return [x.markup() if mode == "html" else x.text() for x in found]
 
 
 def page_text(source: str | None) -> str:
     """All text of a page but that of script and style, pieces joined by a space."""
-    reader = _Selector("html")
-    reader.stack, reader.open = [], [(-1, [], [], {})]
-    reader.feed(source or "")
-    reader.close()
-    return reader.found[-1][0]
+    return markup.read(source or "").text()
 
 
 def html_select(source: Column, selector: str, mode: str = "text", attribute: str | None = None) -> Column:
@@ -260,15 +222,3 @@ def html_page_text(source: Column) -> Column:
             yield part.map(page_text)
 
     return run(source)
-
-
-def strip_marks(text: Column) -> Column:
-    """Compatibility form without combining marks, case-folded (for search and alignment)."""
-    import unicodedata
-
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).casefold())
-
-    return run(text)

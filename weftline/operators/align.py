@@ -120,4 +120,7 @@ def align_transcripts(df: DataFrame, key: str, **limits: float) -> DataFrame:
         return pd.DataFrame(rows, columns=[key, "start", "end", "text", "estimated"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, "segments", "reference").mapInPandas(lambda it: (run(p) for p in it), f"{key} {kind}, start double, end double, text string, estimated boolean")
+    rows, most = df.select(key, "segments", "reference"), df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < most:  # few files: the work is in the rows, not in their bytes
+        rows = rows.repartition(4 * most)
+    return rows.mapInPandas(lambda it: (run(p) for p in it), f"{key} {kind}, start double, end double, text string, estimated boolean")

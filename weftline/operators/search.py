@@ -11,9 +11,21 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 
 
-def terms(text: Column) -> Column:
-    """Lower-case runs of letters, marks and digits; none for null."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+#: Accented Latin letters, by the plain letter that a search takes them for.
+ACCENTED = {
+    "a": "àáâãäåāăąǎ", "c": "çćĉċč", "d": "ď", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥ", "i": "ìíîïĩīĭįǐ", "j": "ĵ", "k": "ķ", "l": "ĺļľ",
+    "n": "ñńņň", "o": "òóôõöōŏőǒ", "r": "ŕŗř", "s": "śŝşšș", "t": "ţťț", "u": "ùúûüũūŭůűųǔ", "w": "ŵ", "y": "ýÿŷ", "z": "źżž",
+}
+
+
+def terms(text: Column, fold: bool = True) -> Column:
+    """Lower-case runs of letters, marks and digits; none for null. With ``fold``, accents are stripped:
+    those of Latin letters and all combining marks."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    if fold:
+        low = F.translate(low, "".join(ACCENTED.values()), "".join(k * len(v) for k, v in ACCENTED.items()))
+        low = F.regexp_replace(low, r"\p{Mn}+", "")
+    return F.regexp_extract_all(low, F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
 
 
 def upsert(documents: DataFrame, new: DataFrame, id_column: str = "id", order: str = "seq") -> DataFrame:
@@ -44,14 +56,11 @@ def phrase_hits(documents: DataFrame, queries: DataFrame, field: str, id_column:
     side = queries.select("query_id", terms(F.col("query")).alias("__terms")).where(F.size("__terms") > 0)
     side = side.select("query_id", F.size("__terms").alias("__width"), F.xxhash64(F.transform("__terms", lambda x: F.xxhash64(x))).alias("__hash"))
     body = documents.select(id_column, F.transform(terms(F.col(field)), lambda x: F.xxhash64(x)).alias("__h"))
-    out = None
-    for (width,) in sorted(map(tuple, side.select("__width").distinct().collect())):
-        starts = F.slice("__h", F.lit(1), F.greatest(F.size("__h") - (width - 1), F.lit(0)))
-        rows = body.select(id_column, F.size("__h").alias("length"), F.explode(_windows(starts, width)).alias("__hash"))
-        rows = rows.join(side.where(F.col("__width") == width).select("query_id", "__hash"), "__hash")
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        out = body.select(id_column, F.size("__h").alias("length")).crossJoin(queries.select("query_id")).where("false")
+    widths = sorted(w for (w,) in map(tuple, side.select("__width").distinct().collect()))
+    of = lambda w: F.transform(_windows(F.slice("__h", F.lit(1), F.greatest(F.size("__h") - (w - 1), F.lit(0))), w), lambda h: F.struct(F.lit(w).alias("__width"), h.alias("__hash")))
+    hashes = F.concat(*map(of, widths)) if widths else F.array().cast("array<struct<__width:int,__hash:bigint>>")
+    rows = body.select(id_column, F.size("__h").alias("length"), F.explode(hashes).alias("__x")).select(id_column, "length", "__x.*")
+    out = rows.join(side.select("query_id", "__width", "__hash"), ["__width", "__hash"])
     return out.groupBy("query_id", id_column, "length").agg(F.count("*").alias("tf")).select("query_id", id_column, "tf", "length")
 
 

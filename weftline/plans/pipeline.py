@@ -10,6 +10,7 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Mapping, Sequence
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -25,8 +26,10 @@ from .templates import compile_template, filter_rows, project
 
 Operation = Callable[..., DataFrame]
 OPERATIONS: dict[str, Operation] = {}
-#: Runs of one job in a pipeline at most.
-MOST_RUNS = 25
+#: Runs of one job in a pipeline at most, and pipelines within pipelines.
+MOST_RUNS, MOST_DEPTH = 25, 25
+#: Specs that jobs call by name.
+WORKFLOWS: dict[str, Mapping[str, Any]] = {}
 
 
 def operation(name: str) -> Callable[[Operation], Operation]:
@@ -87,6 +90,32 @@ def for_each(df: DataFrame, do: str | Operation, template: Mapping[str, Any] | N
     return project(out, template) if template else out
 
 
+def register_workflow(name: str, spec: Mapping[str, Any]) -> None:
+    """Makes a spec callable as the operation ``workflow`` under a name; it is read at once, so that its
+    errors show here."""
+    read_jobs(spec, ["input"])
+    WORKFLOWS[name] = spec
+
+
+_depth = ContextVar("depth", default=0)
+
+
+@operation("workflow")
+def workflow(df: DataFrame, workflow: str | Mapping[str, Any], params: Mapping[str, Any] | None = None, other: DataFrame | None = None) -> DataFrame:
+    """The :func:`result` of another pipeline, whose source ``input`` is ``df`` (and ``other`` the second
+    frame). It becomes part of the same lazy plan. A pipeline that calls itself without end is an error."""
+    if isinstance(workflow, str) and workflow not in WORKFLOWS:
+        raise SpecError(f"no workflow {workflow!r} is registered")
+    depth = _depth.set(_depth.get() + 1)
+    try:
+        if _depth.get() > MOST_DEPTH:
+            raise SpecError(f"workflows call each other more than {MOST_DEPTH} deep")
+        spec = WORKFLOWS[workflow] if isinstance(workflow, str) else workflow
+        return result(df.sparkSession, spec, params, {"input": df} | ({"other": other} if other is not None else {}))
+    finally:
+        _depth.reset(depth)
+
+
 @dataclass
 class Job:
     """A step of a pipeline."""
@@ -206,7 +235,12 @@ def pick_route(job: Job, params: Mapping[str, Any], spark: SparkSession, rng: ra
 
 
 def compile_pipeline(spark: SparkSession, spec: Mapping[str, Any], params: Mapping[str, Any] | None = None, frames_in: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """The frame of every job that runs; jobs that routes name run only if they are chosen."""
+    """The frame of every job that runs; jobs that routes name run only if they are chosen, and jobs that
+    read a failed one do not run.
+
+    A route to a job that has run reruns it and all that depends on it, routers included, up to
+    ``MOST_RUNS`` times.
+    """
     params, rng = dict(params or {}), random.Random(spec.get("seed", 0))
     jobs = read_jobs(spec, list(frames_in or ()))
     by = {j.id: j for j in jobs}
@@ -214,56 +248,106 @@ def compile_pipeline(spark: SparkSession, spec: Mapping[str, Any], params: Mappi
     for name, source in spec.get("sources", {}).items():
         if name not in out:
             out[name] = files.read(spark, source)
-    routed = {r[k] for j in jobs for r in j.routes for k in ("if_true", "if_false", "to") if r.get(k)} | {j.arguments["otherwise"] for j in jobs if j.do in ROUTERS and j.arguments.get("otherwise")}
+    targets = [(j, r[k]) for j in jobs for r in j.routes for k in ("if_true", "if_false", "to") if r.get(k)] + [(j, j.arguments["otherwise"]) for j in jobs if j.do in ROUTERS and j.arguments.get("otherwise")]
+    routed = {name for j, name in targets if j.id not in dependents(jobs, name)}  # a way back is no condition
     routed |= {j.on_error["to"] for j in jobs if isinstance(j.on_error, Mapping) and j.on_error.get("to")}
     chosen: set[str] = set()
     done: set[str] = set()
+    failed: set[str] = set()
     runs: dict[str, int] = {}
     waiting = [j for j in in_order(jobs)]
     while waiting:
-        ready = next((j for j in waiting if (j.id not in routed or j.id in chosen) and all(any(y in out or y in done for y in (x if isinstance(x, list) else [x])) for x in needs(j))), None)
+        may = lambda j, y: y in out or y in done and y not in (j.input, j.with_) and (y not in failed or by[y].on_error == "ignore")
+        ready = next((j for j in waiting if (j.id not in routed or j.id in chosen) and all(any(may(j, y) for y in (x if isinstance(x, list) else [x])) for x in needs(j))), None)
         if ready is None:
             break
         waiting.remove(ready)
         runs[ready.id] = runs.get(ready.id, 0) + 1
         if runs[ready.id] > MOST_RUNS:
             raise SpecError(f"job {ready.id} ran more than {MOST_RUNS} times")
+        done.add(ready.id)
         if ready.do in ROUTERS:
+            if ready.input:
+                out[ready.id] = out[ready.input]
             target = pick_route(ready, params, spark, rng)
             if target:
-                if target in done:
-                    done.discard(target)
-                    waiting.append(by[target])
                 chosen.add(target)
-            if ready.input:
-                out[ready.id] = out[ready.input]
-        else:
-            _run(ready, out, params, chosen)
-        done.add(ready.id)
-    left = [j.id for j in waiting if j.id not in routed]
-    if left and not chosen:
+                if target in done:
+                    again = {target} | dependents(jobs, target)
+                    done -= again
+                    for name in again:
+                        out.pop(name, None)
+                    waiting += [by[j.id] for j in in_order(jobs) if j.id in again and by[j.id] not in waiting]
+        elif not _run(ready, out, params, chosen):
+            failed.add(ready.id)
+    # what waits for a job that no route chose, or that failed and may, never starts; all else must
+    never = {j.id for j in waiting if j.id in routed and j.id not in chosen} | failed
+    while more := {j.id for j in waiting if j.id not in never and any(all(y in never for y in (x if isinstance(x, list) else [x])) for x in needs(j))}:
+        never |= more
+    if left := [j.id for j in waiting if j.id not in never]:
         raise SpecError(f"jobs that can never start: {left}")
     return out
 
 
-def _run(job: Job, out: dict[str, DataFrame], params: Mapping[str, Any], chosen: set[str]) -> None:
+def dependents(jobs: Sequence[Job], name: str) -> set[str]:
+    """All jobs that need a job, directly or through others."""
+    found: set[str] = set()
+    while more := {j.id for j in jobs if j.id not in found and ({name} | found) & set(needs(j, flat=True))}:
+        found |= more
+    return found
+
+
+def _run(job: Job, out: dict[str, DataFrame], params: Mapping[str, Any], chosen: set[str]) -> bool:
+    """Runs a job; whether it gave a frame. A job with ``retry`` or ``on_error`` is computed and written
+    within the attempt, so that failures of its tasks count as well as those of its plan."""
+
     def once() -> DataFrame:
         df = out[job.input] if job.input else None
         df = job.before(df) if job.before else df
         if job.do == "delay":
+            time.sleep(float(job.arguments.get("seconds", 0)))
             return df
         more = {"other": out[job.with_]} if job.with_ else {}
         found = OPERATIONS[job.do](df, **more, **job.arguments)
         found = project(found, job.output, Scope.of(found, params)) if job.output else found
-        return job.after(found) if job.after else found
+        found = job.after(found) if job.after else found
+        return files.write_once(found, "job") if job.retry or job.on_error is not None else found
 
     try:
         out[job.id] = attempt(once, job.retry)
+        return True
     except Exception:
         if job.on_error is None:
             raise
         if isinstance(job.on_error, Mapping) and job.on_error.get("to"):
             chosen.add(job.on_error["to"])
+        return False
+
+
+def result(spark: SparkSession, spec: Mapping[str, Any], params: Mapping[str, Any] | None = None, frames_in: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """What a pipeline gives as a whole.
+
+    ``output`` of the spec names a job, or is a template over the merged results of the jobs in
+    ``output_of`` (else the last ones). Last jobs are those that ran and that no other job needs. One
+    alone gives its frame; several must give one row each, which are merged in the order of the spec,
+    where a later column replaces an earlier one of its name.
+    """
+    out = compile_pipeline(spark, spec, params, frames_in)
+    wanted = spec.get("output")
+    if isinstance(wanted, str):
+        return out[wanted]
+    jobs = read_jobs(spec, list(frames_in or ()))
+    needed = {x for j in jobs for x in needs(j, flat=True)}
+    names = spec.get("output_of") or [j.id for j in jobs if j.id in out and j.id not in needed and j.do not in ROUTERS]
+    if not names:
+        raise SpecError("no job gives a result")
+    merged = out[names[0]]
+    for k, name in enumerate(names[1:]):
+        for one, frame in ((name, out[name]), *([(names[0], merged)] if k == 0 else [])):
+            if len(frame.take(2)) != 1:
+                raise SpecError(f"results of several last jobs are merged row by row: {one!r} has not one row")
+        merged = frames.broadcast_value(merged.drop(*out[name].columns), out[name])
+    return project(merged, wanted, Scope.of(merged, dict(params or {}))) if wanted else merged
 
 
 def inputs_of(spec: Mapping[str, Any]) -> set[str]:

@@ -10,9 +10,11 @@ from ._registry import query
 
 TERMS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
 DOC_TERMS = TERMS.format("text")
+#: The index folds accents.
+FOLDED = TERMS.format("strip_accents(text)")
 #: Queries: two neighbouring words of each benchmark item.
-PHRASES = f"(SELECT item_id AS query_id, list_slice({DOC_TERMS}, 3, 4) AS q FROM benchmark)"
-BODY = f"(SELECT doc_id, {DOC_TERMS} AS t, ' ' || array_to_string({DOC_TERMS}, ' ') || ' ' AS body FROM documents)"
+PHRASES = f"(SELECT item_id AS query_id, list_slice({FOLDED}, 3, 4) AS q FROM benchmark)"
+BODY = f"(SELECT doc_id, {FOLDED} AS t, ' ' || array_to_string({FOLDED}, ' ') || ' ' AS body FROM documents)"
 HITS = f"(SELECT query_id, doc_id, len(list_filter(range(1, len(t) - len(q) + 2), lambda i: t[i:i + len(q) - 1] = q)) AS tf, len(t) AS length FROM {BODY} b JOIN {PHRASES} p ON len(q) > 0 AND contains(body, ' ' || array_to_string(q, ' ') || ' '))"
 
 
@@ -26,12 +28,12 @@ def word_tokens(t):
     return t("documents").select("doc_id", F.size(words).cast("bigint").alias("n_terms"), F.array_join(words, " ").alias("terms"))
 
 
-@query(f"SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM (SELECT doc_id, unnest({DOC_TERMS}) AS term FROM documents) GROUP BY term")
+@query(f"SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM (SELECT doc_id, unnest({FOLDED}) AS term FROM documents) GROUP BY term")
 def fts_index_stats(t):
     return search.index_stats(t("documents"), ["text"], "doc_id")
 
 
-@query(f"SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM (SELECT doc_id, unnest({DOC_TERMS}) AS term FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)) GROUP BY term")
+@query(f"SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM (SELECT doc_id, unnest({FOLDED}) AS term FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)) GROUP BY term")
 def fts_delete(t):
     left, _ = search.delete(t("documents"), t("benchmark").select(F.col("item_id").alias("doc_id")), "doc_id")
     return search.index_stats(left, ["text"], "doc_id")
@@ -50,7 +52,7 @@ def fts_phrase(t):
 
 
 @query(
-    f"WITH hits AS {HITS}, stats AS (SELECT count(*) AS total, avg(len({DOC_TERMS})) AS avgdl FROM documents), n AS (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id), "
+    f"WITH hits AS {HITS}, stats AS (SELECT count(*) AS total, avg(len({FOLDED})) AS avgdl FROM documents), n AS (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id), "
     "scored AS (SELECT hits.query_id, doc_id, greatest(ln((total - n.n + 0.5) / (n.n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / avgdl)) AS s FROM hits JOIN n ON hits.query_id = n.query_id, stats) "
     "SELECT query_id, rank, doc_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM scored) WHERE rank <= 10"
 )

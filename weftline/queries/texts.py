@@ -45,7 +45,7 @@ def html_text(t):
     return t("pages").select("page_id", T.html_page_text(F.col("html")).alias("text"))
 
 
-@query()
+@query("SELECT page_id, (i - 1)::INT AS pos, l[i] AS href FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href=\"([^\"]*)\"', 1) AS l FROM pages), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)")
 def html_links(t):
     return t("pages").select("page_id", F.posexplode(T.html_select(F.col("html"), "nav a[href]", "attribute", "href")).alias("pos", "href"))
 
