@@ -243,3 +243,42 @@ def test_search_folds_accents(spark):
     q = spark.createDataFrame([(1, "ÉLAN"), (2, "über den"), (3, "")], "query_id int, query string")
     assert sorted((r["query_id"], r["id"]) for r in search.phrase_hits(docs, q, "text").collect()) == [(1, 1), (1, 2), (1, 3), (2, 1)]
     assert search.phrase_hits(docs, q.where("query_id = 3"), "text").count() == 0
+
+
+def test_audio_and_image_measures(spark):
+    import io
+    import wave
+
+    from weftline.functions import media
+
+    rate, t = 48_000, np.arange(48_000 * 5) / 48_000
+    tone = 10 ** (-23 / 20) * np.sin(2 * np.pi * 997 * t)
+    m = media.measure_audio(tone, rate)
+    assert abs(m["integrated_loudness"] - (-26.0)) < 0.1 and abs(m["sample_peak_dbfs"] + 23) < 0.01 and m["loudness_range"] < 0.1  # one channel of a tone at -23 dBFS
+    quiet = media.measure_audio(np.concatenate([tone, np.zeros(rate * 5)]), rate)
+    assert abs(quiet["integrated_loudness"] - m["integrated_loudness"]) < 0.3  # silence is gated
+    assert media.measure_audio(np.zeros(rate), rate)["integrated_loudness"] is None and media.measure_audio([], rate)["sample_count"] == 0
+    between = media.measure_audio(np.sin(2 * np.pi * 12_000 * t[:4800] + np.pi / 4), rate)
+    assert between["sample_peak_dbfs"] < -2.9 and abs(between["true_peak_dbtp"]) < 0.2
+    buffer = io.BytesIO()
+    with wave.open(buffer, "wb") as w:
+        w.setnchannels(2), w.setsampwidth(2), w.setframerate(8000)
+        w.writeframes(np.array([[32767, -32768], [16384, 16384]], "<i2").tobytes())
+    df = spark.createDataFrame([(1, bytearray(buffer.getvalue())), (2, bytearray(b"no")), (3, None)], "id int, c binary")
+    got = {r["id"]: r["a"] for r in df.select("id", media.decode_wav(F.col("c")).alias("a")).collect()}
+    assert got[1]["rate"] == 8000 and np.allclose(got[1]["samples"], [-1 / 65536, 0.5]) and got[2]["rate"] is None and got[3] is None
+    sharp = media.measure_luma(np.indices((8, 8)).sum(0) % 2 * 255)
+    assert sharp["laplacian_variance"] > media.measure_luma(np.tile(np.linspace(0, 255, 8), (8, 1)))["laplacian_variance"] == 0.0 and media.measure_luma([]) is None
+
+
+def test_percentiles_equal_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(x)) for g, values in {"a": rng.normal(size=4000), "b": rng.integers(0, 4, 3000), "c": [7.0], None: rng.random(50)}.items() for x in values] + [("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    for ranked in (10_000, 500):  # whole groups, and values near the places alone
+        monkeypatch.setattr(sequence, "RANKED", ranked)
+        got = {r["__g0"]: (r["p"], r["q"]) for r in sequence.percentiles(df, "v", {"p": 0.01, "q": 0.5}, ["g"]).collect()}
+        for g in ("a", "b", "c", None):
+            assert np.allclose(got[g], np.percentile([v for k, v in rows if k == g], [1, 50])), (g, ranked)
+        assert "d" not in got
+    assert sequence.profile(df, "v").first()["n"] == 7051

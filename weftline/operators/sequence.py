@@ -5,7 +5,8 @@ All windows are partitioned by a key of the data. Times are seconds (double).
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -110,17 +111,55 @@ def clip(df: DataFrame, ts: str, spans: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, value: str, group: Sequence[str] = (), low: float | None = None, high: float | None = None) -> DataFrame:
-    """mean, min, max, std (population), rms, p01, p99, contrast and clipped counts of a measure."""
+    """mean, min, max, std (population), rms, p01, p99 (exact, interpolated), contrast and clipped counts
+    of a measure."""
     v = F.col(value)
-    parts = [F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"), F.sqrt(F.avg(v * v)).alias("rms"), F.percentile(v, 0.01).alias("p01"), F.percentile(v, 0.99).alias("p99"), F.count(v).alias("n")]
+    parts = [F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"), F.sqrt(F.avg(v * v)).alias("rms"), F.count(v).alias("n")]
     parts += [F.count_if(v <= low).alias("n_low")] if low is not None else []
     parts += [F.count_if(v >= high).alias("n_high")] if high is not None else []
     out = df.groupBy(*group).agg(*parts)
+    places = percentiles(df, value, {"p01": 0.01, "p99": 0.99}, group)
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)], F.lit(True))
+    out = out.join(F.broadcast(places) if not group else places, same, "left").drop(*[f"__g{i}" for i in range(len(group))])
     return out.withColumn("contrast", F.when(F.col("p99") + F.col("p01") != 0, (F.col("p99") - F.col("p01")) / (F.col("p99") + F.col("p01"))).otherwise(0.0))
 
 
-def spectrum_bands(df: DataFrame, key: str, pos: str, value: str, width: int, hop: int, bands: int) -> DataFrame:
-    """key, frame, bands: mean magnitude per band of the spectrum of hopping windows.
+#: Groups of up to this many values are ranked whole; of larger ones, only values within this share of a
+#: wanted place on both sides. The sketch that finds them is ten times as accurate.
+RANKED, NEAR = 10_000, 0.001
+
+
+def percentiles(df: DataFrame, value: str, wanted: Mapping[str, float], group: Sequence[str] = ()) -> DataFrame:
+    """__g0, __g1, ... (the group) and the exact interpolated percentiles of its values.
+
+    A mergeable sketch brackets each place, values below a bracket are counted map-side, and only the
+    distinct values inside it are ranked, so that no task holds a group's values.
+    """
+    keys = [F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]
+    names = [f"__g{i}" for i in range(len(group))]
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
+    near = [x for q in wanted.values() for x in (max(q - NEAR, 0.0), min(q + NEAR, 1.0))]
+    sketch = rows.groupBy(*names).agg(F.count("*").alias("__n"), F.percentile_approx("__v", near, int(10 / NEAR)).alias("__q"))
+    brackets = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q"), F.when(F.col("__n") > RANKED, F.col("__q")[2 * i]).otherwise(F.lit(float("-inf"))).alias("low"), F.when(F.col("__n") > RANKED, F.col("__q")[2 * i + 1]).otherwise(F.lit(float("inf"))).alias("high")) for i, (name, q) in enumerate(wanted.items())])
+    sketch = sketch.select(*[F.col(n).alias(f"_{n}") for n in names], "__n", F.explode(brackets).alias("__b"))
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names], F.lit(True))
+    # values below a bracket are one row of the result (null), those inside it one row each
+    inside = F.when(F.col("__v") >= F.col("__b.low"), F.col("__v"))
+    held = rows.join(F.broadcast(sketch) if not names else sketch, same).where(F.col("__v") <= F.col("__b.high"))
+    held = held.groupBy(*names, "__n", "__b", inside.alias("__v")).agg(F.count("*").alias("__c"))
+    order = Window.partitionBy(*names, "__b").orderBy(F.col("__v").asc_nulls_first())
+    held = held.withColumn("__to", F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.col("__b.q") * (F.col("__n") - 1)
+    holds = lambda k: (F.col("__to") > k) & (F.col("__to") - F.col("__c") <= k)
+    ends = held.groupBy(*names, "__b", "__n").agg(F.max(F.when(holds(F.floor(place)), F.col("__v"))).alias("a"), F.max(F.when(holds(F.ceil(place)), F.col("__v"))).alias("z"))
+    found = F.col("a") + (F.col("z") - F.col("a")) * (place - F.floor(place))
+    ends = ends.withColumn("__x", found)
+    return ends.groupBy(*names).agg(*[F.max(F.when(F.col("__b.name") == name, F.col("__x"))).alias(name) for name in wanted])
+
+
+def spectrum_bands(df: DataFrame, key: str, pos: str, value: str, width: int, hop: int, bands: int, percentile: float | None = None) -> DataFrame:
+    """key, frame, bands: mean magnitude per band of the spectrum of hopping windows; with ``percentile``
+    (a share) over that of all bands and frames of the key, at most 1 (0 where it is 0).
 
     A sample is sent to the windows it lies in; each window is transformed by itself.
     """
@@ -136,7 +175,12 @@ def spectrum_bands(df: DataFrame, key: str, pos: str, value: str, width: int, ho
         for part in parts:
             yield part.map(lambda s: [float(x.mean()) if len(x) else 0.0 for x in np.array_split(np.abs(np.fft.rfft(np.pad(s, (0, width - len(s))) * np.hanning(width))), bands)])
 
-    return rows.select(key, "frame", bands_of("samples").alias("bands"))
+    out = rows.select(key, "frame", bands_of("samples").alias("bands"))
+    if percentile is None:
+        return out
+    tops = percentiles(out.select(key, F.explode("bands").alias("__band")), "__band", {"__top": percentile}, [key])
+    out = out.join(tops, F.col(key).eqNullSafe(F.col("__g0")), "left")
+    return out.select(key, "frame", F.transform("bands", lambda x: F.when(F.col("__top") > 0, F.least(x / F.col("__top"), F.lit(1.0))).otherwise(0.0)).alias("bands"))
 
 
 class SpeechSegmenter:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import media
 from ..operators import sequence
 from ._registry import query
 
@@ -111,3 +112,25 @@ def spectrum_bands(t):
 def face_tracks(t):
     e = t("embeddings").select(F.lit("v").alias("video"), F.floor(F.col("vec_id") / 4).cast("double").alias("ts"), F.col("embedding").cast("array<double>").alias("embedding"), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("box"), "vec_id", (F.col("vec_id") % 8).cast("string").alias("clip"))
     return sequence.assign_tracks(e, "clip", "ts", "embedding", "box", 0.3).select("vec_id", "track")
+
+
+@query(
+    "WITH g AS (SELECT vec_id, i, embedding[i + 1] AS x, i // 8 AS r, i % 8 AS c, len(embedding) // 8 AS h FROM embeddings, LATERAL (SELECT unnest(range(len(embedding))) AS i)), "
+    "l AS (SELECT a.vec_id, a.x, CASE WHEN a.r BETWEEN 1 AND a.h - 2 AND a.c BETWEEN 1 AND 6 THEN n.x + s.x + w.x + e.x - 4 * a.x ELSE 0 END AS d FROM g a "
+    "LEFT JOIN g n ON n.vec_id = a.vec_id AND n.i = a.i - 8 LEFT JOIN g s ON s.vec_id = a.vec_id AND s.i = a.i + 8 LEFT JOIN g w ON w.vec_id = a.vec_id AND w.i = a.i - 1 LEFT JOIN g e ON e.vec_id = a.vec_id AND e.i = a.i + 1) "
+    "SELECT vec_id, round(avg(x::DOUBLE), 5) AS mean, round(stddev_pop(x::DOUBLE), 5) AS std, round(var_pop(d::DOUBLE), 5) AS sharpness FROM l GROUP BY vec_id"
+)
+def image_sharpness(t):
+    """Embeddings taken as pictures eight pixels wide."""
+    v = F.col("embedding").cast("array<double>")
+    rows = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 8).cast("int") - 1), lambda k: F.slice(v, k * 8 + 1, F.lit(8)))
+    m = t("embeddings").select("vec_id", media.image_measures(rows).alias("m"))
+    return m.select("vec_id", F.round("m.mean", 5).alias("mean"), F.round("m.std", 5).alias("std"), F.round("m.laplacian_variance", 5).alias("sharpness"))
+
+
+@query("SELECT user_id, round(20 * log10(max(abs(value / 100))), 5) AS peak, round(20 * log10(sqrt(avg((value / 100) ** 2))), 5) AS rms, round(avg(value / 100), 5) AS dc_offset, count(*) FILTER (value >= 99) AS clipped FROM events GROUP BY user_id HAVING max(abs(value)) > 0")
+def audio_levels(t):
+    """Values of users taken as samples."""
+    samples = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"] / 100)
+    m = t("events").groupBy("user_id").agg(samples.alias("samples")).select("user_id", media.audio_measures(F.col("samples"), 100, 0.99).alias("m")).where("m.sample_peak_dbfs is not null")
+    return m.select("user_id", F.round("m.sample_peak_dbfs", 5).alias("peak"), F.round("m.rms_dbfs", 5).alias("rms"), F.round("m.dc_offset", 5).alias("dc_offset"), F.col("m.clipped_sample_count").alias("clipped"))
