@@ -282,3 +282,42 @@ def test_percentiles_equal_numpy(spark, monkeypatch):
             assert np.allclose(got[g], np.percentile([v for k, v in rows if k == g], [1, 50])), (g, ranked)
         assert "d" not in got
     assert sequence.profile(df, "v").first()["n"] == 7051
+
+
+def test_files_in_chunks_and_copies(spark, tmp_path):
+    from weftline.sources import files
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.bin").write_bytes(bytes(range(256)) * 10)
+    (tmp_path / "in" / "b.bin").write_bytes(b"")
+    rows = files.read_chunks(spark, str(tmp_path / "in"), 1000).collect()
+    whole = {p: b"".join(bytes(r["content"]) for r in sorted(rows, key=lambda r: r["chunk"]) if r["path"].endswith(p)) for p in ("a.bin", "b.bin")}
+    assert whole == {"a.bin": bytes(range(256)) * 10, "b.bin": b""} and [r["chunk"] for r in rows] == [0, 1, 2]
+    files.save(spark, str(tmp_path / "in" / "a.bin"), str(tmp_path / "out.bin"))
+    assert (tmp_path / "out.bin").read_bytes() == whole["a.bin"]
+
+
+def test_relationships_are_updated(spark):
+    edges = spark.createDataFrame([(1, 10, 11, "knows", {"a": "1", "b": "2"}), (2, 11, 12, "likes", {})], "id int, src int, dst int, type string, props map<string,string>")
+    changes = spark.createDataFrame([(1, {"b": "3", "c": "4"}, None), (9, {}, "x")], "id int, props map<string,string>, type string")
+    got = {r["id"]: r for r in graph.update_edges(edges, changes).collect()}
+    assert got[1]["props"] == {"a": "1", "b": "3", "c": "4"} and got[1]["type"] == "knows" and set(got) == {1, 2} and got[2]["props"] == {}
+
+
+def test_queue_streams(spark, tmp_path):
+    from weftline.sources import queue
+
+    for k in range(2):
+        spark.createDataFrame([("s", k, f"item{k}"), ("t", k, "other")], "session string, seq int, item string").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = queue.dequeue_stream(spark, str(tmp_path / "log"), "session string, seq int, item string", "s")
+    assert sorted(r["item"] for r in steps.run_available(stream, "queue", str(tmp_path / "c")).collect()) == ["item0", "item1"]
+
+
+def test_model_tokens(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    path = tokenizers.path("word_bpe_49k.json")
+    df = spark.createDataFrame([(1, "weaving plain cloth"), (2, None), (3, "")], "id int, t string")
+    got = {r["id"]: r["x"] for r in df.select("id", T.model_tokens(F.col("t"), path).alias("x")).collect()}
+    from tokenizers import Tokenizer
+
+    assert got[1] == Tokenizer.from_file(path).encode("weaving plain cloth", add_special_tokens=False).ids and got[2] is None and got[3] == []

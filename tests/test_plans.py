@@ -226,3 +226,49 @@ def test_reruns_take_what_depends_along(spark):
         P.compile_pipeline(spark, {"jobs": [j if j["id"] != "r" else j | {"routes": [{"to": "a", "weight": 1}]} for j in jobs[:3]]}, None, numbers(spark))
     with pytest.raises(P.SpecError, match="never start"):
         P.compile_pipeline(spark, {"jobs": [{"id": "x", "do": "if", "otherwise": "y"}, {"id": "y", "input": "in", "do": "distinct"}, {"id": "z", "input": "x", "do": "distinct"}]}, None, numbers(spark))
+
+
+def test_delays_and_tools():
+    from datetime import UTC, datetime
+
+    now = datetime(2024, 1, 1, tzinfo=UTC)
+    assert P.waiting_time({"seconds": 2}) == 2 and P.waiting_time({"until": "2024-01-01T00:00:05"}, now) == 5 and P.waiting_time({"until": "2023-12-31T23:00:00+00:00"}, now) == 0
+    spec = {"description": "finds", "inputs": {"k": {"type": "integer", "default": 3}, "q": {"description": "words"}}, "jobs": [{"id": "a", "input": "in", "do": "filter", "where": {"input": "${item.x}", "operator": "gt", "value": "${input.least}"}}]}
+    tool = P.as_tool("find", spec)
+    assert tool["parameters"]["required"] == ["least", "q"] and tool["parameters"]["properties"]["k"] == {"type": "integer", "default": 3} and tool["name"] == "find"
+
+
+def test_status_patterns(spark):
+    from weftline.plans.predicates import status_matches
+
+    df = spark.createDataFrame([(200,), (204,), (404,), (503,), (None,)], "s int")
+    fit = lambda p: [r["s"] for r in df.where(status_matches(F.col("s"), p)).collect()]
+    assert fit("2xx") == [200, 204] and fit(["404", "5xx"]) == [404, 503] and fit("20x, 404") == [200, 204, 404] and fit(503) == [503]
+    with pytest.raises(ValueError):
+        status_matches(F.col("s"), "2x")
+
+
+def test_every_task_has_a_working_interface(spark):
+    """A model of each of the tasks gives results of the task's type, and null for null."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    from weftline.functions import models
+
+    def sample(kind):
+        name = type(kind).__name__
+        if name == "ArrayType":
+            return [sample(kind.elementType)]
+        if name == "StructType":
+            return {f.name: sample(f.dataType) for f in kind}
+        return {"StringType": "a", "DoubleType": 0.5, "BinaryType": b"x"}[name]
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, t string")
+    columns = []
+    for task, kind in models.TASKS.items():
+        value = sample(_parse_datatype_string(kind))
+        models.MODELS[task, "sample"] = type("Sample", (), {"load": lambda self: None, "predict": lambda self, xs, v=value: [v for _ in xs]})
+        columns.append(models.infer(task, "sample", F.col("t")).alias(task))
+    rows = {r["id"]: r for r in df.select("id", *columns).collect()}
+    for task, kind in models.TASKS.items():
+        plain = lambda x: x.asDict() if hasattr(x, "asDict") else [plain(y) for y in x] if isinstance(x, list) else bytes(x) if isinstance(x, bytearray) else x
+        assert plain(rows[1][task]) == sample(_parse_datatype_string(kind)) and rows[2][task] is None, task

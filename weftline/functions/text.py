@@ -174,6 +174,25 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
 
 
+def model_tokens(text: Column, vocabulary: str, special: bool = False) -> Column:
+    """array<int>: the token ids of a model's tokenizer file (JSON); null for null. The file is read once
+    per worker, so its path must be one that workers see."""
+
+    @F.pandas_udf("array<int>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(vocabulary)
+        tokenizer.no_truncation(), tokenizer.no_padding()
+        for part in parts:
+            known = part.dropna()
+            found = [x.ids for x in tokenizer.encode_batch(known.tolist(), add_special_tokens=special)]
+            out = pd.Series(found, index=known.index, dtype=object).reindex(part.index)
+            yield out.where(out.notna(), None)
+
+    return run(text)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance over the longer length; 1 for two empty texts."""
     longest = F.greatest(F.length(a), F.length(b))

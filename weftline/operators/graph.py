@@ -28,6 +28,15 @@ def update_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     return both.drop("__props", "__labels")
 
 
+def update_edges(edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """Properties (map) of relationships are merged, later keys win; a new type replaces the old.
+    ``changes``: id, props, type (null: as it was)."""
+    new = changes.select("id", F.col("props").alias("__props"), F.col("type").alias("__type"))
+    merged = F.map_concat(F.map_filter("props", lambda k, _: ~F.map_contains_key("__props", k)), F.col("__props"))
+    both = edges.join(new, "id", "left").withColumns({"props": F.when(F.col("__props").isNull(), F.col("props")).otherwise(merged), "type": F.coalesce("__type", "type")})
+    return both.select(*edges.columns)
+
+
 def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame, detach: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) without the ids; with ``detach`` their edges go too, else linked nodes are an error
     of the caller and stay."""

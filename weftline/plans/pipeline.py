@@ -12,6 +12,7 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from contextvars import ContextVar
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -305,7 +306,7 @@ def _run(job: Job, out: dict[str, DataFrame], params: Mapping[str, Any], chosen:
         df = out[job.input] if job.input else None
         df = job.before(df) if job.before else df
         if job.do == "delay":
-            time.sleep(float(job.arguments.get("seconds", 0)))
+            time.sleep(waiting_time(job.arguments))
             return df
         more = {"other": out[job.with_]} if job.with_ else {}
         found = OPERATIONS[job.do](df, **more, **job.arguments)
@@ -324,6 +325,16 @@ def _run(job: Job, out: dict[str, DataFrame], params: Mapping[str, Any], chosen:
         return False
 
 
+def waiting_time(arguments: Mapping[str, Any], now: datetime | None = None) -> float:
+    """Seconds that a ``delay`` waits: ``seconds``, or up to the moment ``until`` (ISO; UTC without a
+    zone; 0 once it has passed)."""
+    if arguments.get("until") is not None:
+        moment = datetime.fromisoformat(str(arguments["until"]))
+        moment = moment if moment.tzinfo else moment.replace(tzinfo=UTC)
+        return max((moment - (now or datetime.now(UTC))).total_seconds(), 0.0)
+    return max(float(arguments.get("seconds", 0)), 0.0)
+
+
 def result(spark: SparkSession, spec: Mapping[str, Any], params: Mapping[str, Any] | None = None, frames_in: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """What a pipeline gives as a whole.
 
@@ -356,3 +367,13 @@ def inputs_of(spec: Mapping[str, Any]) -> set[str]:
     for job in spec.get("jobs", []):
         found |= {r for r in references({k: v for k, v in job.items() if not callable(v)}) if r.startswith("input.")}
     return {r.removeprefix("input.") for r in found}
+
+
+def as_tool(name: str, spec: Mapping[str, Any]) -> dict[str, Any]:
+    """A pipeline as a callable tool: its name, description, and a JSON schema of the parameters that it
+    reads. ``inputs`` of the spec may give their type, description and default."""
+    known = spec.get("inputs", {})
+    read = sorted(inputs_of(spec) | set(known))
+    fields = {k: {"type": "string"} | {x: y for x, y in known.get(k, {}).items() if x in ("type", "description", "default", "enum")} for k in read}
+    needed = [k for k in read if "default" not in fields[k] and known.get(k, {}).get("required", True)]
+    return {"name": name, "description": spec.get("description", ""), "parameters": {"type": "object", "properties": fields, "required": needed}}

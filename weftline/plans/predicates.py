@@ -6,7 +6,7 @@ strict about types: a number never equals a text. Order comparisons with null ke
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
@@ -92,6 +92,15 @@ def _has_expression(value: Any) -> bool:
     return isinstance(value, str) and "${" in value
 
 
+def status_matches(code: Column, pattern: str | int | Sequence[str | int]) -> Column:
+    """Whether a status code fits one of the patterns: three digits, where x stands for any. Null fits none."""
+    patterns = [pattern] if isinstance(pattern, (str, int)) else list(pattern)
+    parts = [p.strip().lower() for x in patterns for p in str(x).split(",")]
+    if any(len(p) != 3 or not set(p) <= set("0123456789x") for p in parts):
+        raise ValueError(f"can't read status patterns {patterns}")
+    return F.coalesce(F.rlike(code.cast("string"), F.lit("^(" + "|".join(p.replace("x", "[0-9]") for p in parts) + ")$")), F.lit(False))
+
+
 def field_conditions(spec: Any, scope: Scope) -> Column:
     """Metadata filters: ``{field: value}``, ``{field: {operator: value}}`` or a list of
     ``{field, operator, value}``; all must hold."""

@@ -35,6 +35,22 @@ def read_files(spark: SparkSession, root: str, pattern: str | None = None, text:
     return out.withColumn("content", F.decode("content", "UTF-8")) if text else out
 
 
+def read_chunks(spark: SparkSession, root: str, size: int = 1 << 20, pattern: str | None = None) -> DataFrame:
+    """path, chunk, content of files in pieces of ``size`` bytes; an empty file has none."""
+    rows = read_files(spark, root, pattern)
+    rows = rows.where(F.octet_length("content") > 0)
+    last = (F.ceil(F.octet_length("content") / size) - 1).cast("int")
+    rows = rows.select("path", "content", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+    return rows.select("path", "chunk", F.substring("content", F.col("chunk") * size + 1, F.lit(size)).alias("content"))
+
+
+def save(spark: SparkSession, path: str, save_to: str) -> None:
+    """Copies a file or folder of any store to another place of any store."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    a, b = hadoop.Path(path), hadoop.Path(save_to)
+    hadoop.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+
+
 def files_exist(spark: SparkSession, wanted: DataFrame, root: str) -> DataFrame:
     """Every wanted name with whether the folder has it."""
     have = list_files(spark, root).select("name", F.lit(True).alias("__have"))
