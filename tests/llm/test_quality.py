@@ -88,7 +88,7 @@ def test_kept_of_documents_that_no_model_saw(spark):
     rows = importance.resample(docs, labels.where("doc_id % 2 = 0")).join(labels, "doc_id").collect()
     rate = lambda q, t, seen: np.mean([r["kept"] for r in rows if (r["quality"], r["toxic"]) == (q, t) and (r["doc_id"] % 2 == 0) == seen])
     assert rate(1, 0, False) > 0.9 and abs(rate(1, 0, False) - rate(1, 0, True)) < 0.04
-    assert rate(1, 1, False) < 0.45 and rate(0, 0, False) < 0.05
+    assert rate(1, 1, False) < 0.2 and rate(0, 0, False) < 0.05
 
 
 def test_toxic_documents_of_good_quality_go(spark):
@@ -117,7 +117,8 @@ def test_resampling_cases(spark):
 
 def test_weights_keys_and_kept_equal_plain_python(spark):
     rng = np.random.default_rng(5)
-    texts = ["the cat sat on the mat", "the dog", "### !!! ###", "the cat", "", None, *[" ".join(rng.choice(["the", "cat", "dog", "###", "mat"], 12)) for _ in range(40)]]
+    texts = ["the cat sat on the mat", "the dog", "### !!! ###", "the cat", "", None]
+    texts += [" ".join(rng.choice(["the", "cat", "dog", "mat", "sat"] if i % 3 == 0 else ["the", "cat", "###", "!!!", "sat"], 12)) for i in range(6, 60)]
     target = {i for i in range(len(texts)) if i % 3 == 0}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, int(i in target), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
@@ -140,13 +141,14 @@ def test_weights_keys_and_kept_equal_plain_python(spark):
         for g, n in own.items():
             share, prior = of(good, g[0]) / of(raw, g[0]), importance.PRIOR[g[0]]
             e = raw[g] * share
-            total += n * (np.log((good[g] + prior) / (e + prior)) + e * (1 - share) / (2 * (e + prior) ** 2))
+            if abs(good[g] - e) > importance.SURE * np.sqrt(e + prior):
+                total += n * np.log((good[g] + prior) / (e + prior))
         want[i] = total
     rows = importance.resample(docs, labels).collect()
     assert all(np.isclose(r["log_weight"], want[r["doc_id"]]) for r in rows) and len(rows) == len(texts)
     noise = {r["doc_id"]: r["g"] for r in docs.select("doc_id", importance.gumbel(importance.F.col("doc_id")).alias("g")).collect()}
     keys = {i: want[i] + noise[i] for i in want}
-    k = sum(w > 0 for w in want.values())
+    k = round(len(texts) * len(target) / len(texts))
     best = set(sorted(keys, key=lambda i: -keys[i])[:k])
     assert 0 < k < len(texts) and {r["doc_id"] for r in rows if r["kept"]} == best
     few = {r["doc_id"] for r in importance.resample(docs, labels, k=5).collect() if r["kept"]}

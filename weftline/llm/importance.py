@@ -26,6 +26,9 @@ from ._shared import in_arrow, stash
 BUCKETS, BLOCKS = 1 << 17, 64
 #: Occurrences that are added to those of a bucket under both models: for words and for word pairs.
 PRIOR = (1.0, 16.0)
+#: Standard deviations by which a bucket's target count must differ from what raw text lets expect; where
+#: it does not, the models are taken to agree on it.
+SURE = 2.0
 #: Texts whose n-grams are counted at once.
 PART = 200
 #: Bound of the labelled rows that are learned from: those of the smallest hash.
@@ -63,22 +66,23 @@ class Models:
     def __post_init__(self):
         self.raw_total, self.target_total = (x.reshape(2, BUCKETS).sum(1) for x in (self.raw, self.target))
 
-    def log_weight(self, found: np.ndarray, chosen: bool) -> float:
+    def log_weight(self, buckets: np.ndarray, chosen: bool) -> float:
         """log(p_target / p_raw) of a text with these :func:`features`, without its own occurrences;
         ``chosen``: it is one of the target texts.
 
         A bucket with t occurrences in the target, where its share of raw text lets e be expected,
-        counts log((t + prior) / (e + prior)) each time. As t scatters around its mean, the logarithm
-        lies low by about e (1 - share) / (2 (e + prior) ** 2), which is put back.
+        counts log((t + prior) / (e + prior)) each time, if t is ``SURE`` standard deviations off e.
+        Otherwise the scatter of thousands of rare buckets would drown the few that tell.
         """
-        at, n = np.unique(found, return_counts=True)
+        at, n = np.unique(buckets, return_counts=True)
         kind = (at >= BUCKETS).astype(np.int64)
         own = np.bincount(kind, n, 2)
         share = ((self.target_total - own * chosen) / np.maximum(self.raw_total - own, 1))[kind]
         prior = np.array(PRIOR)[kind]
         expected = np.maximum(self.raw[at] - n, 0) * share + prior
-        ratio = np.log((np.maximum(self.target[at] - n * chosen, 0) + prior) / expected)
-        return float(((ratio + (expected - prior) * (1 - share) / (2 * expected**2)) * n).sum())
+        found = np.maximum(self.target[at] - n * chosen, 0) + prior
+        sure = np.abs(found - expected) > SURE * np.sqrt(expected)
+        return float((np.log(found / expected) * n)[sure].sum())
 
 
 def _with_target(docs: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -178,14 +182,15 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFr
 
     ``key`` is the log weight plus Gumbel noise that the doc_id fixes; the k largest keys are kept,
     and rows whose key equals the k-th are kept with it (repeated rows share their fate). Without
-    ``k``, as many rows are drawn as are likelier under the target than under raw text (log weight
-    above 0); without any target label all rows are kept. Null texts weigh 0; one row per input row;
-    an empty table gives an empty result.
+    ``k``, the share of rows is drawn that targets have among the labelled rows; without any target
+    label all rows are kept. Null texts weigh 0; one row per input row; an empty table gives an empty
+    result.
     """
     labelled = stash(labelled_rows(labels), "importance-labels")
-    if labelled.where("target").isEmpty() and k is None:
+    share = labelled.agg(F.avg(F.col("target").cast("double"))).first()[0] or 0.0
+    if not share and k is None:
         return docs.select("doc_id", F.lit(0.0).alias("log_weight"), gumbel(F.col("doc_id")).alias("key"), F.lit(True).alias("kept"))
     weights = log_weights(docs, labelled, fit_models(docs, labelled))
     scored = stash(weights.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"))), "importance-scores")
-    limit = kth_largest(scored, "key", scored.where("log_weight > 0").count() if k is None else k)
+    limit = kth_largest(scored, "key", round(share * scored.count()) if k is None else k)
     return scored.select("doc_id", "log_weight", "key", (F.col("key") >= limit if limit is not None else F.lit(False)).alias("kept"))
