@@ -119,6 +119,7 @@ def test_weights_keys_and_kept_equal_plain_python(spark):
     rng = np.random.default_rng(5)
     texts = ["the cat sat on the mat", "the dog", "### !!! ###", "the cat", "", None]
     texts += [" ".join(rng.choice(["the", "cat", "dog", "mat", "sat"] if i % 3 == 0 else ["the", "cat", "###", "!!!", "sat"], 12)) for i in range(6, 60)]
+    texts += [texts[7]] * 5 + [texts[9]]  # copies count once
     target = {i for i in range(len(texts)) if i % 3 == 0}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, int(i in target), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
@@ -131,15 +132,15 @@ def test_weights_keys_and_kept_equal_plain_python(spark):
     want = {}
     for i, own in found.items():
         raw, good = Counter(), Counter()
-        for j, c in found.items():
-            if j != i:
-                raw.update(c)
-                if j in target:
-                    good.update(c)
+        for text in {texts[j] for j in found} - {texts[i]}:
+            same = [j for j in found if texts[j] == text]
+            raw.update(found[same[0]])
+            if target & set(same):
+                good.update(found[same[0]])
         of = lambda c, kind: sum(n for g, n in c.items() if g[0] == kind)
         total = 0.0
         for g, n in own.items():
-            share, prior = of(good, g[0]) / of(raw, g[0]), importance.PRIOR[g[0]]
+            share, prior = of(good, g[0]) / max(of(raw, g[0]), 1), importance.PRIOR[g[0]]
             e = raw[g] * share
             if abs(good[g] - e) > importance.SURE * np.sqrt(e + prior):
                 total += n * np.log((good[g] + prior) / (e + prior))

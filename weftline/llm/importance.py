@@ -4,7 +4,7 @@ Two generative models over hashed words and word pairs: one of the target (docum
 call good and not toxic), one of all raw text. A document's weight is the ratio of its n-grams under
 the two, and documents are drawn without replacement by Gumbel top-k on its logarithm.
 
-A document's own n-grams count in neither model when it is weighed. Otherwise every rare word of a
+Equal texts count once. A document's own n-grams count in neither model when it is weighed. Otherwise every rare word of a
 labelled document would speak for it and every rare word of an unlabelled one against it, and the draw
 would repeat the labels.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import mix, word_hashes, words_of
-from ._shared import in_arrow, stash
+from ._shared import in_arrow, sized_broadcast, stash
 
 #: Hash buckets of words, and as many of word pairs, and the blocks in which their counts are added up.
 BUCKETS, BLOCKS = 1 << 17, 64
@@ -85,15 +85,21 @@ class Models:
         return float((np.log(found / expected) * n)[sure].sum())
 
 
-def _with_target(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """doc_id, text, and whether the document is a labelled target."""
+def with_target(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """doc_id, text, target (whether a labelled target has this text), counted (whether the models count
+    this row): of equal texts, the one of the smallest doc_id, so that copies weigh as one."""
     chosen = F.broadcast(labelled.where("target").select("__labelled", F.lit(True).alias("__target")))
-    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__labelled"), "left")
-    return rows.select("doc_id", "text", F.coalesce("__target", F.lit(False)).alias("target"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash")).join(chosen, F.col("doc_id") == F.col("__labelled"), "left")
+    groups = rows.groupBy(F.col("__hash").alias("__group")).agg(F.count("*").alias("__n"), F.min("doc_id").alias("__first"), F.max("__target").alias("__any")).where("__n > 1")
+    groups = sized_broadcast(stash(groups, "importance-copies"), width=3)
+    rows = rows.join(groups, F.col("__hash") == F.col("__group"), "left")
+    counted = F.col("__group").isNull() | F.col("doc_id").eqNullSafe(F.col("__first"))
+    return rows.select("doc_id", "text", F.coalesce("__any", "__target", F.lit(False)).alias("target"), counted.alias("counted"))
 
 
-def fit_models(docs: DataFrame, labelled: DataFrame) -> Models:
-    """All texts are counted for the raw model, those of ``labelled`` targets for the target model.
+def fit_models(rows: DataFrame) -> Models:
+    """All different texts of :func:`with_target` are counted for the raw model, those of targets for the
+    target model.
 
     A task sends its counts as ``BLOCKS`` rows, each block is added up by itself, and what reaches the
     driver is two numbers per bucket, whatever the size of the corpus.
@@ -121,24 +127,24 @@ def fit_models(docs: DataFrame, labelled: DataFrame) -> Models:
                 total += np.frombuffer(x, "<u4")
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], ["block", "counts"])
 
-    rows = in_arrow(_with_target(docs, labelled).select("text", "target"), count, "block int, counts binary")
+    rows = in_arrow(rows.where("counted").select("text", "target"), count, "block int, counts binary")
     out = np.zeros((2, BLOCKS, width))
     for row in rows.groupBy("block").applyInArrow(add, "block int, counts binary").collect():
         out[:, row["block"]] = np.frombuffer(row["counts"], np.int64).reshape(2, width)
     return Models(out[0].reshape(-1), out[1].reshape(-1))
 
 
-def log_weights(docs: DataFrame, labelled: DataFrame, models: Models) -> DataFrame:
-    """doc_id, log_weight of every row; a text without words weighs 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def log_weights(rows: DataFrame, models: Models) -> DataFrame:
+    """doc_id, log_weight of every row of :func:`with_target`; a text without words weighs 0."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.log_weight(features(t), c) for t, c in rows], pa.float64())], ["doc_id", "log_weight"])
+            each = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.log_weight(features(t), c) for t, c in each], pa.float64())], ["doc_id", "log_weight"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_arrow(_with_target(docs, labelled), run, f"doc_id {kind}, log_weight double")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return in_arrow(rows.select("doc_id", "text", "target"), run, f"doc_id {kind}, log_weight double")
 
 
 def gumbel(doc_id: Column) -> Column:
@@ -190,7 +196,8 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFr
     share = labelled.agg(F.avg(F.col("target").cast("double"))).first()[0] or 0.0
     if not share and k is None:
         return docs.select("doc_id", F.lit(0.0).alias("log_weight"), gumbel(F.col("doc_id")).alias("key"), F.lit(True).alias("kept"))
-    weights = log_weights(docs, labelled, fit_models(docs, labelled))
+    rows = with_target(docs, labelled)
+    weights = log_weights(rows, fit_models(rows))
     scored = stash(weights.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"))), "importance-scores")
     limit = kth_largest(scored, "key", round(share * scored.count()) if k is None else k)
     return scored.select("doc_id", "log_weight", "key", (F.col("key") >= limit if limit is not None else F.lit(False)).alias("kept"))
