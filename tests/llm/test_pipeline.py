@@ -1,7 +1,7 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
 import corpus_pipeline
-from weftline.llm import decontaminate, near_dup
+from weftline.llm import decontaminate, language_id, near_dup, pii
 from weftline.llm._shared import stash, table
 
 
@@ -52,6 +52,14 @@ def test_clashing_columns(spark, sf_dir):
 
 def test_session_settings_stay(spark, sf_dir):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    corpus_pipeline.STAGES[0][1](spark, table(spark, sf_dir, "documents"), sf_dir).count()
-    assert spark.conf.get(key) == before
+    spark.conf.set(key, "5000")
+    try:
+        docs = table(spark, sf_dir, "documents")
+        language_id.language_id(docs).count()
+        pii.sanitise(docs).count()
+        near_dup.near_duplicate_classes(docs).count()
+        assert spark.conf.get(key) == "5000"
+        corpus_pipeline.run(spark, sf_dir)
+        assert spark.conf.get(key) == "5000"
+    finally:
+        spark.conf.unset(key)
