@@ -169,3 +169,13 @@ def test_recall_by_similarity(spark, sf_dir):
                 found.setdefault(int(s * 10), []).append(got[a] == got[b])
             links += s >= N.SIMILARITY
     assert links and all(all(v) for k, v in found.items() if k >= 8)
+
+
+def test_blocks_score_like_pairs():
+    texts = [*corpus(3).values(), "", None, "x", "a a a a a a a a a a"]
+    slots = np.random.default_rng(0).integers(-5, 1, N.SLOTS).astype(np.int8)
+    block, sets = N.Block(texts, slots), [N.shingles(t) for t in texts]
+    for text in (*texts[::7], "", None, "no such words here at all"):
+        own = N.shingles(text)
+        assert np.allclose(block.scores(text), [N.similarity(own, s, slots) for s in sets])
+    assert len(N.Block([], slots).scores("x")) == 0

@@ -69,13 +69,14 @@ def drop_stash(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sized_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` (narrow rows) with a broadcast hint if it has at most :data:`BROADCAST_KEYS` rows.
+def sized_broadcast(df: DataFrame, rows: int | None = None, width: int = 1) -> DataFrame:
+    """``df`` with a broadcast hint if it holds at most :data:`BROADCAST_KEYS` numbers: rows of ``width``
+    each (a digest is two).
 
     Beyond that the hint is left out and Spark joins by shuffle, splitting skewed partitions.
     """
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_KEYS else df
+    return F.broadcast(df) if n * width <= BROADCAST_KEYS else df
 
 
 def give_back() -> None:

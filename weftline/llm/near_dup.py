@@ -242,27 +242,32 @@ def verify(pairs: DataFrame, docs: DataFrame, slots: np.ndarray) -> DataFrame:
 
 
 class Block:
-    """Texts of a block, to be scored against one text at a time."""
+    """Texts of a block, to be scored against one text at a time.
+
+    For every shingle the texts that hold it are listed, so a text costs its own length and what it
+    shares with the block: loose members of a bucket, which share little, cost next to nothing.
+    """
 
     def __init__(self, texts: list[str | None], slots: np.ndarray):
-        nothing = np.zeros(1, np.uint64), np.ones(1, int)
-        sets = [x if len((x := shingles(t))[0]) else nothing for t in texts]
-        self.slots = slots
-        self.weights = np.concatenate([weights_of(levels_of(*x, slots)) for x in sets]) if sets else np.zeros(0)
-        self.words, self.places = np.unique(np.concatenate([x[0] for x in sets]) if sets else np.zeros(0, np.uint64), return_inverse=True)
-        self.starts = np.cumsum([0] + [len(x[0]) for x in sets[:-1]]) if sets else np.zeros(0, int)
-        self.totals = np.add.reduceat(self.weights, self.starts) if sets else np.zeros(0)
+        self.slots, self.size = slots, len(texts)
+        sets = [shingles(t) for t in texts]
+        weights = [weights_of(levels_of(*x, slots)) for x in sets]
+        self.totals = np.array([w.sum() for w in weights])
+        hashes = np.concatenate([x[0] for x in sets]) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.owners = np.repeat(np.arange(self.size), [len(w) for w in weights])[order]
+        self.weights = np.concatenate(weights)[order] if weights else np.zeros(0)
+        self.words, self.starts, self.counts = np.unique(hashes[order], return_index=True, return_counts=True)
 
     def scores(self, text: str | None) -> np.ndarray:
-        """Weighted Jaccard similarity of a text with each text of the block."""
+        """Weighted Jaccard similarity of a text with each text of the block; 0 of a text without words."""
         hashes, counts = shingles(text)
         own = weights_of(levels_of(hashes, counts, self.slots))
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        known = self.words[at] == hashes
-        table = np.zeros(len(self.words))
-        table[at[known]] = own[known]
-        shared = np.add.reduceat(np.minimum(self.weights, table[self.places]), self.starts)
-        return shared / (self.totals + own.sum() - shared)
+        _, mine, at = np.intersect1d(hashes, self.words, assume_unique=True, return_indices=True)
+        n = self.counts[at]
+        places = np.repeat(self.starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(self.owners[places], np.minimum(self.weights[places], np.repeat(own[mine], n)), self.size)
+        return shared / np.maximum(self.totals + own.sum() - shared, 1e-300)
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -311,7 +316,7 @@ def residual_links(members: DataFrame, found: DataFrame, docs: DataFrame, slots:
     blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
     mixed = mixed.select("bucket", F.col("top.component").alias("main"), blocks(F.col("size")).alias("blocks"), blocks(F.col("size") - F.col("top.n")).alias("q_blocks"))
     mixed = stash(mixed, "mixed-sizes")
-    rows = stash(rows.join(sized_broadcast(mixed), "bucket"), "mixed-buckets")
+    rows = stash(rows.join(sized_broadcast(mixed, width=4), "bucket"), "mixed-buckets")
     rows = rows.join(texts_of(rows.select("doc_id"), docs), F.col("doc_id") == F.col("__own"))
     of = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -348,11 +353,11 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     signed = stash(signatures(docs, slots), "near-dup-signatures")
     worded = signed.where("digest is not null and doc_id is not null")
     copies = worded.groupBy(F.col("digest").alias("__digest")).agg(F.min("doc_id").alias("first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    copies = sized_broadcast(stash(copies, "near-dup-copies"))
+    copies = sized_broadcast(stash(copies, "near-dup-copies"), width=3)
     worded = worded.join(copies, F.col("digest") == F.col("__digest"), "left").where("first is null or doc_id = first")
     firsts = stash(worded.select("doc_id", "digest", "bands").dropDuplicates(["doc_id", "digest"]), "near-dup-firsts")
     members = firsts.select("doc_id", F.explode("bands").alias("bucket"))
-    members = stash(members.join(sized_broadcast(hubs(members)), "bucket"), "near-dup-members")
+    members = stash(members.join(sized_broadcast(hubs(members), width=2), "bucket"), "near-dup-members")
     stars = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     members = members.drop("hub")
     links = verify(stars, docs, slots)
@@ -360,7 +365,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     found = stash(components(nodes, links), "near-dup-components")
     links = links.unionByName(residual_links(members, found, docs, slots))
     found = stash(components(nodes, links), "near-dup-components").where("component <> doc_id")
-    found = sized_broadcast(stash(found.withColumnRenamed("doc_id", "__first"), "near-dup-linked"))
+    found = sized_broadcast(stash(found.withColumnRenamed("doc_id", "__first"), "near-dup-linked"), width=2)
     out = signed.select("doc_id", "digest").join(copies, F.col("digest") == F.col("__digest"), "left")
     out = out.withColumn("first", F.when(F.col("digest").isNotNull(), F.coalesce("first", "doc_id")))
     out = out.join(found, F.col("first") == F.col("__first"), "left")
