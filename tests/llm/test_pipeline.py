@@ -63,3 +63,18 @@ def test_session_settings_stay(spark, sf_dir):
         assert spark.conf.get(key) == "5000"
     finally:
         spark.conf.unset(key)
+
+
+def test_a_worker_keeps_what_one_operator_needs():
+    from weftline.llm import _shared, bpe
+
+    dropped = []
+    _shared.begin("one", lambda: dropped.append("one"))
+    _shared.begin("one", lambda: dropped.append("one"))
+    assert dropped == []
+    _shared.begin("two", lambda: None)
+    assert dropped == ["one"] and list(_shared._keeps) == ["two"]
+    bpe._loaded["x"] = None
+    _shared.begin("bpe", bpe.forget)
+    _shared.begin("two", lambda: None)
+    assert not bpe._loaded

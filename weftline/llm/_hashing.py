@@ -22,6 +22,11 @@ class WordHashes(dict):
 _known = WordHashes()
 
 
+def forget() -> None:
+    """Drops the remembered words from this worker."""
+    _known.clear()
+
+
 def words_of(text: str | None) -> list[str]:
     """Lower-case words between white space; none for null."""
     return text.lower().split() if text else []

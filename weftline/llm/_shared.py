@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +79,21 @@ def sized_broadcast(df: DataFrame, rows: int | None = None, width: int = 1) -> D
     return F.broadcast(df) if n * width <= BROADCAST_KEYS else df
 
 
+_keeps: dict[str, Callable[[], None]] = {}
+
+
+def begin(owner: str, drop: Callable[[], None]) -> None:
+    """At the start of a task: what other operators keep in this worker is dropped by their ``drop``, as
+    workers live on between stages; then ``owner`` may keep something."""
+    for other in [x for x in _keeps if x != owner]:
+        _keeps.pop(other)()
+    _keeps[owner] = drop
+
+
+def nothing() -> None:
+    """The ``drop`` of an operator that keeps nothing."""
+
+
 def give_back() -> None:
     """At the end of a task: returns freed memory to the system, as workers live on between stages."""
     import ctypes

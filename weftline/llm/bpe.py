@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import give_back, in_arrow
+from ._shared import begin, give_back, in_arrow
 
 #: Pieces and words in the young half of their caches; a full one becomes the old half, from which
 #: entries that are needed are taken back.
@@ -206,6 +206,11 @@ def load(path: str) -> WordBpe:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Drops the encoders and their caches from this worker."""
+    _loaded.clear()
+
+
 #: Documents whose results are held at once.
 ROWS = 200
 
@@ -218,6 +223,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe", forget)
         bpe = load(path)
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
@@ -239,6 +245,7 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
         return hashlib.sha256(x.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe", forget)
         bpe = load(path)
         for batch in batches:
             found = []

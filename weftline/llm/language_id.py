@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from ._shared import give_back, in_arrow, sized_broadcast
+from ._shared import begin, give_back, in_arrow, nothing, sized_broadcast
 
 #: Longest context in bytes.
 ORDER = 3
@@ -226,6 +226,7 @@ def predict_languages(docs: DataFrame, trees: Trees, names: tuple[str, str, str]
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("language", nothing)
         for batch in batches:
             langs, score, bits = model.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], [*batch.schema.names, *names])

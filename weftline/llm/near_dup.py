@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._hashing import forget as forget_words
 from ._hashing import window_hashes, word_hashes, words_of
-from ._shared import drop_stash, give_back, in_arrow, sized_broadcast, stash
+from ._shared import begin, drop_stash, give_back, in_arrow, sized_broadcast, stash
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -137,6 +138,12 @@ def sample_table() -> np.ndarray:
     return out
 
 
+def forget() -> None:
+    """Drops the table and the remembered words from this worker."""
+    sample_table.cache_clear()
+    forget_words()
+
+
 def multipliers() -> np.ndarray:
     """An odd multiplier per hash."""
     return np.random.default_rng(SEED + 1).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,6 +181,7 @@ def signatures(docs: DataFrame, slots: np.ndarray) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("near-dup", forget)
         sampler = Sampler(table.value)
         salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import in_arrow, sized_broadcast, stash
+from ._shared import begin, in_arrow, nothing, sized_broadcast, stash
 
 #: Kinds in the order of the result, their patterns, and what stands for them.
 KINDS = ("email", "ip", "card", "phone")
@@ -124,6 +124,7 @@ def scan(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "text_hash", *(x.split()[0] for x in FOUND.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("pii", nothing)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             spans = [base_spans(t) for t in texts]
@@ -193,6 +194,7 @@ def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     rows = rows.join(sized_broadcast(hit, _sizes(hit, "known")), F.col("text_hash") == F.col("__pii_text")).select("doc_id", "text_hash", "text", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("pii", nothing)
         kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
         for batch in batches:
             out = []
@@ -276,6 +278,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     at, width = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("pii", nothing)
         for batch in batches:
             terms = [[(x["start"], x["end"], x["kind"]) for x in row or ()] for row in batch.column(batch.num_columns - 1).to_pylist()]
             texts = pa.array([mask(t, x) for t, x in zip(batch.column(at).to_pylist(), terms, strict=True)], pa.string())
