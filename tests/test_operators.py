@@ -271,6 +271,21 @@ def test_audio_and_image_measures(spark):
     assert sharp["laplacian_variance"] > media.measure_luma(np.tile(np.linspace(0, 255, 8), (8, 1)))["laplacian_variance"] == 0.0 and media.measure_luma([]) is None
 
 
+def test_levels_add_up_and_round_as_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(60)
+    rows = [(u * 80 + k, u, float(v)) for u in range(300) for k, v in enumerate(rng.integers(0, 30_000, 80) / 100)]  # means of 80 such values often end in a half of the last digit
+    rows += [(90_000, 300, None), (90_001, 1, None), (90_002, 301, 0.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).sortWithinPartitions("event_id").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    theirs = con.execute(f"SELECT user_id, peak, rms, dc_offset, clipped FROM ({entry.oracle_sql()['audio_levels']})").fetchall()
+    assert sorted(map(tuple, entry.queries()["audio_levels"](spark, str(tmp_path)).collect())) == sorted(theirs) and len(theirs) == 300
+
+
 def test_percentiles_equal_numpy(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(g, float(x)) for g, values in {"a": rng.normal(size=4000), "b": rng.integers(0, 4, 3000), "c": [7.0], None: rng.random(50)}.items() for x in values] + [("d", None)]

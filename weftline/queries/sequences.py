@@ -130,7 +130,8 @@ def image_sharpness(t):
 
 @query("SELECT user_id, round(20 * log10(max(abs(value / 100))), 5) AS peak, round(20 * log10(sqrt(avg((value / 100) ** 2))), 5) AS rms, round(avg(value / 100), 5) AS dc_offset, count(*) FILTER (value >= 99) AS clipped FROM events GROUP BY user_id HAVING max(abs(value)) > 0")
 def audio_levels(t):
-    """Values of users taken as samples."""
+    """Values of users taken as samples; a missing value is no sample."""
     samples = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"] / 100)
-    m = t("events").groupBy("user_id").agg(samples.alias("samples")).select("user_id", media.audio_measures(F.col("samples"), 100, 0.99).alias("m")).where("m.sample_peak_dbfs is not null")
-    return m.select("user_id", F.round("m.sample_peak_dbfs", 5).alias("peak"), F.round("m.rms_dbfs", 5).alias("rms"), F.round("m.dc_offset", 5).alias("dc_offset"), F.col("m.clipped_sample_count").alias("clipped"))
+    m = t("events").where("value is not null").groupBy("user_id").agg(samples.alias("samples")).select("user_id", media.audio_measures(F.col("samples"), 100, 0.99).alias("m")).where("m.sample_peak_dbfs is not null")
+    rounded = lambda c: F.round(F.col(c) * 1e5) / 1e5  # noqa: E731  of the double as SQL rounds, not of its shortest decimals
+    return m.select("user_id", rounded("m.sample_peak_dbfs").alias("peak"), rounded("m.rms_dbfs").alias("rms"), rounded("m.dc_offset").alias("dc_offset"), F.col("m.clipped_sample_count").alias("clipped"))
