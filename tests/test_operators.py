@@ -1,5 +1,6 @@
 """Frames, stores, sequences, texts and streams on small rows."""
 
+import math
 import random
 
 import numpy as np
@@ -45,6 +46,67 @@ def test_search_of_nothing_and_too_many(spark, monkeypatch):
     assert sorted(map(tuple, vectors.top_k(many, held, 3, vector="v").collect())) == one and len(one) == 90
 
 
+def _plain_score(metric, q, c):
+    """The score in plain Python; None without one."""
+    from functools import reduce
+    from operator import add
+
+    if q is None or c is None or len(q) != len(c) or None in q or None in c:
+        return None
+    with np.errstate(all="ignore"):
+        q, c, total = np.array(q, float), np.array(c, float), lambda v: np.float64(reduce(add, v.tolist(), 0.0))  # sum() compensates
+        if metric == "euclidean":
+            return float(np.sqrt(total((q - c) * (q - c))))
+        a, b, dot = np.sqrt(total(q * q)), np.sqrt(total(c * c)), total(q * c)
+        return float(dot) if metric == "dot" else 0.0 if a == 0 or b == 0 else float(dot / (a * b))
+
+
+def _odd_vectors(rng, n):
+    """Small vectors with ties, nulls, other lengths, and values that can't be squared."""
+    out = []
+    for _ in range(n):
+        odd = [None, [1.0, None, 2.0], [], [1.0, 2.0], [0.0] * 3, [rng.choice([math.nan, math.inf, -math.inf, 1e200, 1e-200, 0.0]) for _ in range(3)]]
+        out.append(rng.choice(odd) if rng.random() < 0.25 else [float(rng.randint(-1, 1)) if rng.random() < 0.6 else rng.gauss(0, 1) for _ in range(3)])
+    return out
+
+
+def _blocks(rng, queries, candidates):
+    """Both sides in Arrow, the candidates in batches."""
+    import pyarrow as pa
+
+    stated = pa.table({"query_id": pa.array(range(len(queries)), pa.int64()), "query": pa.array(queries, pa.list_(pa.float64()))})
+    rows = pa.table({"__0": pa.array(range(len(candidates)), pa.int64()), "__vector": pa.array(candidates, pa.list_(pa.float64()))})
+    return stated, iter(rows.to_batches(max_chunksize=rng.choice([4, 9, 100])))
+
+
+def _said(found):
+    return sorted((q, c, str(s)) for q, c, s in found)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_nearest_in_blocks_equals_all_pairs(metric, monkeypatch):
+    from weftline.functions import scores
+
+    monkeypatch.setattr(scores, "TILE", 5), monkeypatch.setattr(scores, "PAIRS", 7), monkeypatch.setattr(scores, "OUT", 11)
+    rng = random.Random(metric)
+    for k in [1, 2, 5, 40] * 10:
+        queries, candidates = _odd_vectors(rng, rng.choice([0, 1, 13])), _odd_vectors(rng, rng.choice([0, 3, 30]))
+        stated, batches = _blocks(rng, queries, candidates)
+        got = [(r["__query"], r["__0"], r["__score"]) for b in scores.nearest(batches, stated, k, metric, "__vector") for r in b.to_pylist()]
+        order = lambda s: (3, 0.0) if s is None else ((2 if metric == "euclidean" else 0), 0.0) if math.isnan(s) else (1, s if metric == "euclidean" else -s)
+        want = [(i, j, s) for i, q in enumerate(queries) for _, j, s in sorted((order(s), j, s) for j, c in enumerate(candidates) for s in [_plain_score(metric, q, c)])[:k]]
+        assert _said(got) == _said(want)
+
+
+def test_search_gives_rows_without_a_vector_last(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id int, query array<double>")
+    c = spark.createDataFrame([("b", None, 1), ("a", [3.0, 0.0], 2), ("d", [1.0, 1.0], 3), ("c", [1.0, 1.0], 4)], "id string, v array<double>, label int")
+    found = vectors.search(q, c, 3, None, ["label"], vector="v")
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()  # pairs are no rows
+    got = sorted((r["query_id"], r["rank"], r["id"], r["distance"], r["label"]) for r in found.collect())
+    assert got == [(1, 1, "c", 1.0, 4), (1, 2, "d", 1.0, 3), (1, 3, "a", 2.0, 2), (2, 1, "a", None, 2), (2, 2, "b", None, 1), (2, 3, "c", None, 4)]
+
+
 def test_kv_expiry(spark):
     log = spark.createDataFrame([("a", "1", 1, None), ("a", "2", 2, 10.0), ("b", "x", 1, 5.0), ("c", None, 1, None)], "key string, value string, seq int, expires_at double")
     keys = spark.createDataFrame([("a",), ("b",), ("a",), ("z",), ("c",)], "key string")

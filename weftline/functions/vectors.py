@@ -64,8 +64,8 @@ def score(metric: str, a: Column, b: Column, norm_a: Column | None = None, norm_
 
 
 def closer_first(metric: str, c: Column) -> Column:
-    """Sort order that puts the closest first."""
-    return c.asc() if metric in DISTANCES else c.desc()
+    """Sort order that puts the closest first, and what has no score last."""
+    return c.asc_nulls_last() if metric in DISTANCES else c.desc()
 
 
 def within(metric: str, c: Column, threshold: float) -> Column:
