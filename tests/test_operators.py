@@ -107,6 +107,25 @@ def test_search_gives_rows_without_a_vector_last(spark):
     assert got == [(1, 1, "c", 1.0, 4), (1, 2, "d", 1.0, 3), (1, 3, "a", 2.0, 2), (2, 1, "a", None, 2), (2, 2, "b", None, 1), (2, 3, "c", None, 4)]
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_threshold_in_blocks_equals_all_pairs(spark, metric, monkeypatch):
+    from weftline.functions import scores
+
+    rng = random.Random(metric)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id int, query array<double>")
+    c = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (3, [-9.0, 0.0])], "id int, v array<float>")
+    found = vectors.within_threshold(q, c, 0.5, metric, vector="v")
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()  # pairs are no rows
+    assert [tuple(r) for r in found.collect()] == [(1, 2, 0.0 if metric == "euclidean" else 1.0)]
+    monkeypatch.setattr(scores, "TILE", 5), monkeypatch.setattr(scores, "PAIRS", 7), monkeypatch.setattr(scores, "OUT", 11)
+    for threshold in [-1.0, 0.0, 0.5, 1.0, 2.0, math.inf] * 6:
+        queries, candidates = _odd_vectors(rng, rng.choice([0, 1, 13])), _odd_vectors(rng, rng.choice([0, 3, 30]))
+        stated, batches = _blocks(rng, queries, candidates)
+        got = [(r["__query"], r["__0"], r["__score"]) for b in scores.reaching(batches, stated, threshold, metric, "__vector") for r in b.to_pylist()]
+        scored = [(i, j, _plain_score(metric, q, c)) for i, q in enumerate(queries) for j, c in enumerate(candidates)]
+        assert _said(got) == _said(x for x in scored if x[2] is not None and (x[2] <= threshold if metric == "euclidean" else math.isnan(x[2]) or x[2] >= threshold))
+
+
 def test_kv_expiry(spark):
     log = spark.createDataFrame([("a", "1", 1, None), ("a", "2", 2, 10.0), ("b", "x", 1, 5.0), ("c", None, 1, None)], "key string, value string, seq int, expires_at double")
     keys = spark.createDataFrame([("a",), ("b",), ("a",), ("z",), ("c",)], "key string")

@@ -206,3 +206,21 @@ def nearest(batches: Iterator[pa.RecordBatch], queries: pa.Table, k: int, metric
     if held is not None:
         i, rank = np.nonzero(best.kind < NO_PAIR)
         yield from _table(queries["query_id"], held, i, np.searchsorted(places, best.at[i, rank]), best.score[i, rank], best.kind[i, rank] < NO_SCORE)
+
+
+def reaching(batches: Iterator[pa.RecordBatch], queries: pa.Table, threshold: float, metric: str, vector: str) -> Iterator[pa.RecordBatch]:
+    """All pairs that reach the threshold."""
+    by_width, near = sides(queries["query"]), metric in DISTANCES
+    for rows, found in _cut(batches, vector):
+        for width in by_width.keys() & found.keys():
+            q, c = by_width[width], found[width]
+            for a in range(0, len(c.rows), TILE):
+                cs = c.part(a, TILE)
+                right = cs.factor(metric, False).T
+                for b in range(0, len(q.rows), TILE):
+                    qs = q.part(b, TILE)
+                    least = (np.where(qs.odd, 0.0, qs.norm) ** 2 - (threshold**2 if threshold >= 0 else -np.inf) if near else threshold) - qs.slack(metric, cs)
+                    i, j = _reach(qs.factor(metric, True) @ right, np.broadcast_to(least, len(qs.rows)), qs, cs)
+                    score = exact(metric, qs, cs, i, j)
+                    good = score <= threshold if near else np.isnan(score) | (score >= threshold)
+                    yield from _table(queries["query_id"], rows, qs.rows[i[good]], cs.rows[j[good]], score[good], np.ones(int(good.sum()), bool))
