@@ -126,6 +126,17 @@ def test_threshold_in_blocks_equals_all_pairs(spark, metric, monkeypatch):
         assert _said(got) == _said(x for x in scored if x[2] is not None and (x[2] <= threshold if metric == "euclidean" else math.isnan(x[2]) or x[2] >= threshold))
 
 
+def test_top_k_makes_no_row_per_pair(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["vec_topk"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "NestedLoop" not in plan
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0])], "query_id int, query array<double>")  # one id, two vectors
+    c = spark.createDataFrame([(i, [1.0, float(i % 3 == 0)]) for i in range(50)], "id int, v array<double>")
+    assert sorted((r["rank"], r["id"]) for r in vectors.top_k(q, c, 3, vector="v").collect()) == [(1, 1), (2, 2), (3, 4)]
+    assert vectors.top_k(q.limit(0), c, 3, vector="v").count() == 0
+
+
 def test_kv_expiry(spark):
     log = spark.createDataFrame([("a", "1", 1, None), ("a", "2", 2, 10.0), ("b", "x", 1, 5.0), ("c", None, 1, None)], "key string, value string, seq int, expires_at double")
     keys = spark.createDataFrame([("a",), ("b",), ("a",), ("z",), ("c",)], "key string")

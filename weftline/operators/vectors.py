@@ -19,62 +19,6 @@ from ..plans.predicates import field_conditions
 QUERY_BYTES = 64_000_000
 
 
-def scored_pairs(queries: DataFrame, candidates: DataFrame, metric: str, query_id: str = "query_id", query: str = "query", vector: str = "vector") -> DataFrame:
-    """Every stated query with every candidate and their score.
-
-    The queries are the stated side: they are gathered into broadcast rows of at most ``QUERY_BYTES``, so
-    candidates are scored where they are, without a shuffle, and lengths are computed once per vector.
-    Beyond that size they are cut into blocks by the hash of their id, and the candidates are read once
-    per block.
-    """
-    side = queries.select(F.col(query_id).alias("query_id"), V.doubles(F.col(query)).alias("__q")).withColumn("__qn", V.norm(F.col("__q")))
-    n, width = side.agg(F.count("*"), F.max(F.size("__q"))).first()
-    size = n * 8 * (width or 1)
-    blocks = 1 if size <= QUERY_BYTES else -(-2 * size // QUERY_BYTES)
-    held = candidates.withColumn("__n", V.norm(F.col(vector)))
-    parts = [side] if blocks == 1 else [side.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    pairs = reduce(lambda a, b: a.unionByName(b), [held.crossJoin(F.broadcast(part)) for part in parts])
-    return pairs.withColumn("score", V.score(metric, F.col("__q"), F.col(vector), F.col("__qn"), F.col("__n"))).drop("__q", "__qn", "__n")
-
-
-def _scored(queries: DataFrame, candidates: DataFrame, scan: Callable, metric: str, kept: list[str], query_id: str = "query_id", query: str = "query", vector: str = "vector") -> DataFrame:
-    """query_id, the kept columns and the score of the pairs that ``scan`` of :mod:`..functions.scores` finds
-    among every stated query and every candidate.
-
-    The queries are the stated side: they are gathered into broadcasts of at most ``QUERY_BYTES``. Beyond
-    that size they are cut into blocks by the hash of their id, and the candidates are read once per block.
-    The candidates are dealt evenly over the cores, in the order of the first kept column: every pair costs
-    the same, however the table is cut into files.
-    """
-    if metric not in V.SIMILARITIES + V.DISTANCES:
-        raise ValueError(f"unknown metric {metric!r}")
-    context = candidates.sparkSession.sparkContext
-    side = queries.select(F.col(query_id).alias("query_id"), V.doubles(F.col(query)).alias("query"))
-    n, width = side.agg(F.count("*"), F.max(F.size("query"))).first()
-    size = n * 8 * max(width or 1, 1)
-    blocks = 1 if size <= QUERY_BYTES else -(-2 * size // QUERY_BYTES)
-    typed = F.col(vector) if dict(candidates.dtypes).get(vector) == "array<float>" else V.doubles(F.col(vector))
-    held = candidates.select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(kept)], typed.alias("__vector"))
-    held = held.repartition(2 * context.defaultParallelism).sortWithinPartitions("__0")
-    kinds = StructType([StructField("__query", side.schema["query_id"].dataType), *[StructField(f.name, f.dataType) for f in held.schema.fields[:-1]], StructField("__score", DoubleType())])
-
-    def block(part: DataFrame) -> DataFrame:
-        stated = context.broadcast(part.toArrow())
-        return held.mapInArrow(lambda batches: scan(batches, stated.value, metric=metric, vector="__vector"), kinds)
-
-    parts = [side] if blocks == 1 else [side.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    pairs = reduce(lambda a, b: a.unionByName(b), map(block, parts))
-    return pairs.select(F.col("__query").alias("query_id"), *[F.col(f"__{k}").alias(c) for k, c in enumerate(kept)], F.col("__score").alias("score"))
-
-
-def _ranked(queries: DataFrame, candidates: DataFrame, k: int, metric: str, id_column: str, output: list[str], names: dict[str, str]) -> DataFrame:
-    """The k closest of each query and their rank: those of every part of the candidates, then of all."""
-    kept = list(dict.fromkeys([id_column, *output]))
-    pairs = _scored(queries, candidates, partial(nearest, k=max(k, 1)), metric, kept, **names)
-    order = Window.partitionBy("query_id").orderBy(V.closer_first(metric, F.col("score")), F.col(id_column))
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def _scored(queries: DataFrame, candidates: DataFrame, scan: Callable, metric: str, kept: list[str], query_id: str = "query_id", query: str = "query", vector: str = "vector") -> DataFrame:
     """query_id, the kept columns and the score of the pairs that ``scan`` of :mod:`..functions.scores` finds
     among every stated query and every candidate.
@@ -114,10 +58,9 @@ def _ranked(queries: DataFrame, candidates: DataFrame, k: int, metric: str, id_c
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 1, metric: str = "cosine", id_column: str = "id", **names: str) -> DataFrame:
-    """query_id, rank, id, score of the k closest candidates per query; ties go to the smaller id."""
-    pairs = scored_pairs(queries, candidates, metric, **names)
-    order = Window.partitionBy("query_id").orderBy(V.closer_first(metric, F.col("score")), F.col(id_column))
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_column, "score")
+    """query_id, rank, id, score of the k closest candidates per query; ties go to the smaller id, pairs
+    without a score come last."""
+    return _ranked(queries, candidates, k, metric, id_column, [], names).select("query_id", "rank", id_column, "score")
 
 
 def within_threshold(queries: DataFrame, candidates: DataFrame, threshold: float, metric: str = "cosine", id_column: str = "id", **names: str) -> DataFrame:
