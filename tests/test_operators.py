@@ -137,6 +137,17 @@ def test_top_k_makes_no_row_per_pair(spark, sf_dir):
     assert vectors.top_k(q.limit(0), c, 3, vector="v").count() == 0
 
 
+def test_copies_are_not_scored_with_every_query(monkeypatch):
+    from weftline.functions import scores
+
+    scored, exact = [], scores.exact
+    monkeypatch.setattr(scores, "exact", lambda metric, q, c, i, j: scored.append(len(i)) or exact(metric, q, c, i, j))
+    candidates = [[1.0, 2.0, 3.0]] * 400 + [[1.0, 2.0, 4.0]]
+    stated, batches = _blocks(random.Random(5), [[1.0, 2.0, 3.0]] * 50, candidates)
+    got = [(r["__query"], r["__0"]) for b in scores.nearest(batches, stated, 2, "euclidean", "__vector") for r in b.to_pylist()]
+    assert sorted(got) == [(q, c) for q in range(50) for c in (0, 1)] and sum(scored) <= 50 * len(candidates) / 2
+
+
 def test_kv_expiry(spark):
     log = spark.createDataFrame([("a", "1", 1, None), ("a", "2", 2, 10.0), ("b", "x", 1, 5.0), ("c", None, 1, None)], "key string, value string, seq int, expires_at double")
     keys = spark.createDataFrame([("a",), ("b",), ("a",), ("z",), ("c",)], "key string")

@@ -8,6 +8,7 @@ not finite, or too large or small to be squared, are always scored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +39,22 @@ class Side:
             self.norm, most = _lengths(x), np.abs(x).max(axis=1, initial=0.0)
             self.odd = ~((most == 0) | ((most >= SMALL) & (most <= LARGE)))
 
-    def part(self, a: int, n: int) -> Side:
+    def part(self, which: slice | list[int]) -> Side:
         out = object.__new__(Side)
         out.width = self.width
         for name in ("rows", "x", "norm", "odd"):
-            setattr(out, name, getattr(self, name)[a : a + n])
+            setattr(out, name, getattr(self, name)[which])
         return out
 
+    def folded(self, k: int) -> Side:
+        """Only the first k of equal vectors: the others are never among the k closest."""
+        seen, kept = Counter(), []
+        for n, row in enumerate(self.x):
+            seen[key := row.tobytes()] += 1
+            if seen[key] <= k:
+                kept.append(n)
+        return self if len(kept) == len(self.x) else self.part(kept)
+
     def factor(self, metric: str, query: bool) -> np.ndarray:
         """Rows whose product with the other side's is larger the closer the vectors are; for distances it
         is the negative square less that of the query's length."""
@@ -162,10 +172,10 @@ class Best:
     def scan(self, q: Side, c: Side, start: int) -> None:
         """Adds what matters of all pairs of two sides."""
         for a in range(0, len(c.rows), TILE):
-            cs = c.part(a, TILE)
+            cs = c.part(slice(a, a + TILE))
             right, plain = cs.factor(self.metric, False).T, int((~cs.odd).sum())
             for b in range(0, len(q.rows), TILE):
-                qs = q.part(b, TILE)
+                qs = q.part(slice(b, b + TILE))
                 product, slack = qs.factor(self.metric, True) @ right, qs.slack(self.metric, cs)
                 least = self.least(qs.rows) - slack
                 if self.metric in DISTANCES:
@@ -193,9 +203,10 @@ def nearest(batches: Iterator[pa.RecordBatch], queries: pa.Table, k: int, metric
     best, start, held, places = Best(n, k, metric), 0, None, np.empty(0, np.int64)
     others = np.setdiff1d(np.arange(n), np.concatenate([np.empty(0, np.int64), *[s.rows for s in by_width.values()]]))
     for rows, found in _cut(batches, vector):
+        folded = {width: c.folded(k) for width, c in found.items() if width in by_width}
         for width, q in by_width.items():
             if width in found:
-                best.scan(q, found[width], start)
+                best.scan(q, folded[width], start)
             best.without_score(q.rows, np.setdiff1d(np.arange(rows.num_rows), found[width].rows) if width in found else np.arange(min(k, rows.num_rows)), start)
         best.without_score(others, np.arange(min(k, rows.num_rows)), start)
         both = np.concatenate([places, start + np.arange(rows.num_rows)])
@@ -215,10 +226,10 @@ def reaching(batches: Iterator[pa.RecordBatch], queries: pa.Table, threshold: fl
         for width in by_width.keys() & found.keys():
             q, c = by_width[width], found[width]
             for a in range(0, len(c.rows), TILE):
-                cs = c.part(a, TILE)
+                cs = c.part(slice(a, a + TILE))
                 right = cs.factor(metric, False).T
                 for b in range(0, len(q.rows), TILE):
-                    qs = q.part(b, TILE)
+                    qs = q.part(slice(b, b + TILE))
                     least = (np.where(qs.odd, 0.0, qs.norm) ** 2 - (threshold**2 if threshold >= 0 else -np.inf) if near else threshold) - qs.slack(metric, cs)
                     i, j = _reach(qs.factor(metric, True) @ right, np.broadcast_to(least, len(qs.rows)), qs, cs)
                     score = exact(metric, qs, cs, i, j)
